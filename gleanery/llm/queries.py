@@ -48,4 +48,49 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(*near_duplicates(_table(spark, sf_dir, "semantic_chunks"), **P5)).withColumnRenamed("id", "chunk_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p5_found, p5_groups)}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.vectors import similar_vectors
+
+    near = similar_vectors(_table(spark, sf_dir, "semantic_index"))
+    return near.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
+
+
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the exact five nearest that the index found, for the vectors whose id is divisible by 100."""
+    from gleanery.llm.vectors import brute_force, similar_vectors
+
+    table = _table(spark, sf_dir, "semantic_index")
+    exact = brute_force(table, table.where("vec_id % 100 = 0")).select("id", "neighbour")
+    near = similar_vectors(table).select("id", "neighbour", F.lit(1).alias("hit"))
+    both = exact.join(near, ["id", "neighbour"], "left")
+    return both.agg(F.countDistinct("id").alias("queries"), F.count("*").alias("neighbours"), F.try_divide(F.count("hit"), F.count("*")).alias("recall"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.leaks import leaks
+
+    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "gold_questions"))
+    return found.select("doc_id", "question_id").distinct()
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that leaked, with the documents that hold them and the longest passage."""
+    from gleanery.llm.leaks import leaks
+
+    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "gold_questions"))
+    return found.groupBy("question_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("words").alias("longest_words"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "source_weights"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "source_weights"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_recall, p4_found, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares)}
