@@ -24,6 +24,19 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(_table(spark, sf_dir, "semantic_chunks"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.replies import defects
+
+    return defects(_table(spark, sf_dir, "v2_generation_results"))
+
+
+def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective rows by kind."""
+    from gleanery.llm.replies import defects
+
+    return defects(_table(spark, sf_dir, "v2_generation_results")).groupBy("defect").agg(F.count("*").alias("rows"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.sentences import sentences
 
@@ -93,4 +106,4 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "source_weights"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_recall, p4_found, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_recall, p3_found, p3_kinds, p4_found, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares)}
