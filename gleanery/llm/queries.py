@@ -106,4 +106,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "source_weights"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_recall, p3_found, p3_kinds, p4_found, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.personal import mentions
+
+    return mentions(_table(spark, sf_dir, "documents")).select("doc_id", "kind", "mention").distinct()
+
+
+#: Stands in for a secret of the operator of the pipeline.
+DEMONSTRATION_KEY = "demonstration"
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.personal import redact
+
+    return redact(_table(spark, sf_dir, "documents"), key=DEMONSTRATION_KEY)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_recall, p3_found, p3_kinds, p4_found, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_redacted)}
