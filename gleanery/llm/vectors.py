@@ -2,11 +2,14 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample; every usable vector is indexed. A vector
 belongs to the list of its nearest centroid and asks in every list whose centroid is almost as near
-(``margin`` in cosine), however many those are. Lists are packed into slots of bounded size, so a vector is shipped
-once to its own slot and once to each further slot in which it asks. Within a slot, asymmetric distance tables
-(query parts against codebook parts) rank the members of the asked lists by their codes, and the best are ranked
-again by their true vectors. A list larger than a slot is cut into blocks, each asked by all; a slot with very many
+(``margin`` in cosine), however many those are. Lists are packed into slots, near centroids together, so a vector is
+shipped once to its own slot and once to each further slot in which it asks. Within a slot, asymmetric distance
+tables (query parts against codebook parts) rank the members of the asked lists by their codes: in the nearest list
+the best are ranked again by their true vectors, and in the others all whose estimate comes within the error of the
+codes of what is found so far. A list larger than a slot is cut into blocks, each asked by all; a slot with very many
 askers is repeated, and each asker goes to one of the copies.
+
+Vectors are shipped as unit vectors of 16-bit numbers; the similarities they give are off by about one millionth.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from gleanery.llm.arrow import map_batches
+from gleanery.llm.arrow import map_batches, schema_of
 from gleanery.session import cut
 
 #: Vectors in the fitted sample, members of a slot, askers of one copy of a slot, and most lists.
-SAMPLE, SLOT, ASKERS, LISTS = 16_384, 8_192, 262_144, 4_096
+SAMPLE, SLOT, ASKERS, LISTS = 16_384, 131_072, 1_048_576, 4_096
+#: Slots into which smaller tables are packed, for parallelism, and the least members of one.
+SLOTS, LEAST = 16, 512
 #: Parts of a vector and codes of a part.
-PARTS, CODES = 12, 256
+PARTS, CODES = 32, 256
 
 
 def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +75,18 @@ class Index:
         self.parts = next(p for p in range(min(PARTS, sample.shape[1]), 0, -1) if sample.shape[1] % p == 0)
         self.width = sample.shape[1] // self.parts
         self.books = np.stack([_kmeans(np.ascontiguousarray(rest[:, p * self.width : (p + 1) * self.width]), min(CODES, len(rest)), 6, rng, False) for p in range(self.parts)])
+        self.fit_error(sample, rng)
+
+    def fit_error(self, sample: np.ndarray, rng: np.random.Generator) -> None:
+        """How far a true similarity lies above its estimate, for close pairs of the sample, in all but a thousandth."""
+        own = (sample @ self.centroids.T).argmax(1)
+        codes = self.encode(sample, own)
+        decoded = self.centroids[own] + np.concatenate([self.books[p][codes[:, p]] for p in range(self.parts)], 1)
+        q = sample[rng.choice(len(sample), min(len(sample), 1024), False)]
+        true = q @ sample.T
+        close = np.argpartition(-true, min(16, len(sample) - 1), axis=1)[:, :17]
+        off = np.take_along_axis(true, close, 1) - np.take_along_axis(q @ decoded.T, close, 1)
+        self.slack = float(max(0.01, np.quantile(off, 0.999)))
 
     def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The list of each row, and a matrix of the lists in which it asks."""
@@ -83,37 +101,45 @@ class Index:
             codes[:, p] = (part @ book.T - 0.5 * (book * book).sum(1)).argmax(1)
         return codes
 
-    def plan(self, members: np.ndarray, askers: np.ndarray, slot: int = SLOT, most_askers: int = ASKERS) -> None:
-        """Packs lists into slots: near centroids together, at most ``slot`` members where a list is no larger."""
+    def plan(self, members: np.ndarray, askers: np.ndarray, slot: int | None = None, most_askers: int = ASKERS) -> None:
+        """Packs lists into slots: near centroids together, no slot of over twice the aim where a list is no larger."""
         rng = np.random.default_rng(1)
-        packs, work = [], [np.arange(len(members))]
+        aim = slot or int(min(SLOT, max(LEAST, members.sum() // SLOTS)))
+        groups = int(min(len(members), max(1, -(-members.sum() // aim))))
+        near = (self.centroids @ _kmeans(self.centroids, groups, 10, rng, True).T).argmax(1)
+        packs, work = [], [np.flatnonzero(near == g) for g in range(groups)]
         while work:
             part = work.pop()
-            if members[part].sum() <= slot or len(part) == 1:
-                packs.append(part)
-                continue
-            c = self.centroids[part]
-            two = c[rng.choice(len(part), 2, False)]
-            for _ in range(6):
-                side = (c @ two.T).argmax(1)
+            if len(part) > 1 and members[part].sum() > 2 * aim:
+                c = self.centroids[part]
+                side = (c @ _kmeans(c, 2, 8, rng, True).T).argmax(1)
                 if side.all() or not side.any():
                     side = np.arange(len(part)) % 2
-                two = np.stack([c[side == 0].mean(0), c[side == 1].mean(0)])
-            side = (c @ two.T).argmax(1)
-            if side.all() or not side.any():
-                side = np.arange(len(part)) % 2
-            work += [part[side == 0], part[side == 1]]
+                work += [part[side == 0], part[side == 1]]
+            elif len(part):
+                packs.append(part)
         self.base = np.zeros(len(members), np.int64)  # first slot of a list
         self.blocks = np.ones(len(members), np.int64)  # slots over which a list is spread
         copies, slots = [], 0
         for part in packs:
-            blocks = int(max(1, -(-members[part].sum() // slot))) if len(part) == 1 else 1
+            blocks = int(max(1, -(-members[part].sum() // (2 * aim)))) if len(part) == 1 else 1
             self.base[part], self.blocks[part] = slots, blocks
             copies += [int(max(1, -(-askers[part].max() // most_askers)))] * blocks
             slots += blocks
         self.copies = np.array(copies)
         self.first = np.concatenate([[0], np.cumsum(self.copies)])
         self.partitions = int(self.first[-1])
+        self.slots_of = np.zeros((len(members), slots), np.float32)  # lists x slots
+        for l in range(len(members)):
+            self.slots_of[l, self.base[l] : self.base[l] + self.blocks[l]] = 1
+
+    def estimate(self, codes: np.ndarray, l: int, q: np.ndarray) -> np.ndarray:
+        """Estimated similarities, members x queries: the coarse part and a sum over the tables of the parts."""
+        score = np.repeat((self.centroids[l] @ q.T)[None, :], len(codes), 0)
+        for p in range(self.parts):
+            table = self.books[p] @ q[:, p * self.width : (p + 1) * self.width].T  # codes x queries
+            score += table[codes[:, p]]
+        return score
 
 
 def _mix(ids: np.ndarray) -> np.ndarray:
@@ -125,58 +151,87 @@ def _top(score: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-score, k - 1, axis=1)[:, :k] if score.shape[1] > k else np.broadcast_to(np.arange(score.shape[1]), score.shape)
 
 
-def answer(index: Index, x: np.ndarray, ids: np.ndarray, own: np.ndarray, codes: np.ndarray, q: np.ndarray, q_ids: np.ndarray, asks: np.ndarray, k: int, rerank: int):
-    """The up to ``k`` nearest members of each query: (query row, member row, similarity). ``asks``: queries x lists, bool."""
-    found_q, found_m, found_s = [], [], []
-    order = np.argsort(own, kind="stable")
-    lists, starts = np.unique(own[order], return_index=True)
-    ends = np.append(starts[1:], len(order))
-    step = 512
-    for at in range(0, len(q), step):
-        part, want = q[at : at + step], asks[at : at + step]
-        tables = np.einsum("qpw,pcw->pqc", part.reshape(len(part), index.parts, index.width), index.books, optimize=True)
-        best_s = np.full((len(part), rerank), -np.inf, np.float32)
-        best_m = np.full((len(part), rerank), -1, np.int64)
-        for l, a, b in zip(lists.tolist(), starts.tolist(), ends.tolist()):
-            rows = np.flatnonzero(want[:, l])
-            if not len(rows):
-                continue
-            coarse = (part[rows] @ index.centroids[l]).astype(np.float32)
+class Slot:
+    """The members of a slot in the order of their lists."""
+
+    def __init__(self, index: Index, x: np.ndarray, ids: np.ndarray) -> None:
+        own, _ = index.near(x)
+        order = np.lexsort((ids, own))
+        x, ids, own = x[order], ids[order], own[order]
+        again = np.zeros(len(ids), bool)  # a row delivered twice is one member
+        again[1:] = (ids[1:] == ids[:-1]) & (x[1:] == x[:-1]).all(1)
+        self.x, self.ids, self.own = x[~again], ids[~again], own[~again]
+        self.codes = index.encode(self.x, self.own)
+        self.lists, self.starts = np.unique(self.own, return_index=True)
+        self.ends = np.append(self.starts[1:], len(self.own))
+        self.repeated = len(np.unique(self.ids)) < len(self.ids)
+
+
+def answer(index: Index, slot: Slot, q: np.ndarray, q_ids: np.ndarray, asks: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The up to ``k`` nearest ids of each query: query row, id and similarity. ``asks``: queries x lists, bool."""
+    n = len(q)
+    coarse = np.where(asks[:, slot.lists], q @ index.centroids[slot.lists].T, -np.inf)
+    first = coarse.argmax(1)
+    floor = np.full(n, -np.inf, np.float32)
+    rows_of, members_of, sims_of = [], [], []
+
+    def keep(r, m, s):
+        ok = slot.ids[m] != q_ids[r]
+        rows_of.append(r[ok])
+        members_of.append(m[ok])
+        sims_of.append(s[ok])
+
+    def parts(rows):
+        for c in range(0, len(rows), 512):
+            yield rows[c : c + 512]
+
+    asked = np.isfinite(coarse)
+    for i, (l, a, b) in enumerate(zip(slot.lists.tolist(), slot.starts.tolist(), slot.ends.tolist())):
+        for rows in parts(np.flatnonzero((first == i) & asked[:, i])):
+            best_s, best_m = np.empty((len(rows), 0), np.float32), np.empty((len(rows), 0), np.int64)
+            for c in range(a, b, 8192):
+                d = min(b, c + 8192)
+                score = index.estimate(slot.codes[c:d], l, q[rows]).T
+                t = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank] if d - c > rerank else np.broadcast_to(np.arange(d - c), (len(rows), d - c))
+                best_s, best_m = np.concatenate([best_s, np.take_along_axis(score, t, 1)], 1), np.concatenate([best_m, t + c], 1)
+                if best_s.shape[1] > rerank:
+                    t = np.argpartition(-best_s, rerank - 1, axis=1)[:, :rerank]
+                    best_s, best_m = np.take_along_axis(best_s, t, 1), np.take_along_axis(best_m, t, 1)
+            true = np.einsum("qrd,qd->qr", slot.x[best_m], q[rows])
+            true[slot.ids[best_m] == q_ids[rows][:, None]] = -np.inf
+            width = true.shape[1]
+            if width >= k and not slot.repeated:
+                floor[rows] = np.partition(true, width - k, axis=1)[:, width - k]
+            r = np.repeat(rows, width)
+            good = (true >= floor[rows][:, None]).ravel() & np.isfinite(true).ravel()
+            keep(r[good], best_m.ravel()[good], true.ravel()[good])
+    for i, (l, a, b) in enumerate(zip(slot.lists.tolist(), slot.starts.tolist(), slot.ends.tolist())):
+        for rows in parts(np.flatnonzero((first != i) & asked[:, i])):
             for c in range(a, b, 4096):
-                members = order[c : min(b, c + 4096)]
-                code = codes[members]
-                score = np.repeat(coarse[:, None], len(members), 1)
-                for p in range(index.parts):
-                    score += tables[p][rows][:, code[:, p]]
-                if score.shape[1] > rerank:
-                    t = _top(score, rerank)
-                    score, cand = np.take_along_axis(score, t, 1), members[t]
-                else:
-                    cand = np.broadcast_to(members, score.shape)
-                both_s, both_m = np.concatenate([best_s[rows], score], 1), np.concatenate([best_m[rows], cand], 1)
-                t = _top(both_s, rerank)
-                best_s[rows], best_m[rows] = np.take_along_axis(both_s, t, 1), np.take_along_axis(both_m, t, 1)
-        true = np.einsum("qrd,qd->qr", x[best_m], part)
-        true[(best_m < 0) | (ids[best_m] == q_ids[at : at + step][:, None])] = -np.inf
-        # several rows of one id: its best row counts
-        for r in range(len(part)):
-            s = true[r]
-            o = np.lexsort((ids[best_m[r]], -s))
-            seen, n = set(), 0
-            for j in o.tolist():
-                if s[j] == -np.inf or n == k:
-                    break
-                i = int(ids[best_m[r, j]])
-                if i not in seen:
-                    seen.add(i)
-                    n += 1
-                    found_q.append(at + r)
-                    found_m.append(int(best_m[r, j]))
-                    found_s.append(float(s[j]))
-    return found_q, found_m, found_s
-
-
-def similar_vectors(df: DataFrame, k: int = 5, dim: int = 96, margin: float = 0.12, rerank: int = 48, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+                d = min(b, c + 4096)
+                score = index.estimate(slot.codes[c:d], l, q[rows])
+                m, r = np.nonzero(score >= floor[rows] - index.slack)
+                for e in range(0, len(m), 200_000):
+                    rr, mm = rows[r[e : e + 200_000]], m[e : e + 200_000] + c
+                    s = np.einsum("nd,nd->n", slot.x[mm], q[rr])
+                    good = s >= floor[rr]
+                    keep(rr[good], mm[good], s[good])
+    r, m, s = np.concatenate(rows_of), np.concatenate(members_of), np.concatenate(sims_of)
+    ids = slot.ids[m]
+    order = np.lexsort((ids, -s, r))
+    r, ids, s = r[order], ids[order], s[order]
+    if slot.repeated:  # an id answers once, by its best row
+        by = np.lexsort((-s, ids, r))
+        head = np.ones(len(by), bool)
+        head[1:] = (r[by][1:] != r[by][:-1]) | (ids[by][1:] != ids[by][:-1])
+        some = np.sort(by[head])
+        r, ids, s = r[some], ids[some], s[some]
+    begin = np.searchsorted(r, r, "left")
+    top = np.arange(len(r)) - begin < k
+    return r[top], ids[top], s[top]
+
+
+def similar_vectors(df: DataFrame, k: int = 5, dim: int = 96, margin: float = 0.09, rerank: int = 48, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For every usable vector the ``k`` others of greatest cosine: ``id``, ``neighbour``, ``rank`` from 1, ``similarity``.
 
     Usable: a non-null integer id and exactly ``dim`` finite numbers, not all zero; other rows take no part. Rows of
@@ -198,19 +253,20 @@ def similar_vectors(df: DataFrame, k: int = 5, dim: int = 96, margin: float = 0.
     if not len(sample):
         sample = np.eye(1, dim, dtype=np.float32)
     index = Index(sample, rows, margin)
+    lists = len(index.centroids)
 
     def count():
         def step(batch):
             _, x = unit_vectors(batch.column(1), dim)
-            own, asks = index.near(x) if len(x) else (np.empty(0, int), np.empty((0, len(index.centroids)), bool))
-            m, a = np.bincount(own, minlength=len(index.centroids)), asks.sum(0)
+            own, asks = index.near(x) if len(x) else (np.empty(0, int), np.empty((0, lists), bool))
+            m, a = np.bincount(own, minlength=lists), asks.sum(0)
             some = np.flatnonzero(a)
             return [pa.array(some), pa.array(m[some]), pa.array(a[some])]
 
         return step
 
     sizes = map_batches(src, "list int, members long, askers long", count).groupBy("list").agg(F.sum("members").alias("members"), F.sum("askers").alias("askers")).toArrow()  # at most LISTS rows
-    members, askers = np.zeros(len(index.centroids), np.int64), np.zeros(len(index.centroids), np.int64)
+    members, askers = np.zeros(lists, np.int64), np.zeros(lists, np.int64)
     at = sizes.column("list").to_numpy()
     members[at], askers[at] = sizes.column("members").to_numpy(), sizes.column("askers").to_numpy()
     index.plan(members, askers)
@@ -218,87 +274,87 @@ def similar_vectors(df: DataFrame, k: int = 5, dim: int = 96, margin: float = 0.
     def ship():
         def step(batch):
             at, x = unit_vectors(batch.column(1), dim)
-            ids = batch.column(0).to_numpy()[at]
             if not len(x):
                 return [pa.array([], t) for t in (pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary())]
+            ids = batch.column(0).to_numpy()[at]
             own, asks = index.near(x)
             h = _mix(ids)
-            slots = index.base[own] + (h % index.blocks[own].astype(np.uint64)).astype(np.int64)
-            pid, member, asking, row = [], [], [], []
-            for r in range(len(x)):
-                lists = np.flatnonzero(asks[r])
-                want = np.unique(np.concatenate([np.arange(index.base[l], index.base[l] + index.blocks[l]) for l in lists])) if (index.blocks[lists] > 1).any() else np.unique(index.base[lists])
-                home = int(slots[r])
-                for s in {home, *want.tolist()}:
-                    n = int(index.copies[s])
-                    mine = int(h[r] >> np.uint64(40)) % n
-                    for c in range(n) if s == home else (mine,):
-                        pid.append(int(index.first[s]) + c)
-                        member.append(s == home)
-                        asking.append(c == mine)
-                        row.append(r)
-            raw = x.tobytes()
-            size = 4 * dim
-            vectors = [raw[r * size : (r + 1) * size] for r in range(len(x))]
-            return [pa.array(pid, pa.int32()), pa.array(member), pa.array(asking), pa.array(ids[row]), pa.array([vectors[r] for r in row], pa.binary())]
+            home = index.base[own] + (h % index.blocks[own].astype(np.uint64)).astype(np.int64)
+            want = asks.astype(np.float32) @ index.slots_of > 0
+            want[np.arange(len(x)), home] = True
+            row, slot = np.nonzero(want)
+            copies = index.copies[slot]
+            mine = ((h[row] >> np.uint64(40)) % copies.astype(np.uint64)).astype(np.int64)
+            member = slot == home[row]
+            # a member goes to every copy of its slot, an asker to one of them
+            times = np.where(member, copies, 1)
+            row, slot, member, mine = (np.repeat(v, times) for v in (row, slot, member, mine))
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            copy = np.where(member, nth, mine)
+            packed = np.rint(x * 32767).astype("<i2")[row]
+            flat = pa.py_buffer(packed.tobytes())
+            width = 2 * dim
+            vectors = pa.Array.from_buffers(pa.binary(width), len(row), [None, flat]).cast(pa.binary())
+            return [pa.array(index.first[slot] + copy, pa.int32()), pa.array(member), pa.array(copy == mine), pa.array(ids[row]), vectors]
 
         return step
 
     shipped = map_batches(src, "slot int, member boolean, asking boolean, id long, v binary", ship)
     placed = shipped.repartitionById(index.partitions, F.col("slot")) if hasattr(shipped, "repartitionById") else shipped.repartition(index.partitions, "slot")
     placed = placed.sortWithinPartitions("slot", F.col("member").desc())
+    near_type = "array<struct<far:float,neighbour:bigint>>"
+    arrow_schema = to_arrow_schema(schema_of(f"id long, near {near_type}"))
 
     def search(batches):
-        out = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
-        slot, held, ready = None, [], None
-
-        def prepare():
-            x, ids = np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
-            own, _ = index.near(x)
-            return x, ids, own, index.encode(x, own)
+        out = arrow_schema
+
+        def ask(slot, q, q_ids):
+            for c in range(0, len(q), 8192):
+                some, some_ids = q[c : c + 8192], q_ids[c : c + 8192]
+                _, asks = index.near(some)
+                r, ids, s = answer(index, slot, some, some_ids, asks, k, rerank)
+                offsets = np.searchsorted(r, np.arange(len(some) + 1))
+                pairs = pa.StructArray.from_arrays([pa.array(-s, pa.float32()), pa.array(ids, pa.int64())], ["far", "neighbour"])
+                yield pa.RecordBatch.from_arrays([pa.array(some_ids), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs).cast(out.field(1).type)], schema=out)
+
+        current, held, asking_members, slot = None, [], [], None
+
+        def close():
+            nonlocal slot
+            if held and slot is None:
+                slot = Slot(index, np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
+                held.clear()
+                for w in asking_members:
+                    yield from ask(slot, *w)
+                asking_members.clear()
 
-        def ask(ready, q, q_ids):
-            _, asks = index.near(q)
-            i, m, s = answer(index, *ready, q, q_ids, asks, k, rerank)
-            return pa.RecordBatch.from_arrays([pa.array(q_ids[i], pa.int64()), pa.array(ready[1][m], pa.int64()), pa.array(s, pa.float64())], schema=out)
-
-        waiting: list = []
         for batch in batches:
             slots = batch.column(0).to_numpy()
             is_member, asking = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
             ids = batch.column(3).to_numpy()
-            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float32).reshape(-1, dim)
+            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<i2").reshape(-1, dim).astype(np.float32)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
             for s in dict.fromkeys(slots.tolist()):
-                here = slots == s
-                if s != slot:
-                    if held and ready is None:
-                        ready = prepare()
-                    for w in waiting:
-                        yield ask(ready, *w)
-                    slot, held, ready, waiting = s, [], None, []
-                m = here & is_member
+                if s != current:
+                    yield from close()
+                    current, slot = s, None
+                m = (slots == s) & is_member
+                f = (slots == s) & ~is_member
                 if m.any():
                     held.append((x[m], ids[m]))
                     if (m & asking).any():
-                        waiting.append((x[m & asking], ids[m & asking]))
-                f = here & ~is_member
-                if f.any() and held:
-                    if ready is None:
-                        ready = prepare()
-                        for w in waiting:
-                            yield ask(ready, *w)
-                        waiting = []
-                    yield ask(ready, x[f], ids[f])
-        if held and waiting:
-            ready = prepare()
-            for w in waiting:
-                yield ask(ready, *w)
-
-    found = placed.mapInArrow(search, "id long, neighbour long, similarity double")
-    best = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
-    # at most k rows a slot and asked slots are few: the list of one id is short
-    ranked = best.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "neighbour"))), 1, k).alias("near"))
-    return ranked.select("id", F.posexplode("near").alias("at", "n")).select("id", F.col("n.neighbour").alias("neighbour"), (F.col("at") + 1).cast("int").alias("rank"), (-F.col("n.far")).alias("similarity"))
+                        asking_members.append((x[m & asking], ids[m & asking]))
+                if f.any():
+                    yield from close()
+                    if slot is not None:
+                        yield from ask(slot, x[f], ids[f])
+        yield from close()
+
+    found = placed.mapInArrow(search, f"id long, near {near_type}").where(F.size("near") > 0)
+    # a slot gives at most k, and few slots are asked, so the list of one id is short; an id that stands in several answers once
+    merged = found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    once = F.filter("near", lambda x, i: F.array_position(F.col("near.neighbour"), x["neighbour"]) == i + 1)
+    return merged.select("id", F.posexplode(F.slice(once, 1, k)).alias("at", "n")).select("id", F.col("n.neighbour").alias("neighbour"), (F.col("at") + 1).cast("int").alias("rank"), (-F.col("n.far")).cast("double").alias("similarity"))
 
 
 def brute_force(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 96, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 8_192) -> DataFrame:
@@ -335,5 +391,5 @@ def brute_force(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 96, id
     for p in parts[1:]:
         found = found.union(p)
     best = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
-    ranked = best.groupBy("id").agg(F.max_by(F.struct("neighbour", "similarity"), "similarity").alias("one"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "neighbour"))), 1, k).alias("near"))
+    ranked = best.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "neighbour"))), 1, k).alias("near"))
     return ranked.select("id", F.posexplode("near").alias("at", "n")).select("id", F.col("n.neighbour").alias("neighbour"), (F.col("at") + 1).cast("int").alias("rank"), (-F.col("n.far")).alias("similarity"))
