@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.arrow import map_batches
-from gleanery.session import cut
+from gleanery.session import cut, map_arrow
 
 MASKS, BAND = 28, 4
 HASHES = MASKS * BAND
@@ -257,7 +257,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, size_s
         if rest is not None and rest.num_rows > 1:
             yield from work(rest, True)
 
-    found = ordered.mapInArrow(pairs, "a1 long, a2 long, b1 long, b2 long")
+    found = map_arrow(ordered, pairs, "a1 long, a2 long, b1 long, b2 long")
     candidates = cut(found.distinct())
 
     # the exact check, on the texts of candidates alone

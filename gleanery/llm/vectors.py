@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleanery.llm.arrow import map_batches, schema_of
-from gleanery.session import cut
+from gleanery.session import cut, map_arrow
 
 #: Vectors in the fitted sample, members of a slot, askers of one copy of a slot, and most lists.
 SAMPLE, SLOT, ASKERS, LISTS = 16_384, 131_072, 1_048_576, 4_096
@@ -350,7 +350,7 @@ def similar_vectors(df: DataFrame, k: int = 5, dim: int = 96, margin: float = 0.
                         yield from ask(slot, x[f], ids[f])
         yield from close()
 
-    found = placed.mapInArrow(search, f"id long, near {near_type}").where(F.size("near") > 0)
+    found = map_arrow(placed, search, f"id long, near {near_type}").where(F.size("near") > 0)
     # a slot gives at most k, and few slots are asked, so the list of one id is short; an id that stands in several answers once
     merged = found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     once = F.filter("near", lambda x, i: F.array_position(F.col("near.neighbour"), x["neighbour"]) == i + 1)
