@@ -62,10 +62,12 @@ MARK = re.compile(r"(?:[-–—*•·▪▫◦‣●○■□►▶✓✔➢➤
 NUMBERED = re.compile(r"\(?(?:\d|[a-zA-Z][.)])")
 LETTERED = re.compile(r"[a-zA-Z]\.")
 # Words and marks that no heading ends with.
-DANGLING = re.compile(r"(?:^|[\s(])(?:a|an|and|are|as|at|by|for|from|in|is|of|on|or|our|than|that|the|to|under|was|were|which|whom|with|within|against|during|due|der|die|das|den|dem|des|ein|eine|einen|und|oder|von|vom|für|mit|im|in|zu|zum|zur|auf|bei|aus|de|du|des|le|la|les|un|une|et|à|au|aux|en|pour|par|sur|dans|chez|el|los|las|una|y|o|del|al|con|por|para|se|que|note|See)$|,$")
+DANGLING = re.compile(r"(?:^|[\s(])(?:a|an|and|are|as|at|by|for|from|in|is|of|on|or|our|than|that|the|to|under|was|were|which|whom|with|within|against|during|due|der|die|das|den|dem|des|ein|eine|einen|und|oder|von|vom|für|mit|im|in|zu|zum|zur|auf|bei|aus|de|du|des|le|la|les|un|une|et|à|au|aux|en|pour|par|sur|dans|chez|el|los|las|una|y|o|del|al|con|por|para|se|que|note|see|usd|eur|no|nr)$|,$", re.I)
 CELL = re.compile(r"\t+| {3,}| ?\|\s|\s\|")
 HEAD = re.compile(r"(?:Item|ITEM|Part|PART|Section|Chapter|Article|Artikel|Abschnitt|Kapitel|Note|Schedule|Exhibit|Appendix|Partie|Teil|Parte|Sección|Capítulo|Artículo|Anhang|Annexe)\s+(?:\d+[A-Za-z]?|[IVXLC]+|[A-Z])\b|#{1,6}\s")
 WORD = re.compile(r"\S+")
+# What goes on after a Chinese quotation.
+RUNS_ON = re.compile("[的等说称道之]|表示|指出|写道|认为|字样|一语|一词|一文")
 LAST = re.compile(r"[^\s\"“”„«»()\[\]（）]*$")
 
 
@@ -233,6 +235,8 @@ def _breaks(text: str, stop: int, after: int, end: int, start: int) -> bool:
             if j < start and stop - start <= 4:
                 return False  # a number that opens the unit is its mark
             return True
+        if i - 1 > start and text[i - 1] == "-" and text[i - 2].isalnum():
+            return True  # the last letter of a hyphenated name
         if before.isalpha() and (i == start or not (text[i - 1].isalnum() or text[i - 1] in "'’")) or before.isalpha() and i - 1 >= start and text[i - 1] in "'’" and before.isupper():
             # one letter: an initial, unless a small word stands before and a small word could follow
             if before.isupper() and kind == "U":
@@ -280,7 +284,9 @@ def _block(text: str, start: int, end: int, head: int, out: list[tuple[int, int]
                 if nxt >= end:
                     continue
                 if nxt == after:
-                    if text[nxt] in ENDS or not (text[inner] in WIDE_ENDS and _starts(text, nxt, end) in "dUq" or _starts(text, nxt, end) == "U"):
+                    # without a space: a full stop of wide scripts in a quotation ends the sentence unless its words run on
+                    wide = text[inner] in WIDE_ENDS and (_starts(text, nxt, end) in "dUq" or "一" <= text[nxt] <= "鿿" and not RUNS_ON.match(text, nxt))
+                    if text[nxt] in ENDS or not (wide or _starts(text, nxt, end) == "U"):
                         continue
                 elif _starts(text, nxt, end) in "lx" or text[nxt] in ENDS:
                     continue

@@ -109,7 +109,7 @@ def pieces(text: str | None, limit: int = 1300, overlap: int = 300, least: int |
     for a, b in zip(cuts, cuts[1:]):
         start = a
         if a and overlap:
-            earliest = max(0, a - overlap)
+            earliest = max(out[-1][0] + 1, a - overlap)  # never the whole of the piece before
             for grade in grades:
                 k = int(np.searchsorted(grade, earliest))
                 if k < len(grade) and grade[k] < a:
