@@ -40,8 +40,8 @@ _SINGLE = re.compile(f"[{_CHAR}]")
 _HIGH = re.compile("[^\x00-\u02ff\u2000-\u206f\u20a0-\u20cf\u2100-\u214f]")
 
 _rng = np.random.default_rng(20240229)
-_MUL = _rng.integers(1, 1 << 63, HASHES, np.uint64) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, HASHES, np.uint64)
+_MUL = _rng.integers(1, 1 << 32, HASHES, np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, HASHES, np.uint32)
 _FOLD = _rng.integers(1, 1 << 63, BAND, np.uint64) | np.uint64(1)
 _RUN = _rng.integers(1, 1 << 63, 16, np.uint64) | np.uint64(1)
 
@@ -68,12 +68,11 @@ class Shingles:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        codes = []
-        for w in found:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            codes.append(h)
+        codes = [*map(known.get, found)]
+        if None in codes:
+            for k, w in enumerate(found):
+                if codes[k] is None:
+                    codes[k] = known[w] = xxhash.xxh3_64_intdigest(w)
         c, n = np.array(codes, np.uint64), self.size_single if single else self.size
         if len(c) < n:  # shorter than one run: the whole text is its only run
             n = max(1, len(c))
@@ -87,11 +86,11 @@ class Shingles:
 
 def fingerprint(runs: np.ndarray) -> tuple[list[int], int, int]:
     """Masked patterns (one signed 64-bit number for each mask) and 112 low bits as two signed numbers."""
-    values = np.empty(HASHES, np.uint64)
-    for k in range(0, HASHES, 16):
-        v = runs[:, None] * _MUL[k : k + 16] + _ADD[k : k + 16]
-        values[k : k + 16] = (v ^ (v >> np.uint64(31))).min(0)
-    mixed = values * np.uint64(0x94D049BB133111EB)
+    v = (runs >> np.uint64(32)).astype(np.uint32)[None, :] * _MUL[:, None]
+    v += _ADD[:, None]
+    v ^= v >> np.uint32(15)
+    v *= np.uint32(0x846CA68B)
+    mixed = v.min(1).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
     mixed ^= mixed >> np.uint64(32)
     patterns = (mixed.reshape(MASKS, BAND) * _FOLD).sum(1, dtype=np.uint64) + np.arange(MASKS, dtype=np.uint64)
     patterns *= np.uint64(0x9E3779B97F4A7C15)
@@ -176,10 +175,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, size_s
         def step(batch):
             rows = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if least and letters(t) < least:
+                if len(t) < least:
                     continue
                 found, single = words(t)
-                if not found:
+                # words hold all letters and digits, and marks only in some scripts
+                if not found or least and (sum(map(len, found)) < least or not t.isascii() and letters(t) < least):
                     continue
                 digest = xxhash.xxh3_128_intdigest(" ".join(found).encode("utf-8", "surrogatepass"))
                 sign = lambda x: x - (1 << 64) if x >> 63 else x
@@ -193,9 +193,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, size_s
     classes = seen.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.first("patterns").alias("patterns"), F.first("high").alias("high"), F.first("low").alias("low"))
     classes = cut(classes)
 
-    entries = classes.select(F.explode("patterns").alias("pattern"), "h1", "h2")
+    # half a key is enough to come back to a class; should two classes share it, the exact check parts them
+    entries = classes.select(F.explode("patterns").alias("pattern"), "h1")
     shared = classes.select(F.explode("patterns").alias("pattern")).groupBy("pattern").count().where("count > 1")
-    live = entries.join(shared, "pattern").join(classes.select("h1", "h2", "high", "low"), ["h1", "h2"])
+    live = entries.join(shared, "pattern").join(classes.select("h1", "h2", "high", "low"), "h1")
     # a pattern of many classes: blocks that meet pairwise, each pair a group of its own
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("h1", "h2"), blocks).cast("int")
