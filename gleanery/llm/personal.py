@@ -110,7 +110,7 @@ JA_NAME = r"[一-鿿々ヶケヵノ之]{1,5}[ \u3000]?[一-鿿々ぁ-んァ-ヶ]
 JA_CTX = [re.compile(rf"(?:担当は|担当者は|連絡先は|窓口は)({JA_NAME})(?=[、，,です])"), re.compile(rf"(?:資料は|書類は|通知は|宛先は|株券は)({JA_NAME})(?=様|さん|氏|殿)"), re.compile(rf"(?:株主の|社員の|従業員の|元社員の|申請者の|私、|私は|質問者の|投資家の)({JA_NAME})(?=[（(、，]|様|さん|氏|と申|です|が|は|から)"), re.compile(rf"敬具\n[ \u3000]*({JA_NAME})(?=\n|$)"), re.compile(rf"(?<![一-鿿])({JA_NAME})(?=様[、。宛]|さん[、。]|氏[、。は])")]
 
 _EMAIL = re.compile(r"(?<![\w.+-])[\w][\w.+'-]{0,63}(?: ?@ ?|\s?[\[({<]\s?(?:at|AT|ät|@|arroba)\s?[\])}>]\s?| (?:AT|at) (?=[\w-]+(?:\.[\w-]+)*\s?(?:[\[({<]\s?|\s)(?:dot|DOT|punkt|point|punto)\b))[\w-]+(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|punkt|point|punto|\.)\s?[\])}>]\s?| (?:dot|DOT|punkt|point|punto) )[\w-]+)+", re.A)
-_EMAIL_U = re.compile(r"@|\bat\b|\[at|\(at|\{at|\bAT\b")
+_EMAIL_U = re.compile(r"[\[({<]\s?(?:at|AT|ät|arroba)\s?[\])}>]")
 _NUMBER = re.compile(r"(?<![A-Za-z0-9_.,$€£¥])(?:[(（]\+?\d{1,4}[)）][ -]?|\+)?\d(?:[ \u00a0]?[()（）./‐-–-]?[ \u00a0]?\d){6,18}(?:,? ?(?:ext|x|extension|Durchwahl|App|poste|ext\.|内線|转)\.? ?\d{1,5})?(?![\w%]|[.,]\d)", re.I)
 _PHONE_FORMS = re.compile(
     r"\+\d{1,3}[ .\u00a0-]?(?:\(0\)[ ]?)?\(?\d.*|00(?:1|3\d|4\d|81|86|[2-9]\d)[ .-]?\d.*|[(（]\+\d{1,3}[)）][ -]?\d.*|(?:1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?\d{3}([.-])\d{3}\1\d{4}|\d{3}/\d{3}-\d{4}|(?:1 )?\d{3} \d{3} \d{4}|[2-9]\d{9}"
@@ -142,14 +142,20 @@ _ADDR = [
     re.compile(r"(?:(?<=[：:，,。\n于至在到住址 ])|^|(?<=寄往)|(?<=地址))(?:[一-鿿]{2,4}省)?[一-鿿]{2,4}市(?:[一-鿿]{1,4}[区县])?[一-鿿]{1,8}(?:大道|街道|街|路|巷|道|弄|胡同)\d{1,5}号(?:院)?(?:\d{1,4}(?:号楼|单元|栋|幢|楼|座))*(?:\d{1,5}[室号房])?"),
     re.compile(r"(?:〒?\d{3}-\d{4}[ \u3000]?)?(?<![一-鿿])[一-鿿々ヶケノ]{1,5}(?:都|道|府|県|市|区|郡)[一-鿿々ぁ-んァ-ヶ]{1,12}?(?:\d{1,3}丁目\d{1,3}番(?:地)?(?:\d{1,3}号)?|\d{1,3}(?:[-－‐−]\d{1,4}){1,3}|\d{1,4}番地?(?:\d{1,3}号)?)(?:[ \u3000]?[一-鿿ァ-ヶー]{2,10}\d{1,4}号室)?"),
 ]
+# What each kind of address cannot do without, in small letters.
 _ADDR_CUE = [
-    re.compile(rf"\b{_STREET}(?![\w])"), re.compile(r"straße|strasse|str\.|allee|weg|gasse|platz|ring|damm|ufer|chaussee|steig|stieg|Straße|Allee|Weg|Platz|Gasse"), re.compile(r"\b(?:rue|avenue|av\.|bd|boulevard|place|impasse|allée|chemin|quai|cours|route|square|passage)\b"), re.compile(r"\b(?:Calle|C/|Avda|Avenida|Plaza|Pza|Paseo|Camino|Carretera|Ronda|Travesía|Glorieta)\b"), re.compile(r"市"), re.compile(r"丁目|番|\d[-－‐−]\d"),
+    " street| st.| st,| st\n| avenue| ave| road| rd| lane| ln| drive| dr.| court| ct| terrace| boulevard| blvd| way| place| pl.| square| sq| crescent| close| parkway| pkwy| highway| hwy| row| walk| mews| gardens| grove| hill| alley| circle| cir.| trail",
+    "straße |strasse |str. |allee |weg |gasse |platz |ring |damm |ufer |chaussee |steig |stieg ",
+    "rue |avenue |av. |bd |boulevard |place |impasse |allée |chemin |quai |cours |route |square |passage ",
+    "calle |c/|avda|avenida|plaza|pza|paseo|camino|carretera|ronda|travesía|glorieta",
+    "市",
+    "都|道|府|県|市|区|郡",
 ]
 _BARE_STREET = re.compile(r"(?:at|to|of|in|address:?|for|lives at|parcel for|mailed to|moved to|jointly,)\s*$", re.I)
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _SIGNED = re.compile(rf"(?m)^[ \t]*({_REVERSED}|{_NAME})[ \t]*\n[ \t]*(?:Tel\.?|Tél\.?|Phone|Mobile|Mobil|Móvil)?:? ?[+(（\d][\d ()（）./+-]{{7,20}}[ \t]*$")
 _SIGNED_CJK = re.compile(r"(?m)^[ \u3000]*(?:此致|敬具|敬上|谨上|拝具|草々)[ \u3000]*\n[ \u3000]*([一-鿿々ヶケヵノぁ-んァ-ヶ]{2,9}(?:[ \u3000][一-鿿ぁ-んァ-ヶ]{1,4})?)[ \u3000]*$")
-_SPEAKER = re.compile(rf"(?:^|(?<=[.!?\n] )|(?<=\n))({_REVERSED}|{_NAME}): (?=[A-Z])", re.M)
+_COLON = re.compile(r": (?=[A-Z])")
 
 _GIVEN = {w.lower() for w in GIVEN_EN + GIVEN_DE + GIVEN_FR + GIVEN_ES}
 
@@ -180,8 +186,14 @@ class Finder:
     def __init__(self) -> None:
         self.triggers = _automaton()
         self.labels = ahocorasick.Automaton()
+        of: dict[str, list] = {}
         for w in LABELS:
-            self.labels.add_word(w, w)
+            of.setdefault(w, []).append(("label", w))
+        for i, cues in enumerate(_ADDR_CUE):
+            for w in cues.split("|"):
+                of.setdefault(w, []).append(("address", i))
+        for w, what in of.items():
+            self.labels.add_word(w, what)
         self.labels.make_automaton()
 
     @staticmethod
@@ -219,7 +231,7 @@ class Finder:
                 taken.append((a, b))
                 found.append((a, b, kind))
 
-        if _EMAIL_U.search(text):
+        if "@" in text or "(at" in text or "[at" in text or "{at" in text or " AT " in text or " at " in text and (" dot " in text or " DOT " in text) or _EMAIL_U.search(text):
             for m in _EMAIL.finditer(text):
                 b = m.end()
                 while text[b - 1] in ".-'_":
@@ -229,8 +241,15 @@ class Finder:
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        for end, word in self.labels.iter(low):
-            m = _ID.match(text, end + 1 - len(word))
+        labels, kinds = [], set()
+        for end, what in self.labels.iter(low):
+            for kind, x in what:
+                if kind == "label":
+                    labels.append((end + 1 - len(x), x))
+                else:
+                    kinds.add(x)
+        for start, word in labels:
+            m = _ID.match(text, start)
             if not m:
                 continue
             value = m.group(1)
@@ -247,8 +266,8 @@ class Finder:
                     a += 1
                 take(a, b, "id_number")
         cjk = bool(_CJK.search(text))
-        for i, (cue, pattern) in enumerate(zip(_ADDR_CUE, _ADDR)):
-            if (i >= 4) and not cjk or not cue.search(text):
+        for i, pattern in enumerate(_ADDR):
+            if i not in kinds or i >= 4 and not cjk:
                 continue
             for m in pattern.finditer(text):
                 if i == 0:
@@ -376,10 +395,13 @@ class Finder:
                         add(max(0, start - 30) + rev.start(1), end + 1 + tail.end())
         for m in _SIGNED.finditer(text):
             add(*m.span(1))
-        for m in _SPEAKER.finditer(text):
-            name = m.group(1)
-            if any(w.strip(",").split("-")[0].lower() in _GIVEN for w in name.split()):
-                add(*m.span(1))
+        for m in _COLON.finditer(text):
+            seg_start = max(0, m.start() - 64)
+            n = _back.search(text[seg_start : m.start()])
+            if n and any(w.strip(",").split("-")[0].lower() in _GIVEN for w in n.group(1).split()):
+                a = seg_start + n.start(1)
+                if not a or text[a - 1] == "\n" or text[max(0, a - 2) : a] in (". ", "! ", "? ", "\n "):
+                    add(a, m.start())
         if cjk:
             self._cjk(text, take, full)
         self._again(text, full, take)
