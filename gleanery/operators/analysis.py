@@ -35,3 +35,10 @@ def best_by_column(summary: DataFrame, columns: list[str]) -> DataFrame:
     """The summary with ``best_<column>``: whether a row has the greatest value of that column."""
     best = summary.agg(*[F.max(c).alias(f"max_{c}") for c in columns])
     return summary.crossJoin(F.broadcast(best)).select(*summary.columns, *[(F.col(c) == F.col(f"max_{c}")).alias(f"best_{c}") for c in columns])
+
+
+def common_strategies(first: DataFrame, second: DataFrame, metric: str) -> DataFrame:
+    """``strategy`` and the metric in both versions (0 where it is unknown), for strategies that both have."""
+    a = first.select("strategy", F.coalesce(metric, F.lit(0.0)).alias("first"))
+    b = second.select("strategy", F.coalesce(metric, F.lit(0.0)).alias("second"))
+    return a.join(b, "strategy")

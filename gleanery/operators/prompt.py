@@ -56,3 +56,13 @@ def generate(prompts: DataFrame, make) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([next(answers) if n else NOTHING for _, n in rows], pa.string())], names=["query_id", "answer"])
 
     return map_arrow(prompts.select("query_id", "prompt", "passages"), run, f"query_id {kind}, answer string")
+
+
+def source_panel(hits: DataFrame, answers: DataFrame) -> DataFrame:
+    """Hits (``query_id``, ``rank``, scores by stage) with ``is_cited`` by their answer and the ``score`` of the last stage that gave one:
+    ``rerank_score``, ``rrf_score``, ``score``, ``distance``; stages that are no column are passed over."""
+    known = [F.col(c) for c in ("rerank_score", "rrf_score", "score", "distance") if c in hits.columns]
+    cited_numbers = answers.select("query_id", citations("answer").alias("cited"))
+    joined = hits.join(cited_numbers, "query_id", "left")
+    others = [c for c in hits.columns if c != "score"]
+    return joined.select(*others, (F.coalesce(*known) if known else F.lit(None).cast("double")).alias("score"), F.coalesce(F.array_contains("cited", F.col("rank").cast("bigint")), F.lit(False)).alias("is_cited"))

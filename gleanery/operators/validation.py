@@ -34,3 +34,9 @@ def filing_summary(sections: DataFrame, key: str = "source_file") -> DataFrame:
     gaps = item_gaps(sections, key).groupBy(key).agg(F.count("*").alias("gaps"))
     base = sections.groupBy(key).agg(F.countDistinct("part").alias("parts"), F.countDistinct("item").alias("items"), F.count(F.when(F.length("text") < SHORT, 1)).alias("short"), F.sum("duplicates").cast("long").alias("dup"))
     return base.join(gaps, key, "left").select(key, "parts", "items", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"), "short", "dup", (F.col("parts") == 0).alias("no_part"))
+
+
+def sections_by_part(sections: DataFrame, key: str = "source_file", order: str = "seg") -> DataFrame:
+    """Parts of each filing in the order in which they first come, with their items and characters. A null part is one part."""
+    first = sections.groupBy(key, "part").agg(F.min(order).alias("first"), F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"))
+    return first.withColumn("part_no", F.row_number().over(W.partitionBy(key).orderBy("first", F.col("part").asc_nulls_last())).cast("int")).select(key, "part_no", "part", "sections", "chars")

@@ -469,6 +469,26 @@ def filing_summary(spark, sf_dir):
     return validation.filing_summary(filed)
 
 
+@query(f"WITH {s_sections(S_NODES)} SELECT doc, item, CAST(length(text) AS INTEGER) AS chars FROM sections WHERE length(text) < 500")
+def short_sections(spark, sf_dir):
+    return validation.short_sections(document_sections(spark, sf_dir)).select("doc", "item", F.length("text").alias("chars"))
+
+
+@query(f"""WITH {s_sections(S_NODES)}, p AS (SELECT doc, part, count(*) AS sections, sum(length(text))::BIGINT AS chars, min(seg) AS first FROM sections GROUP BY doc, part)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY first, part NULLS LAST) AS INTEGER) AS part_no, part, sections, chars FROM p""")
+def sections_by_part(spark, sf_dir):
+    return validation.sections_by_part(document_sections(spark, sf_dir), "doc")
+
+
+@query(f"""WITH {s_sections(S_NODES)}, d AS (SELECT DISTINCT doc FROM sections)
+SELECT doc, '[]' AS parts, (SELECT count(*) FROM sections s WHERE s.doc = d.doc) AS sections, (SELECT sum(duplicates)::BIGINT FROM sections s WHERE s.doc = d.doc) AS duplicates_suppressed FROM d""")
+def extraction_stats(spark, sf_dir):
+    """The documents here name no parts, so their list is empty."""
+    nodes = html.line_nodes(table(spark, sf_dir, "documents"), "doc_id")
+    stats = sections.extraction_stats(nodes, sections.extract_sections(nodes))
+    return stats.select("doc", F.to_json("parts_detected").alias("parts"), "sections", "duplicates_suppressed")
+
+
 # -- prompts, citations and judges --------------------------------------------------------------------------------
 
 
@@ -489,6 +509,32 @@ def build_prompt(spark, sf_dir):
     return prompt.build_prompts(questions(spark, sf_dir), hits.select("query_id", "rank", F.col("metadata.source_file").alias("source_file"), F.col("metadata.item").alias("item"), F.col("metadata.section_title").alias("title"), "text"))
 
 
+@query(f"""{S_LEGS}, {s_rrf(10, 20)} SELECT x.query_id, x.id, x.rank, round(1.0::DOUBLE / (60 + x.rank), 9) AS score, list_contains(list_transform(regexp_extract_all(a.answer, '\\[([0-9]+)\\]', 1), lambda c: CAST(c AS BIGINT)), x.rank::BIGINT) AS is_cited
+FROM (SELECT query_id, id, rank FROM rrf WHERE rank <= 5) x JOIN v2_generation_results a ON a.result_id = x.query_id WHERE a.answer IS NOT NULL""")
+def source_panel(spark, sf_dir):
+    """Fused hits of spans beside the answers of the same number: which of the five an answer cites."""
+    _, x, d, _ = legs(spark, sf_dir)
+    hits = fusion.reciprocal_rank(d, x, 10, pool=20).where("rank <= 5").select("query_id", "id", "rank", F.round(1.0 / (60 + F.col("rank")), 9).alias("rrf_score"))
+    answers = table(spark, sf_dir, "v2_generation_results").where("answer IS NOT NULL").select(F.col("result_id").alias("query_id"), "answer")
+    known = hits.join(answers.select("query_id"), "query_id", "left_semi")
+    return prompt.source_panel(known, answers).select("query_id", "id", "rank", "score", "is_cited")
+
+
+@query(f"""{S_SCORES}, m AS (SELECT strategy, round(avg(coalesce(1.0 / r, 0)), 4) AS mrr, round(avg(coalesce(r <= 5, false)::INT), 4) AS recall_at_5 FROM sc GROUP BY strategy)
+SELECT strategy, mrr, recall_at_5, mrr = max(mrr) OVER () AS best_mrr, recall_at_5 = max(recall_at_5) OVER () AS best_recall_at_5 FROM m""")
+def best_strategies(spark, sf_dir):
+    summary = evaluation.summarise(strategy_scores(spark, sf_dir)).select("strategy", "mrr", "recall_at_5")
+    return analysis.best_by_column(summary, ["mrr", "recall_at_5"])
+
+
+@query(f"""{S_SCORES}, m AS (SELECT strategy, round(avg(coalesce(1.0 / r, 0)), 4) AS mrr FROM sc GROUP BY strategy)
+SELECT 'all' AS version, strategy, mrr, count_ AS n_questions FROM (SELECT *, (SELECT count(DISTINCT query_id) FROM sc) AS count_ FROM m) UNION ALL SELECT 'words', strategy, mrr, NULL FROM m WHERE strategy = 'bm25'""")
+def version_comparison(spark, sf_dir):
+    """Two summaries under each other; what only one has is null in the other."""
+    s = evaluation.summarise(strategy_scores(spark, sf_dir)).select("strategy", "mrr", "n_questions")
+    return analysis.compare_versions(s, s.where("strategy = 'bm25'").drop("n_questions"), ("all", "words")).select("version", "strategy", "mrr", "n_questions")
+
+
 @query("SELECT count(*) AS n_questions, round(avg(CASE WHEN NOT isnan(scores.faithfulness) THEN scores.faithfulness END), 4) AS faithfulness, round(avg(CASE WHEN NOT isnan(scores.relevancy) THEN scores.relevancy END), 4) AS relevancy, round(avg(latency_ms), 1) AS mean_latency_ms FROM v2_generation_results")
 def judge_means(spark, sf_dir):
     r = table(spark, sf_dir, "v2_generation_results")

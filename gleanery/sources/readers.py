@@ -57,3 +57,11 @@ def documents(sections: DataFrame, extra: dict[str, str] | None = None) -> DataF
         added = F.create_map(*[F.lit(x) for kv in extra.items() for x in kv])
         meta = F.map_concat(F.map_filter(meta, lambda k, v: ~k.isin(list(extra))), added)
     return sections.where(r"text RLIKE '\\S'").select(F.concat_ws("::", "source_file", F.coalesce("part", F.lit("")), "item").alias("doc_id"), "text", meta.alias("metadata"))
+
+
+def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """Summaries of strategies kept as one JSON object (strategy to metrics): ``strategy``, ``metric``, ``value``. Entries that are
+    no number are left out."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
+    rows = raw.select(F.explode("m").alias("strategy", "metrics")).select("strategy", F.explode("metrics").alias("metric", "value"))
+    return rows.select("strategy", "metric", F.col("value").try_cast("double").alias("value")).where("value IS NOT NULL")

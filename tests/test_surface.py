@@ -25,6 +25,15 @@ def test_prompts_and_citations(spark):
     assert [(r["n"], r["c"]) for r in got] == [([0, 1, 3, 99], ["p", "r"]), ([], []), (None, None)]
 
 
+def test_source_panel_and_summaries(spark, tmp_path):
+    hits = spark.createDataFrame([("q", 1, None, 0.5), ("q", 2, 0.9, 0.4), ("r", 1, None, None)], "query_id string, rank int, rerank_score double, distance double")
+    answers = spark.createDataFrame([("q", "see [2]")], "query_id string, answer string")
+    got = prompt.source_panel(hits, answers).orderBy("query_id", "rank").collect()
+    assert [(r["score"], r["is_cited"]) for r in got] == [(0.5, False), (0.9, True), (None, False)]
+    (tmp_path / "s.json").write_text(json.dumps({"bm25": {"mrr": 0.5, "note": "x"}, "hybrid": {"mrr": 0.7}}))
+    assert sorted(map(tuple, readers.read_summaries(spark, str(tmp_path / "s.json")).collect())) == [("bm25", "mrr", 0.5), ("hybrid", "mrr", 0.7)]
+
+
 def test_judge_double():
     assert OverlapJudge().judge([("a b", "a c", ["a"]), ("q", "", [])]) == [{"faithfulness": 0.5, "relevancy": 0.5}, {"faithfulness": None, "relevancy": None}]
 
