@@ -100,7 +100,7 @@ REFUSALS = [
     r"\bno (?:me )?(?:puedo|podría|sé|dispongo|tengo|estoy en|soy capaz|es posible|cuento|encuentro|deseo)\b", r"\blo siento\b", r"\blamento\b", r"\bprefier[oe] no\b", r"\b(?:me )?(?:resulta|es) imposible\b", r"\bning(?:ún|una|uno)\b[^.]{0,40}(?:fragmento|pasaje|extracto|documento|texto|información|fuente|dato)", r"\b(?:fragmentos?|pasajes?|extractos?|documentos?|textos?|contexto|fuentes?)\b[^.]{0,40}\bno (?:\w+ )?(?:contienen?|permiten?|mencionan?|incluyen?|ofrecen?|dicen?|tratan?|bastan?|aportan?|hablan?)", r"\bno (?:hay|se (?:puede|encontró|encuentra|dispone)) (?:\w+ ){0,3}?(?:información|respuesta|datos|responder)",
     # Chinese and Japanese
     r"抱歉|对不起|无法(?:回答|提供|确定|判断|给出|得知|答复|找到|处理|协助)|不能(?:回答|判断|提供|确定|给出|得知|答复|透露)|没有(?:关于|提及|提到|包含|相关|足够|任何)|未(?:提及|提到|提供|包含|找到|涉及)|找不到|不便(?:回答|透露)|不清楚|不知道|恕(?:我)?(?:无法|不能)",
-    r"お答え(?:でき|いたしかね|しかね)|答えられません|回答(?:でき|いたしかね|しかね|を(?:控え|差し控え))|情報(?:が|は)(?:ありません|ない|含まれ|見当たり|不足)|判断(?:でき|し(?:かね|兼ね))|(?:分|わ)かりません|わかりかね|申し訳(?:あり|ござい)ません|記載(?:が|は)(?:ありません|ない)|含まれて(?:いません|おりません)|言及(?:が|は)?(?:ありません|されていません|していません)|見つかりません|見当たりません|できかねます|触れ(?:て|られて)いません|控えさせて",
+    r"お答え(?:でき|いたしかね|しかね)|答えられません|コメント(?:を|は)(?:控え|差し控え)|(?:差し)?控え(?:ます|させ)|回答(?:でき|いたしかね|しかね|を(?:控え|差し控え))|情報(?:が|は)(?:ありません|ない|含まれ|見当たり|不足)|判断(?:でき|し(?:かね|兼ね))|(?:分|わ)かりません|わかりかね|申し訳(?:あり|ござい)ません|記載(?:が|は)(?:ありません|ない)|含まれて(?:いません|おりません)|言及(?:が|は)?(?:ありません|されていません|していません)|見つかりません|見当たりません|できかねます|触れ(?:て|られて)いません|控えさせて",
 ]
 _REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS), re.I)
 
@@ -115,7 +115,8 @@ _MARKUP = re.compile(r"```\w*|[*_`#>|~]+|&(?:nbsp|amp|lt|gt|quot);")
 _QUOTED = re.compile(r"“[^“”]{1,600}”|„[^„“”]{1,600}[“”]|«[^«»]{1,600}»|「[^「」]{1,600}」|『[^『』]{1,600}』|(?<!\w)\"[^\"]{1,600}\"(?!\w)")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
 _UNIT = re.compile(r"[぀-ヿ㐀-䶿一-鿿]|[^\W_]+(?:['’][^\W_]+)*")
-_TOKEN = re.compile(r"\[\d{1,3}\]|\n+|[$€£¥]?\d[\d.,]*\d|\d|[぀-ヿ㐀-䶿一-鿿]|[^\W\d_]+(?:['’-][^\W\d_]+)*|[^\w\s]")
+_LATIN = r"(?:(?![぀-ヿ㐀-䶿一-鿿])[^\W\d_])+"
+_TOKEN = re.compile(rf"\[\d{{1,3}}\]|\n+|[$€£¥]?\d[\d.,]*\d|\d|[぀-ヿ㐀-䶿一-鿿]|{_LATIN}(?:['’-]{_LATIN})*|[^\w\s]")
 _LABEL = re.compile(r"^\s*(?:\**\s*(?:answer|antwort|réponse|respuesta|response|reply|a|回答|答案|答)\s*\**\s*[:：]\s*\**|sure[.!,]|based on the passages,)\s*", re.I)
 _STOP = ".!?。！？…؟।"
 _CLOSE = "\"”“’»」』)）*_`  ​"
@@ -286,6 +287,8 @@ def _key(parts: list[str]) -> int:
 
 #: Words of a context, and the fewest occurrences from which its counts are trusted.
 CONTEXT, TRUST, SHORT = 3, 4, 9
+#: Share below which a way to go on from the beginning of a reply is rare.
+RARE = 0.02
 
 
 def contexts(answer: str) -> dict[int, tuple[int, int]]:
@@ -342,13 +345,16 @@ def open_end(answer: str) -> tuple[str, list[int], bool]:
         return "cut", [], False
     if bare[-1] == "]":
         return "whole", [], False
+    if not any(map(str.isalpha, bare)):
+        return "whole", [], False  # a number or a date alone
     last_line = bare.rsplit("\n", 1)[-1]
     toks = ["\x02", *_tokens(bare)]
     if re.match(r"\s*(?:[-*•–]|\d{1,2}[.)])\s+\S", last_line) and len(last_line.split()) <= 8:
         return "whole" if last_line.strip()[-1].isalnum() else "cut", [], False
     keys = [_key(toks[max(0, len(toks) - k) :]) for k in range(CONTEXT, 0, -1)]
     whole = _key(["\x03", *toks]) if len(toks) <= SHORT else 0
-    return "ask", [whole, *keys], toks[-1].isalpha() and toks[-1].islower() and len(toks) > 3
+    begun = _key(["\x03", *toks[:-1]]) if whole and len(toks) > 2 else 0
+    return "ask", [whole, *keys, begun], toks[-1].isalpha() and toks[-1].islower() and len(toks) > 3
 
 
 def defects(df: DataFrame, id_col: str = "result_id", question_col: str = "question", answer_col: str = "answer") -> DataFrame:
@@ -399,15 +405,18 @@ def defects(df: DataFrame, id_col: str = "result_id", question_col: str = "quest
 
         return step
 
-    asked = judged.where("kind = '?'").select("id", "small", F.posexplode("keys").alias("level", "key"))
+    asked = judged.where("kind = '?'").select("id", "small", F.posexplode("keys").alias("level", "key")).where("key <> 0")
     model = map_batches(src.select("a").where("a IS NOT NULL"), "key long, ends long, on long", count).groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("on").alias("goes"))
     seen = asked.join(model, "key", "left").select("id", "small", "level", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("goes", F.lit(0)).alias("goes"))
     level = lambda n, c: F.max(F.when(F.col("level") == n, F.col(c)))
-    per = seen.groupBy("id").agg(F.max("small").alias("small"), *[level(n, c).alias(f"{c}{n}") for n in range(CONTEXT + 1) for c in ("ends", "goes")])
+    per = seen.groupBy("id").agg(F.max("small").alias("small"), *[level(n, c).alias(f"{c}{n}") for n in range(CONTEXT + 2) for c in ("ends", "goes")])
+    per = per.na.fill(0)
     share = lambda n: F.col(f"ends{n}") / (F.col(f"ends{n}") + F.col(f"goes{n}"))
     known = lambda n: F.col(f"ends{n}") + F.col(f"goes{n}") >= TRUST
     never = F.col("small") & (F.col(f"ends{CONTEXT}") + F.col(f"goes{CONTEXT}") < 2)
-    closed = F.when(never, F.lit(0.0)).when((F.col("ends0") > 0) & (share(0) >= 0.5), F.lit(1.0))
+    # a short reply stands if replies like it end there, and if its last word is not a rare turn of replies that begin alike
+    usual = F.col("ends0") + F.col("goes0") >= RARE * F.col(f"goes{CONTEXT + 1}")
+    closed = F.when(never, F.lit(0.0)).when((F.col("ends0") > 0) & (share(0) >= 0.5) & usual, F.lit(1.0))
     for n in range(1, CONTEXT):  # the longest trusted context; one word alone tells too little
         closed = closed.when(known(n), share(n))
     closed = closed.when(F.col(f"ends{CONTEXT - 1}") > 0, share(CONTEXT - 1))

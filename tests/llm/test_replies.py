@@ -55,7 +55,7 @@ def test_table(spark):
     replies = [f"Alpha Foods reported net sales of ${i}.5 million for Beta One in 20{i} [1]. Management links this to the launch of Gamma Two [2]." for i in range(10, 60)]
     rows = [(i, Q, a) for i, a in enumerate(replies)]
     bad = [(100, None, "empty"), (101, Q, "copied_question"), (102, "I cannot answer this.", "refusal"), (103, "Laut Bericht der Alpha betrifft das vor allem das Jahr 2031 [1].", "other_language"), (104, "Alpha Foods reported net sales of $5.5 mill", "truncated"), (105, replies[0] + " Management links this to the", "truncated"), (106, replies[0] + " Management links this to the launch of", "truncated")]
-    good = [(200, "$5.1 million"), (201, replies[0][:-1]), (202, "Yes"), (203, Q + " " + A)]
+    good = [(200, "$5.1 million"), (201, replies[0][:-1]), (202, "Yes"), (204, "2031"), (203, Q + " " + A)]
     rows += [(i, Q, a) for i, a, _ in bad] + [(i, Q, a) for i, a in good] + [(100, Q, None), (None, Q, None), (300, None, "")]
     df = spark.createDataFrame(rows, "result_id long, question string, answer string")
     got = {r["result_id"]: r["defect"] for r in defects(df).collect()}
