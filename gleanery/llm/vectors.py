@@ -2,7 +2,7 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample; every usable vector is indexed. A vector
 belongs to the list of its nearest centroid and asks in every list whose centroid is almost as near
-(``margin`` in cosine), however many those are. Lists are packed into slots, near centroids together, so a vector is
+(``margin`` in cosine, more for a vector that is far from all of them), however many those are. Lists are packed into slots, near centroids together, so a vector is
 shipped once to its own slot and once to each further slot in which it asks. Within a slot, asymmetric distance
 tables (query parts against codebook parts) rank the members of the asked lists by their codes: in the nearest list
 the best are ranked again by their true vectors, and in the others all whose estimate comes within the error of the
@@ -70,7 +70,8 @@ class Index:
         lists = int(min(LISTS, len(sample), max(1, rows // 300)))
         self.margin = margin
         self.centroids = _kmeans(sample, lists, 8, rng, True)
-        near = (sample @ self.centroids.T).argmax(1)
+        close = sample @ self.centroids.T
+        near, self.usual = close.argmax(1), float(np.median(close.max(1)))
         rest = sample - self.centroids[near]
         self.parts = next(p for p in range(min(PARTS, sample.shape[1]), 0, -1) if sample.shape[1] % p == 0)
         self.width = sample.shape[1] // self.parts
@@ -91,7 +92,10 @@ class Index:
     def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The list of each row, and a matrix of the lists in which it asks."""
         s = x @ self.centroids.T
-        return s.argmax(1), s >= s.max(1, keepdims=True) - self.margin
+        best = s.max(1, keepdims=True)
+        # a vector far from every centroid has its neighbours far off and scattered: it asks more widely
+        wider = np.maximum(1, (1 - best) / max(1e-6, 1 - self.usual))
+        return s.argmax(1), s >= best - self.margin * wider
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
         rest = x - self.centroids[own]
@@ -231,7 +235,7 @@ def answer(index: Index, slot: Slot, q: np.ndarray, q_ids: np.ndarray, asks: np.
     return r[top], ids[top], s[top]
 
 
-def similar_vectors(df: DataFrame, k: int = 5, dim: int = 96, margin: float = 0.09, rerank: int = 48, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def similar_vectors(df: DataFrame, k: int = 5, dim: int = 96, margin: float = 0.08, rerank: int = 48, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For every usable vector the ``k`` others of greatest cosine: ``id``, ``neighbour``, ``rank`` from 1, ``similarity``.
 
     Usable: a non-null integer id and exactly ``dim`` finite numbers, not all zero; other rows take no part. Rows of
