@@ -85,6 +85,9 @@ _TITLES = rf"(?:{_TITLE}{{0,3}})"
 _full = re.compile(rf"({_REVERSED}|{_NAME})")
 _back = re.compile(rf"(?:^|(?<=[\s(–—:>/“\"'„«]))({_REVERSED}|{_NAME})$")
 _back_any = re.compile(rf"(?:^|[.!?:;\n(–—]\s*){_TITLES}({_ANY})$")
+_SMALL_NAME = re.compile(r"([^\W\d_]+(?:[-'’][^\W\d_]+)*(?: [^\W\d_]\.?)?(?: (?:von|van|de|la|del) ?)?(?: ?[^\W\d_]+(?:[-'’][^\W\d_]+)*)?)(?=[,'’(]| (?:aus|whose|was|asked|is|has)\b)")
+_ADDRESSED = re.compile(rf"(?:(?:Hi|Dear|Hello)[ \u00a0]|{_TITLE})$")
+_PART_OF_NAME = re.compile(rf"(?:{_TOK}|[{_UP}]\.) $")
 _strip_title = re.compile(rf"^{_TITLES}", re.I)
 
 # What leads to a name, and what must follow it ("" where any end will do).
@@ -370,7 +373,7 @@ class Finder:
                 if m and text[start].isupper():
                     add(*m.span(1), alone=True)
                 elif text[start].isupper():
-                    m = re.compile(r"([^\W\d_]+(?:[-'’][^\W\d_]+)*(?: [^\W\d_]\.?)?(?: (?:von|van|de|la|del) ?)?(?: ?[^\W\d_]+(?:[-'’][^\W\d_]+)*)?)(?=[,'’(]| (?:aus|whose|was|asked|is|has)\b)").match(text, end + 1)
+                    m = _SMALL_NAME.match(text, end + 1)
                     if m and self._lower_name(m.group(1), 1):
                         add(*m.span(1), alone=True)
             elif kind == "given":
@@ -463,7 +466,7 @@ class Finder:
             for m in re.finditer(rf"(?<![\w@.+-]){re.escape(last)}(?![\w@-]|\.\w)", text):
                 if not self._firm(text, *m.span()) and not re.search(r"& $|& $", text[max(0, m.start() - 2) : m.start()]):
                     # part of another full name stays with that name
-                    if re.search(rf"(?:{_TOK}|[{_UP}]\.) $", text[max(0, m.start() - 24) : m.start()]) and not re.search(rf"(?:Hi|Dear|Hello|{_TITLE[3:-1]}) ?$", text[max(0, m.start() - 12) : m.start()]):
+                    if _PART_OF_NAME.search(text[max(0, m.start() - 24) : m.start()]) and not _ADDRESSED.search(text[max(0, m.start() - 12) : m.start()]):
                         continue
                     take(*m.span(), "name")
 
