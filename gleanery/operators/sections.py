@@ -63,16 +63,15 @@ def extract_sections(nodes: DataFrame, dedup: bool = True) -> DataFrame:
     plain = ~F.col("opens") & F.col("part").isNull()
     n = n.withColumn("plain", plain).withColumn("tail", F.when(F.col("item").isNotNull(), tail))
     n = n.withColumn("is_title", F.col("plain") & F.coalesce(F.lag("tail").over(by_doc) == "", F.lit(False))).withColumn("next_title", F.when(F.lead("plain").over(by_doc), F.lead("text").over(by_doc)))
-    heads = n.where("opens").select(
-        "doc",
-        "seg",
-        F.coalesce(F.split("mapped", r"\|")[0].alias("p"), canonical_part(F.regexp_extract("item", r"(\d+)", 1).try_cast("int"), F.col("last_part"))).alias("part"),
-        F.when(F.col("item").isNotNull(), F.col("item")).otherwise(F.split("mapped", r"\|")[1]).alias("item"),
-        F.when(F.col("fired"), F.col("text")).when(F.col("tail") != "", F.col("tail")).otherwise(F.coalesce("next_title", F.lit(""))).alias("title"),
+    part = F.coalesce(F.split("mapped", r"\|")[0], canonical_part(F.regexp_extract("item", r"(\d+)", 1).try_cast("int"), F.col("last_part")))
+    item = F.coalesce("item", F.split("mapped", r"\|")[1])
+    title = F.when(F.col("fired"), F.col("text")).when(F.col("tail") != "", F.col("tail")).otherwise(F.coalesce("next_title", F.lit("")))
+    # heading and body of a segment in one aggregation, on the partitioning by document that the windows made
+    sections = n.where("seg > 0").groupBy("doc", "seg").agg(
+        F.array_sort(F.collect_list(F.when(F.col("plain") & ~F.col("is_title"), F.struct("node_idx", "text")))).alias("b"),
+        *[F.max(F.when(F.col("opens"), c)).alias(name) for name, c in (("part", part), ("item", item), ("title", title))],
     )
-    body = n.where("plain AND NOT is_title AND seg > 0").groupBy("doc", "seg").agg(F.array_sort(F.collect_list(F.struct("node_idx", "text"))).alias("b"))
-    body = body.select("doc", "seg", T.trim_ws(F.array_join(F.col("b.text"), "\n")).alias("text")).where("text <> ''")
-    sections = body.join(heads, ["doc", "seg"])
+    sections = sections.select("doc", "seg", T.trim_ws(F.array_join(F.col("b.text"), "\n")).alias("text"), "part", "item", "title").where("text <> ''")
     if dedup:
         key = W.partitionBy("doc", "part", "item")
         sections = sections.withColumn("duplicates", (F.count("*").over(key) - 1).cast("int")).withColumn("best", F.row_number().over(key.orderBy(F.length("text").desc(), "seg"))).where("best = 1").drop("best")
