@@ -14,6 +14,7 @@ share is cut into blocks of bounded size which meet pairwise in tasks of their o
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,7 @@ class Shingles:
         return np.unique(runs)
 
 
-def fingerprint(runs: np.ndarray) -> tuple[list[int], int, int]:
+def fingerprint(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Masked patterns (one signed 64-bit number for each mask) and 112 low bits as two signed numbers."""
     v = (runs >> np.uint64(32)).astype(np.uint32)[None, :] * _MUL[:, None]
     v += _ADD[:, None]
@@ -95,9 +96,21 @@ def fingerprint(runs: np.ndarray) -> tuple[list[int], int, int]:
     patterns = (mixed.reshape(MASKS, BAND) * _FOLD).sum(1, dtype=np.uint64) + np.arange(MASKS, dtype=np.uint64)
     patterns *= np.uint64(0x9E3779B97F4A7C15)
     patterns ^= patterns >> np.uint64(32)
-    bits = np.packbits((mixed & np.uint64(1)).astype(np.uint8))
-    low = np.frombuffer(bits.tobytes().ljust(16, b"\0"), ">i8")
-    return patterns.view(np.int64).tolist(), int(low[0]), int(low[1])
+    bits = np.zeros(128, np.uint8)
+    bits[:HASHES] = mixed & np.uint64(1)
+    return patterns.view(np.int64), np.packbits(bits).view(">i8")
+
+
+def digest(found: list[str]) -> np.ndarray:
+    """A 128-bit hash of the words in order, as two signed numbers."""
+    return np.frombuffer(xxhash.xxh3_128_digest(" ".join(found).encode("utf-8", "surrogatepass")), ">i8")
+
+
+def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list column of arrays, without a detour over Python numbers."""
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, kind.to_pandas_dtype())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
 def difference_limit(threshold: float) -> int:
@@ -121,6 +134,9 @@ def gray_rank(high: Column, low: Column) -> tuple[Column, Column]:
     return h.bitwiseXOR(top), F.when(odd, F.bitwise_not(low_rank)).otherwise(low_rank).bitwiseXOR(top)
 
 
+_triangle = lru_cache(None)(lambda n: np.triu_indices(n, 1))  # up to two leaves
+
+
 def search(bits: np.ndarray, left: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs i < j of rows of ``bits`` (n x 2 words, in Gray order) that differ in at most ``limit`` bits.
 
@@ -130,7 +146,7 @@ def search(bits: np.ndarray, left: np.ndarray, limit: int) -> tuple[np.ndarray,
     cross = left.any() and not left.all()
     firsts, seconds = [], []
     if n <= 2 * LEAF:
-        i, j = np.triu_indices(n, 1)
+        i, j = _triangle(n)
         if cross:
             k = left[i] != left[j]
             i, j = i[k], j[k]
@@ -173,18 +189,20 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, size_s
         make = Shingles(size, size_single)
 
         def step(batch):
-            rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            kept, keys, prints = [], [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
                 if len(t) < least:
                     continue
                 found, single = words(t)
                 # words hold all letters and digits, and marks only in some scripts
                 if not found or least and (sum(map(len, found)) < least or not t.isascii() and letters(t) < least):
                     continue
-                digest = xxhash.xxh3_128_intdigest(" ".join(found).encode("utf-8", "surrogatepass"))
-                sign = lambda x: x - (1 << 64) if x >> 63 else x
-                rows.append((i, sign(digest >> 64), sign(digest & (1 << 64) - 1), *fingerprint(make.of(found, single))))
-            return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(6)]
+                kept.append(k)
+                keys.append(digest(found))
+                prints.append(fingerprint(make.of(found, single)))
+            h = np.array(keys, np.int64).reshape(-1, 2)
+            low = np.array([b for _, b in prints], np.int64).reshape(-1, 2)
+            return [batch.column(0).take(pa.array(kept, pa.int64())), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), lists([a for a, _ in prints], pa.int64()), pa.array(low[:, 0].copy()), pa.array(low[:, 1].copy())]
 
         return step
 
@@ -271,20 +289,20 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, size_s
         make = Shingles(size, size_single)
 
         def step(batch):
-            runs = []
-            for t, h1, h2 in zip(batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            kept, runs = [], []
+            for k, (t, h1, h2) in enumerate(zip(batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 found, single = words(t)
                 # an id whose texts differ stands for several classes; each text goes with its own
-                digest = xxhash.xxh3_128_intdigest(" ".join(found).encode("utf-8", "surrogatepass"))
-                if (h1 & (1 << 64) - 1, h2 & (1 << 64) - 1) != (digest >> 64, digest & (1 << 64) - 1):
-                    runs.append(None)
+                if tuple(digest(found).tolist()) != (h1, h2):
                     continue
-                runs.append(np.unique((make.of(found, single) >> np.uint64(32)).astype(np.uint32)).view(np.int32).tolist())
-            return [batch.column(0), batch.column(1), batch.column(2), runs]
+                kept.append(k)
+                runs.append(np.unique((make.of(found, single) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+            at = pa.array(kept, pa.int64())
+            return [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), lists(runs, pa.int32())]
 
         return step
 
-    runs = map_batches(texts, f"h1 long, h2 long, class_id {id_type}, runs array<int>", sets).where("runs IS NOT NULL").dropDuplicates(["h1", "h2"])
+    runs = map_batches(texts, f"h1 long, h2 long, class_id {id_type}, runs array<int>", sets).dropDuplicates(["h1", "h2"])
     runs = cut(runs)
     a = runs.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("class_id").alias("class_a"), F.col("runs").alias("runs_a"))
     b = runs.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("class_id").alias("class_b"), F.col("runs").alias("runs_b"))
