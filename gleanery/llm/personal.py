@@ -114,7 +114,7 @@ JA_CTX = [re.compile(rf"(?:担当は|担当者は|連絡先は|窓口は)({JA_NA
 
 _EMAIL = re.compile(r"(?<![\w.+-])[\w][\w.+'-]{0,63}(?: ?@ ?|\s?[\[({<]\s?(?:at|AT|ät|@|arroba)\s?[\])}>]\s?| (?:AT|at) (?=[\w-]+(?:\.[\w-]+)*\s?(?:[\[({<]\s?|\s)(?:dot|DOT|punkt|point|punto)\b))[\w-]+(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|punkt|point|punto|\.)\s?[\])}>]\s?| (?:dot|DOT|punkt|point|punto) )[\w-]+)+", re.A)
 _EMAIL_U = re.compile(r"[\[({<]\s?(?:at|AT|ät|arroba)\s?[\])}>]")
-_NUMBER = re.compile(r"(?<![A-Za-z0-9_.,$€£¥])(?:[(（]\+?\d{1,4}[)）][ -]?|\+)?\d(?:[ \u00a0]?[()（）./‐-–-]?[ \u00a0]?\d){6,18}(?:,? ?(?:ext|x|extension|Durchwahl|App|poste|ext\.|内線|转)\.? ?\d{1,5})?(?![\w%]|[.,]\d)", re.I)
+_NUMBER = re.compile(r"(?<![A-Za-z0-9_.,$€£¥])(?:[(（]\+?\d{1,4}[)）][ -]?|\+)?\d(?:[ \u00a0]?[()（）./‐-–-]?[ \u00a0]?\d){6,18}(?:,? ?(?:ext|x|extension|Durchwahl|App|poste|ext\.|内線|转)\.? ?\d{1,5})?(?![A-Za-z0-9_%]|[.,]\d)", re.I)
 _PHONE_FORMS = re.compile(
     r"\+\d{1,3}[ .\u00a0-]?(?:\(0\)[ ]?)?\(?\d.*|00(?:1|3\d|4\d|81|86|[2-9]\d)[ .-]?\d.*|[(（]\+\d{1,3}[)）][ -]?\d.*|(?:1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?\d{3}([.-])\d{3}\1\d{4}|\d{3}/\d{3}-\d{4}|(?:1 )?\d{3} \d{3} \d{4}|[2-9]\d{9}"
     r"|[(（]0\d{1,4}[)）] ?\d{2,4}-?\d{3,4}|0\d{1,4}-\d{2,4}-\d{4}|0\d{2,4}[/ ]\d{3,8}(?:[ -]\d{1,5})?|0\d([ .-])\d\d(?:\2\d\d){3}|020 \d{4} \d{4}|0\d{2}([ -])\d{2,3}(?:\3\d{2,3}){1,2}|1\d{2}-\d{4}-\d{4}"
@@ -129,7 +129,7 @@ _ID = re.compile(
     r"|\bDNI|\bNIE|\bNIF|\bpasaporte(?: n\.?º)?|\bnúmero de (?:pasaporte|identidad|la seguridad social)|\bdocumento de identidad"
     r"|身份证(?:号码|号)?|护照(?:号码|号)?|社保号|マイナンバー|個人番号|旅券番号|パスポート番号|運転免許証番号|免許証番号)"
     r"(?:\s*[:：#]\s*|\s+(?:is|was|ist|lautet|est|es|no\.?|number|Nr\.?|n°)?:?\s*|は|为|是)?"
-    r"([A-Z]{0,3}[ -]?\d[\dA-ZÑ]*(?:[ .\u00a0-]?[\dA-ZÑ]{1,9})*(?:[ .-][A-ZÑ])?)(?![\w])",
+    r"([A-Z]{0,3}[ -]?\d[\dA-ZÑ]*(?:[ .\u00a0-]?[\dA-ZÑ]{1,9})*(?:[ .-][A-ZÑ])?)(?![A-Za-z0-9_])",
     re.I,
 )
 # How those labels begin, in small letters.

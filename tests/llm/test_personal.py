@@ -22,6 +22,7 @@ CASES = [
     ("联系人欧阳穗宁，电话10000294012，邮箱u1934+ir@post.example。", [("name", "欧阳穗宁"), ("phone", "10000294012"), ("email", "u1934+ir@post.example")]),
     ("股东上官楚萤（身份证号996660200819847343）对表决提出异议。请将材料寄给令狐煦野，地址：云砚市柳岸路200号2单元300室。", [("name", "上官楚萤"), ("id_number", "996660200819847343"), ("name", "令狐煦野"), ("address", "云砚市柳岸路200号2单元300室")]),
     ("資料は鵜ノ瀬 澪斗様、霧浜市青葉町5丁目20番1号までお送りください。", [("name", "鵜ノ瀬 澪斗"), ("address", "霧浜市青葉町5丁目20番1号")]),
+    ("此致\n慕容竺青\n+86 100 0000 5711股东令狐墨筠（身份证号995726198719717053）反对。", [("name", "慕容竺青"), ("phone", "+86 100 0000 5711"), ("name", "令狐墨筠"), ("id_number", "995726198719717053")]),
     ("株主の椋ノ木暁仁（マイナンバー0000 3775 4390）が異議を申し立てた。", [("name", "椋ノ木暁仁"), ("id_number", "0000 3775 4390")]),
 ]
 
