@@ -22,7 +22,10 @@ def brute_bm25(docs, query, k):
     return sorted(docs, key=lambda i: (-score[i], i))[:k]
 
 
-def test_bm25_against_brute_force(spark):
+@pytest.mark.parametrize("matrix", [True, False])
+def test_bm25_against_brute_force_both_ways(spark, monkeypatch, matrix):
+    if not matrix:
+        monkeypatch.setattr(lexical, "MATRIX_TERMS", -1)
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(30)]
     docs = {i: " ".join(rng.choice(words, rng.integers(0, 40))) for i in range(60)}
