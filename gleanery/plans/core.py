@@ -9,7 +9,7 @@ from gleanery.functions import text as T
 from gleanery.functions import vector as V
 from gleanery.operators import analysis, chunking, dense, evaluation, fusion, html, lexical, prompt, rerank, sections, validation
 from gleanery.providers import HashEmbedder, OverlapScorer, embed_column
-from gleanery.session import cut
+from gleanery.session import cut, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -113,14 +113,14 @@ CAST(len({s_token_set("text")}) AS INTEGER) AS distinct_tokens, left(sha1(text),
 CASE WHEN length(text) > 500 THEN left(text, 500) || '…' ELSE text END AS preview, CAST(len({s_sentences("text")}) AS INTEGER) AS sentences, CAST(len({s_split("text", chr(92) + "n{2,}")}) AS INTEGER) AS paragraphs,
 left({s_trim("left(text, 200)")}, 100) AS fingerprint FROM semantic_chunks""")
 def text_scalars(spark, sf_dir):
-    c = table(spark, sf_dir, "semantic_chunks")
+    c = spread(table(spark, sf_dir, "semantic_chunks").select("chunk_id", "text", "metadata"))
     return c.select("chunk_id", T.slug("metadata.section_title").alias("title_slug"), T.item_slug("metadata.item").alias("item_slug"), T.token_count("text").alias("tokens"), F.size(T.token_set("text")).alias("distinct_tokens"), T.stable_hash("text").alias("hash"), T.company("metadata.source_file").alias("company"), T.preview("text").alias("preview"), F.size(T.sentences("text")).alias("sentences"), F.size(T.paragraphs("text")).alias("paragraphs"), T.fingerprint("text").alias("fingerprint"))
 
 
 @query(f"SELECT chunk_id, round({s_jaccard('a', 'b')}, 6) AS similarity FROM (SELECT chunk_id, {s_token_set('s[1]')} AS a, {s_token_set('s[len(s)]')} AS b FROM (SELECT chunk_id, {s_sentences('text')} AS s FROM semantic_chunks) WHERE len(s) > 0)")
 def sentence_jaccard(spark, sf_dir):
     """Of each chunk, how alike its first and its last sentence are."""
-    s = table(spark, sf_dir, "semantic_chunks").select("chunk_id", T.sentences("text").alias("s")).where(F.size("s") > 0)
+    s = spread(table(spark, sf_dir, "semantic_chunks").select("chunk_id", "text")).select("chunk_id", T.sentences("text").alias("s")).where(F.size("s") > 0)
     return s.select("chunk_id", F.round(T.jaccard(T.token_set(F.element_at("s", 1)), T.token_set(F.element_at("s", -1))), 6).alias("similarity"))
 
 
@@ -321,7 +321,7 @@ def fingerprint_hits(spark, sf_dir):
 
 def as_sections(spark, sf_dir):
     """Documents as sections of their filing."""
-    return table(spark, sf_dir, "documents").select("doc_id", "source_file", F.lit(None).cast("string").alias("part"), F.coalesce("item", F.lit("Item 0")).alias("item"), F.lit(None).cast("string").alias("title"), "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source_file", "item", "text")).select("doc_id", "source_file", F.lit(None).cast("string").alias("part"), F.coalesce("item", F.lit("Item 0")).alias("item"), F.lit(None).cast("string").alias("title"), "text")
 
 
 def chunk_rows(spark, sf_dir, strategy):
@@ -387,12 +387,12 @@ def chunk_stats(spark, sf_dir):
 
 @query()
 def chunk_semantic_arrow(spark, sf_dir):
-    return chunking.arrow_semantic(table(spark, sf_dir, "documents"), "doc_id")
+    return chunking.arrow_semantic(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query()
 def chunk_token_windows(spark, sf_dir):
-    return chunking.token_windows(table(spark, sf_dir, "documents"), "doc_id")
+    return chunking.token_windows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 # -- HTML, sections and their checks ------------------------------------------------------------------------------
@@ -412,7 +412,7 @@ def s_nodes_html() -> str:
 @query(s_nodes_html())
 def html_text_nodes(spark, sf_dir):
     """The texts of documents, which bear stray tags, read as HTML."""
-    return html.text_nodes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return html.text_nodes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 S_NODES = f"SELECT doc_id AS doc, CAST(node_idx AS INTEGER) AS node_idx, {s_trim('replace(part, chr(160), ' + repr(' ') + ')')} AS text FROM (SELECT doc_id, unnest(range(len(p))) AS node_idx, unnest(p) AS part FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE {s_trim('replace(part, chr(160), ' + repr(' ') + ')')} <> ''"
@@ -437,7 +437,7 @@ sections AS (SELECT doc, seg, text, part, item, title, duplicates, length(text)
 
 
 def document_sections(spark, sf_dir):
-    return sections.extract_sections(html.line_nodes(table(spark, sf_dir, "documents"), "doc_id"))
+    return sections.extract_sections(html.line_nodes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id"))
 
 
 @query(f"WITH {s_sections(S_NODES)} SELECT * FROM sections")
@@ -485,7 +485,7 @@ def sections_by_part(spark, sf_dir):
 SELECT doc, '[]' AS parts, (SELECT count(*) FROM sections s WHERE s.doc = d.doc) AS sections, (SELECT sum(duplicates)::BIGINT FROM sections s WHERE s.doc = d.doc) AS duplicates_suppressed FROM d""")
 def extraction_stats(spark, sf_dir):
     """The documents here name no parts, so their list is empty."""
-    nodes = html.line_nodes(table(spark, sf_dir, "documents"), "doc_id")
+    nodes = html.line_nodes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
     stats = sections.extraction_stats(nodes, sections.extract_sections(nodes))
     return stats.select("doc", F.to_json("parts_detected").alias("parts"), "sections", "duplicates_suppressed")
 

@@ -77,3 +77,16 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` whose function may use this package."""
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def spread(df: DataFrame, least: int = 16 << 20) -> DataFrame:
+    """``df`` over all cores where it comes from fewer files than cores, each too small to be split.
+
+    Work that takes long for each row would otherwise run on few cores. Larger inputs are left as they are: they split
+    by themselves, and a shuffle would cost more than it gives.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 1 << 16 < size < least * cores else df
