@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gleanery.session import map_arrow
+from gleanery.session import map_arrow, spread
 
 
 def schema_of(ddl: str) -> T.StructType:
@@ -30,4 +30,4 @@ def map_batches(df: DataFrame, ddl: str, setup: Callable[[], Callable[[pa.Record
             arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return map_arrow(df, run, out)
+    return map_arrow(spread(df), run, out)
