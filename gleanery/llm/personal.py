@@ -112,8 +112,18 @@ ZH_AFTER = re.compile(r"[，,。（(：:；;、\n]|先生|女士|$|的|已|对|
 JA_NAME = r"[一-鿿々ヶケヵノ之]{1,5}[ \u3000]?[一-鿿々ぁ-んァ-ヶ]{1,4}"
 JA_CTX = [re.compile(rf"(?:担当は|担当者は|連絡先は|窓口は)({JA_NAME})(?=[、，,です])"), re.compile(rf"(?:資料は|書類は|通知は|宛先は|株券は)({JA_NAME})(?=様|さん|氏|殿)"), re.compile(rf"(?:株主の|社員の|従業員の|元社員の|申請者の|私、|私は|質問者の|投資家の)({JA_NAME})(?=[（(、，]|様|さん|氏|と申|です|が|は|から)"), re.compile(rf"敬具\n[ \u3000]*({JA_NAME})(?=\n|$)"), re.compile(rf"(?<![一-鿿])({JA_NAME})(?=様[、。宛]|さん[、。]|氏[、。は])")]
 
-_EMAIL = re.compile(r"(?<![\w.+-])[\w][\w.+'-]{0,63}(?: ?@ ?|\s?[\[({<]\s?(?:at|AT|ät|@|arroba)\s?[\])}>]\s?| (?:AT|at) (?=[\w-]+(?:\.[\w-]+)*\s?(?:[\[({<]\s?|\s)(?:dot|DOT|punkt|point|punto)\b))[\w-]+(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|punkt|point|punto|\.)\s?[\])}>]\s?| (?:dot|DOT|punkt|point|punto) )[\w-]+)+", re.A)
-_EMAIL_U = re.compile(r"[\[({<]\s?(?:at|AT|ät|arroba)\s?[\])}>]")
+_AT = r"[\[({<]\s?(?:at|AT|ät|@|arroba)\s?[\])}>]"
+_DOT_AHEAD = r"(?=[\w-]+(?:\.[\w-]+)*\s?(?:[\[({<]\s?|\s)(?:dot|DOT|punkt|point|punto)\b)"
+_EMAIL = re.compile(rf"(?<![\w.+-])[\w][\w.+'-]{{0,63}}(?: ?@ ?|\s?{_AT}\s?| (?:AT|at) {_DOT_AHEAD})[\w-]+(?:(?:\.|\s?[\[({{<]\s?(?:dot|DOT|punkt|point|punto|\.)\s?[\])}}>]\s?| (?:dot|DOT|punkt|point|punto) )[\w-]+)+", re.A)
+# one of them, or "@", is in every match of _EMAIL
+_EMAIL_CUES = [re.compile(_AT, re.A), re.compile(f" at {_DOT_AHEAD}", re.A), re.compile(f" AT {_DOT_AHEAD}", re.A)]
+_POINT = re.compile(r"(\S+) (?:AT|at) (\S+) point (?:\S+ )*?(?:\S*\.)?([A-Za-z]+)$")
+# English words before "point" in prose, and ends of addresses beside those of two letters.
+BEFORE_POINT = frozenset("""a an the this that these those some any one no each every what which whichever another either certain later earlier present
+current given same starting turning tipping inflection price data entry exit end focal low lowest lower high highest higher mid middle midway midpoint half halfway
+break breaking boiling melting freezing percentage basis selling access check single first second third last final our its their his her your my""".split())
+WORDS2 = frozenset("am an as at be by do go he if in is it me my no of on or so to up us we".split())
+DOMAINS = frozenset("com org net edu gov mil int info biz name pro coop example test invalid local app dev cloud online site shop bank tech".split())
 _NUMBER = re.compile(r"(?<![A-Za-z0-9_.,$€£¥])(?:[(（]\+?\d{1,4}[)）][ -]?|\+)?\d(?:[ \u00a0]?[()（）./‐-–-]?[ \u00a0]?\d){6,18}(?:,? ?(?:ext|x|extension|Durchwahl|App|poste|ext\.|内線|转)\.? ?\d{1,5})?(?![A-Za-z0-9_%]|[.,]\d)", re.I)
 _PHONE_FORMS = re.compile(
     r"\+\d{1,3}[ .\u00a0-]?(?:\(0\)[ ]?)?\(?\d.*|00(?:1|3\d|4\d|81|86|[2-9]\d)[ .-]?\d.*|[(（]\+\d{1,3}[)）][ -]?\d.*|(?:1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?\d{3}([.-])\d{3}\1\d{4}|\d{3}/\d{3}-\d{4}|(?:1 )?\d{3} \d{3} \d{4}|[2-9]\d{9}"
@@ -222,6 +232,15 @@ class Finder:
         before = re.search(r"(\S+)[ \u00a0]$", text[max(0, a - 20) : a])
         return bool(before) and before.group(1).lower() in ("the", "&", "aunt", "uncle", "lot")
 
+    @staticmethod
+    def _prose(mail: str) -> bool:
+        """Whether it is prose like "looked at this point in" and no address."""
+        m = _POINT.search(mail)
+        if not m:
+            return False
+        who, host, end = m.group(1), m.group(2).lower(), m.group(3).lower()
+        return host in BEFORE_POINT or len(end) > 2 and end not in DOMAINS or end in WORDS2 and not re.search(r"[a-z].*[._+\d-]|[\d_].*[a-z]", who, re.I)
+
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """Places and kinds, in order, without overlap."""
         if not text:
@@ -234,12 +253,12 @@ class Finder:
                 taken.append((a, b))
                 found.append((a, b, kind))
 
-        if "@" in text or "(at" in text or "[at" in text or "{at" in text or " AT " in text or " at " in text and (" dot " in text or " DOT " in text) or _EMAIL_U.search(text):
+        if "@" in text or any(p.search(text) for p in _EMAIL_CUES):
             for m in _EMAIL.finditer(text):
                 b = m.end()
                 while text[b - 1] in ".-'_":
                     b -= 1
-                if re.search(r"[A-Za-z]{2,}$", text[m.start() : b]):
+                if re.search(r"[A-Za-z]{2,}$", text[m.start() : b]) and not self._prose(text[m.start() : b]):
                     take(m.start(), b, "email")
         low = text.lower()
         if len(low) != len(text):

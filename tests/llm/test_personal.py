@@ -1,6 +1,6 @@
 import pytest
 
-from gleanery.llm.personal import Finder, Surrogates, mentions, redact, with_placeholders
+from gleanery.llm.personal import _EMAIL, Finder, Surrogates, mentions, redact, with_placeholders
 
 FIND = Finder().find
 
@@ -40,6 +40,19 @@ def test_look_alikes(text):
     assert FIND(text) == []
 
 
+@pytest.mark.parametrize("at", [" at ", " AT ", "(at)", " [ at ] ", "<AT>", " {ät} ", "(arroba)", "@", " @ ", "[@]"])
+@pytest.mark.parametrize("dot", [f"{a}{w}{b}" for w in ("dot", "DOT", "punkt", "point", "punto") for a, b in ((" ", " "), ("(", ")"), (" [", "] "), ("<", ">"), ("{ ", " }"))])
+def test_spelt_out_mail(at, dot):
+    mail = f"jane.doe{at}firma{dot}fr"
+    assert [mail] == [m.group() for m in _EMAIL.finditer(mail)]
+    assert [(k, f"Write {mail}, please"[a:b]) for a, b, k in FIND(f"Write {mail}, please")] == [("email", mail)]
+
+
+@pytest.mark.parametrize("text", ["We looked at this point in time.", "Margins rose at that point to levels of 2019.", "Sales peaked at some point we cannot name.", "It trades at 50 point premiums.", "Trends at retailers point to weakness.", "It sold at price point one."])
+def test_points_in_prose_are_no_mail(text):
+    assert FIND(text) == []
+
+
 def test_surname_alone_and_coreference():
     text = "Nathan Fendunnow asked about margins. Mr. Fendunnow was not satisfied. Hi Fendunnow, go ahead. The Fendunnow Foundation paid."
     got = [text[a:b] for a, b, _ in FIND(text)]
