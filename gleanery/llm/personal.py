@@ -133,7 +133,7 @@ _PHONE_CUE = re.compile(r"(?:tel|telefon|téléphone|teléfono|phone|mobile|mobi
 _NOT_PHONE = re.compile(r"(?:number|numbers|part|account|invoice|order|orders|ranges|file|cusip|isin|lot|ref|reference|no\.?|nr\.?|identification|code|ledger|id|ssn|passport|licence|license|security|insurance|steuer-id|ausweisnummer|sociale|dni|nie|nif|身份证号?|护照号?|マイナンバー|usd|\$|€|page|serial|batch|docket|ticket|case|policy|contract|from|to|rechnung|konto|vertrag|aktenzeichen|facture|compte|factura|cuenta|发票|账号|账户|訂單|注文)\W{0,4}$", re.I)
 # Labels of official personal numbers and the forms that follow them.
 _ID = re.compile(
-    r"(?:\bSSN|\bsocial[ -]security(?: (?:number|no\.?|#))?|\btax(?:payer)? id(?:entification)?(?: (?:number|no\.?))?|\bTIN|\bITIN|\bpassport(?: (?:number|no\.?|#))?|\bnational insurance(?: (?:number|no\.?))?|\bNI (?:number|no\.?)|\bNINO|\bdriver['’]?s?['’]? licen[cs]e(?: (?:number|no\.?))?|\b(?:national )?(?:id|identity)(?: card)? (?:number|no\.?)|\bid card(?: (?:number|no\.?))?|\bID no\.?"
+    r"(?:\bSSN|\bsocial[ -]security(?: (?:number|no\.?|#))?|\btax(?:payer)? id(?:entification)?(?: (?:number|no\.?))?|\b(?-i:TIN)|\bITIN|\bpassport(?: (?:number|no\.?|#))?|\bnational insurance(?: (?:number|no\.?))?|\bNI (?:number|no\.?)|\bNINO|\bdriver['’]?s?['’]? licen[cs]e(?: (?:number|no\.?))?|\b(?:national )?(?:id|identity)(?: card)? (?:number|no\.?)|\bid card(?: (?:number|no\.?))?|\bID no\.?"
     r"|\bAusweisnummer|\bPersonalausweis(?:nummer| Nr\.?)?|\bReisepass(?:nummer| Nr\.?)?|\bSteuer-?ID(?:entifikationsnummer)?|\bSteueridentifikationsnummer|\bSozialversicherungsnummer|\bFührerschein(?:nummer)?"
     r"|\bnuméro de sécurité sociale|\bn° de sécurité sociale|\bsécurité sociale|\bn° de passeport|\bpasseport(?: n°)?|\bnuméro fiscal|\bcarte d['’]identité(?: n°)?"
     r"|\bDNI|\bNIE|\bNIF|\bpasaporte(?: n\.?º)?|\bnúmero de (?:pasaporte|identidad|la seguridad social)|\bdocumento de identidad"
@@ -143,7 +143,7 @@ _ID = re.compile(
     re.I,
 )
 # How those labels begin, in small letters.
-LABELS = """ssn|social security|social-security|taxpayer id|tax id|itin|passport|national insurance|nino|ni no|ni number|driver|id card|id no|id number|identity|ausweisnummer|personalausweis|reisepass|steuer-id|steuerid|steueridentifikationsnummer|sozialversicherungsnummer|führerschein|sécurité sociale|n° de|passeport|numéro fiscal|carte d'identité|carte d’identité|dni|nie|nif|pasaporte|número de|documento de identidad|身份证|护照|社保号|マイナンバー|個人番号|旅券番号|パスポート番号|運転免許証番号|免許証番号""".split("|")
+LABELS = """ssn|social security|social-security|taxpayer id|tax id|tin|itin|passport|national insurance|nino|ni no|ni number|driver|id card|id no|id number|identity|ausweisnummer|personalausweis|reisepass|steuer-id|steuerid|steueridentifikationsnummer|sozialversicherungsnummer|führerschein|sécurité sociale|n° de|passeport|numéro fiscal|carte d'identité|carte d’identité|dni|nie|nif|pasaporte|número de|documento de identidad|身份证|护照|社保号|マイナンバー|個人番号|旅券番号|パスポート番号|運転免許証番号|免許証番号""".split("|")
 _TOWN = rf"[{_UP}][{_LO}]+(?:(?:-| )(?:on|upon|in|under|by|le|la|sur|am|an der|bei|de|del)(?:-| ))?(?:-?[{_UP}][{_LO}]+)?(?: (?!QQ|ZZ)[{_UP}][{_LO}]+)?"
 _POST = r"(?:[A-Z]{2} \d{5}(?:-\d{4})?|[A-Z]{1,2}\d[\dA-Z]? \d[A-Z]{2}|\d{5}|[A-Z]\d[A-Z] \d[A-Z]\d)"
 _STREET = r"(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Terrace|Boulevard|Blvd\.?|Way|Place|Pl\.?|Square|Sq\.?|Crescent|Close|Parkway|Pkwy\.?|Highway|Hwy\.?|Row|Walk|Mews|Gardens|Grove|Hill|Alley|Circle|Cir\.?|Trail)"
@@ -155,14 +155,14 @@ _ADDR = [
     re.compile(r"(?:(?<=[：:，,。\n于至在到住址 ])|^|(?<=寄往)|(?<=地址))(?:[一-鿿]{2,4}省)?[一-鿿]{2,4}市(?:[一-鿿]{1,4}[区县])?[一-鿿]{1,8}(?:大道|街道|街|路|巷|道|弄|胡同)\d{1,5}号(?:院)?(?:\d{1,4}(?:号楼|单元|栋|幢|楼|座))*(?:\d{1,5}[室号房])?"),
     re.compile(r"(?:〒?\d{3}-\d{4}[ \u3000]?)?(?<![一-鿿])[一-鿿々ヶケノ]{1,5}(?:都|道|府|県|市|区|郡)[一-鿿々ぁ-んァ-ヶ]{1,12}?(?:\d{1,3}丁目\d{1,3}番(?:地)?(?:\d{1,3}号)?|\d{1,3}(?:[-－‐−]\d{1,4}){1,3}|\d{1,4}番地?(?:\d{1,3}号)?)(?:[ \u3000]?[一-鿿ァ-ヶー]{2,10}\d{1,4}号室)?"),
 ]
-# What each kind of address cannot do without, in small letters.
+# What each kind of address cannot do without, in small letters, and what stands behind it.
 _ADDR_CUE = [
-    " street| st.| st,| st\n| avenue| ave| road| rd| lane| ln| drive| dr.| court| ct| terrace| boulevard| blvd| way| place| pl.| square| sq| crescent| close| parkway| pkwy| highway| hwy| row| walk| mews| gardens| grove| hill| alley| circle| cir.| trail",
-    "straße |strasse |str. |allee |weg |gasse |platz |ring |damm |ufer |chaussee |steig |stieg ",
-    "rue |avenue |av. |bd |boulevard |place |impasse |allée |chemin |quai |cours |route |square |passage ",
-    "calle |c/|avda|avenida|plaza|pza|paseo|camino|carretera|ronda|travesía|glorieta",
-    "市",
-    "都|道|府|県|市|区|郡",
+    ([f" {w.removesuffix(r'\.?').lower()}" for w in _STREET[3:-1].split("|")], re.compile(r"(?!\w)")),
+    (["straße", "strasse", "str.", "allee", "weg", "gasse", "platz", "ring", "damm", "ufer", "chaussee", "steig", "stieg"], re.compile(r" \d")),
+    ([" rue", " avenue", " av.", " bd", " boulevard", " place", " impasse", " allée", " chemin", " quai", " cours", " route", " square", " passage"], re.compile(rf" (?:[{_UP}]|d)|d|[{_UP}]")),
+    (["calle", "c/", "avda", "avenida", "plaza", "pza", "paseo", "camino", "carretera", "ronda", "travesía", "glorieta"], re.compile("")),
+    (["市"], re.compile("")),
+    (["都", "道", "府", "県", "市", "区", "郡"], re.compile("")),
 ]
 _BARE_STREET = re.compile(r"(?:at|to|of|in|address:?|for|lives at|parcel for|mailed to|moved to|jointly,)\s*$", re.I)
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -202,8 +202,8 @@ class Finder:
         of: dict[str, list] = {}
         for w in LABELS:
             of.setdefault(w, []).append(("label", w))
-        for i, cues in enumerate(_ADDR_CUE):
-            for w in cues.split("|"):
+        for i, (cues, _) in enumerate(_ADDR_CUE):
+            for w in cues:
                 of.setdefault(w, []).append(("address", i))
         for w, what in of.items():
             self.labels.add_word(w, what)
@@ -268,7 +268,7 @@ class Finder:
             for kind, x in what:
                 if kind == "label":
                     labels.append((end + 1 - len(x), x))
-                else:
+                elif x not in kinds and _ADDR_CUE[x][1].match(text, end + 1):
                     kinds.add(x)
         for start, word in labels:
             m = _ID.match(text, start)

@@ -1,6 +1,6 @@
 import pytest
 
-from gleanery.llm.personal import _EMAIL, Finder, Surrogates, mentions, redact, with_placeholders
+from gleanery.llm.personal import _ADDR, _EMAIL, _STREET, Finder, Surrogates, mentions, redact, with_placeholders
 
 FIND = Finder().find
 
@@ -53,6 +53,35 @@ def test_points_in_prose_are_no_mail(text):
     assert FIND(text) == []
 
 
+STREETS = [w for x in _STREET[3:-1].split("|") for w in ([x[:-3], x[:-2].replace("\\", "") + "."] if x.endswith(r"\.?") else [x])]
+
+
+@pytest.mark.parametrize("street", STREETS)
+@pytest.mark.parametrize("rest", [", Austin, TX 78701", " Apt 4, Austin, TX 78701", "\nAustin, TX 78701"])
+def test_every_street_is_found(street, rest):
+    place = f"12 Elm {street}{rest}"
+    assert _ADDR[0].fullmatch(place)
+    assert [(k, place[a:b]) for a, b, k in FIND(place)] == [("address", place)]
+    for end in ("", ";", ")"):
+        assert [k for _, _, k in FIND(f"He lives at 12 Elm {street}{end}")] == ["address"]
+
+
+@pytest.mark.parametrize(
+    "text,place",
+    [(f"Zu finden: Mühl{w} 7, 00215 Obergrünbach", f"Mühl{w} 7, 00215 Obergrünbach") for w in ("straße", "strasse", "str.", "allee", "weg", "gasse", "platz", "ring", "damm", "ufer", "chaussee", "steig", "stieg")]
+    + [(f"12 {w}{b}Foch, 00638 Vérèze", f"12 {w}{b}Foch, 00638 Vérèze") for w in ("rue", "avenue", "av.", "bd", "boulevard", "place", "impasse", "allée", "chemin", "quai", "cours", "route", "square", "passage") for b in ("", " ", " de la ", " d'", " des ")]
+    + [(f"{w}{b}Yelja 15, 00921 Peñablanca", f"{w}{b}Yelja 15, 00921 Peñablanca") for w in ("Calle", "C/", "Avda", "Avda.", "Avenida", "Plaza", "Pza", "Pza.", "Paseo", "Camino", "Carretera", "Ronda", "Travesía", "Glorieta") for b in ("", " ", " de la ")],
+)
+def test_every_road_is_found(text, place):
+    assert [(k, text[a:b]) for a, b, k in FIND(text)] == [("address", place)]
+
+
+@pytest.mark.parametrize("label", ["SSN", "social security number", "tax ID", "taxpayer identification no.", "TIN", "ITIN", "passport", "national insurance no.", "NI number", "NI no.", "NINO", "driver’s license", "national identity card number", "ID card", "ID no.", "Steuer-ID", "SteuerID", "numéro fiscal", "n° de passeport", "DNI", "NIE", "NIF", "pasaporte", "número de identidad"])
+def test_every_label_is_reached(label):
+    assert [(k, f"{label}: 000652220"[a:b]) for a, b, k in FIND(f"{label}: 000652220")] == [("id_number", "000652220")]
+    assert FIND("The smelter sold tin 250000 of tonnes.") == []
+
+
 def test_surname_alone_and_coreference():
     text = "Nathan Fendunnow asked about margins. Mr. Fendunnow was not satisfied. Hi Fendunnow, go ahead. The Fendunnow Foundation paid."
     got = [text[a:b] for a, b, _ in FIND(text)]
