@@ -291,9 +291,33 @@ CONTEXT, TRUST, SHORT = 3, 4, 9
 RARE = 0.02
 
 
-def contexts(answer: str) -> dict[int, tuple[int, int]]:
-    """Of each context in a reply: how often it stood before an end of a sentence or line, and how often it went on."""
+# Replies of one word, and small words within names.
+WORDS = frozenset("yes no ja nein doch oui non si sí 是 否 不 はい いいえ true false".split())
+JOINTS = frozenset("& + of the and for in on de la le les du des von van der den und et y e del los las".split())
+_QUANTITY = re.compile(r"(?:[A-Z]{3} ?|[$€£¥] ?|US\$ ?)?[+-]?\d[\d.,]*(?: ?(?:[A-Z]{3}|[%€$£¥]|(?:hundred|thousand|million|billion|trillion|percent|per cent|Prozent|Tausend|Million(?:en)?|Milliarden?|Mio|Mrd|pour cent|mille|millions|milliards?|por ciento|mil|mill[oó]n(?:es)?|dollars?|euros?|yen|yuan)\b|[十百千万亿億兆]+|美元|欧元|日元|人民币|元|円|ドル|ユーロ))*")
+
+
+def _bare_name(text: str) -> bool:
+    """Whether it is all words with capitals, numbers and what joins them, as a name that is a reply."""
+    words = text.split()
+    return bool(words) and words[0][0].isupper() and words[-1] not in JOINTS and all(w[0].isupper() or w[0].isdigit() or w in JOINTS for w in words)
+
+
+def _body(answer: str) -> tuple[list[str], list[str]]:
+    """The tokens of a reply, and those before its last stops and citation marks."""
     toks = ["\x02", *_tokens(answer.rstrip(_CLOSE + "\n"))]
+    body = toks
+    while len(body) > 1 and (body[-1] in _STOP or body[-1] == "[0]" or body[-1] == "\n"):
+        body = body[:-1]
+    return toks, body
+
+
+def contexts(answer: str, times: int = 1) -> dict[int, tuple[int, int]]:
+    """Of each context in a reply: how often it stood before an end of a sentence or line, and how often it went on.
+
+    ``times``: rows with this reply; as a whole reply, and the beginning of one, it counts once.
+    """
+    toks, body = _body(answer)
     ends: Counter = Counter()
     on: Counter = Counter()
     n = len(toks)
@@ -311,11 +335,8 @@ def contexts(answer: str) -> dict[int, tuple[int, int]]:
             continue  # where the reply breaks off
         for k in range(1, CONTEXT + 1):
             if i - k + 1 >= 0:
-                (ends if closes else on)[_key(toks[i - k + 1 : i + 1])] += 1
+                (ends if closes else on)[_key(toks[i - k + 1 : i + 1])] += times
     # a short reply: how often all of it is a reply, and how often a longer one begins so
-    body = toks
-    while len(body) > 1 and (body[-1] in _STOP or body[-1] == "[0]" or body[-1] == "\n"):
-        body = body[:-1]
     if 1 < len(body) <= SHORT:
         ends[_key(["\x03", *body])] += 1
     for i in range(2, min(len(body), SHORT + 1)):
@@ -347,6 +368,8 @@ def open_end(answer: str) -> tuple[str, list[int], bool]:
         return "whole", [], False
     if not any(map(str.isalpha, bare)):
         return "whole", [], False  # a number or a date alone
+    if bare.strip().lower() in WORDS or _QUANTITY.fullmatch(bare.strip()):
+        return "whole", [], False
     last_line = bare.rsplit("\n", 1)[-1]
     toks = ["\x02", *_tokens(bare)]
     if re.match(r"\s*(?:[-*•–]|\d{1,2}[.)])\s+\S", last_line) and len(last_line.split()) <= 8:
@@ -370,7 +393,7 @@ def defects(df: DataFrame, id_col: str = "result_id", question_col: str = "quest
 
     def judge():
         def step(batch):
-            kinds, keys, small = [], [], []
+            kinds, keys, small, own, names = [], [], [], [], []
             for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ask, low = [], False
                 if is_empty(a):
@@ -387,17 +410,20 @@ def defects(df: DataFrame, id_col: str = "result_id", question_col: str = "quest
                 kinds.append(kind)
                 keys.append(ask)
                 small.append(low)
-            return [batch.column(0), kinds, keys, small]
+                # whether the model counts this very reply as a whole one
+                own.append(int(bool(ask) and ask[0] != 0 and ask[0] == _key(["\x03", *_body(a)[1]])))
+                names.append(bool(ask) and _bare_name(_TAG.sub(" ", a).strip().rstrip(_CLOSE)))
+            return [batch.column(0), kinds, keys, small, own, names]
 
         return step
 
-    judged = cut(map_batches(src, f"id {id_type}, kind string, keys array<long>, small boolean", judge).where("kind <> ''"))
+    judged = cut(map_batches(src, f"id {id_type}, kind string, keys array<long>, small boolean, own int, name boolean", judge).where("kind <> ''"))
 
     def count():
         def step(batch):
             total: dict[int, list[int]] = {}
-            for a in batch.column(0).to_pylist():
-                for k, (e, o) in contexts(a).items():
+            for a, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, (e, o) in contexts(a, n).items():
                     t = total.setdefault(k, [0, 0])
                     t[0] += e
                     t[1] += o
@@ -405,21 +431,25 @@ def defects(df: DataFrame, id_col: str = "result_id", question_col: str = "quest
 
         return step
 
-    asked = judged.where("kind = '?'").select("id", "small", F.posexplode("keys").alias("level", "key")).where("key <> 0")
-    model = map_batches(src.select("a").where("a IS NOT NULL"), "key long, ends long, on long", count).groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("on").alias("goes"))
-    seen = asked.join(model, "key", "left").select("id", "small", "level", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("goes", F.lit(0)).alias("goes"))
+    asked = judged.where("kind = '?'").select("id", "small", "own", "name", F.posexplode("keys").alias("level", "key")).where("key <> 0")
+    model = map_batches(src.where("a IS NOT NULL").groupBy(F.trim("a").alias("a")).count(), "key long, ends long, on long", count).groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("on").alias("goes"))
+    seen = asked.join(model, "key", "left").select("id", "small", "own", "name", "level", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("goes", F.lit(0)).alias("goes"))
     level = lambda n, c: F.max(F.when(F.col("level") == n, F.col(c)))
-    per = seen.groupBy("id").agg(F.max("small").alias("small"), *[level(n, c).alias(f"{c}{n}") for n in range(CONTEXT + 2) for c in ("ends", "goes")])
+    per = seen.groupBy("id").agg(F.max("small").alias("small"), F.max("own").alias("own"), F.max("name").alias("name"), *[level(n, c).alias(f"{c}{n}") for n in range(CONTEXT + 2) for c in ("ends", "goes")])
     per = per.na.fill(0)
     share = lambda n: F.col(f"ends{n}") / (F.col(f"ends{n}") + F.col(f"goes{n}"))
     known = lambda n: F.col(f"ends{n}") + F.col(f"goes{n}") >= TRUST
     never = F.col("small") & (F.col(f"ends{CONTEXT}") + F.col(f"goes{CONTEXT}") < 2)
-    # a short reply stands if replies like it end there, and if its last word is not a rare turn of replies that begin alike
+    # a short reply stands if other replies like it end there, and if its last word is not a rare turn of replies that begin alike
+    others = F.greatest(F.col("ends0") - F.col("own"), F.lit(0))
+    more = others >= F.col("goes0")
     usual = F.col("ends0") + F.col("goes0") >= RARE * F.col(f"goes{CONTEXT + 1}")
-    closed = F.when(never, F.lit(0.0)).when((F.col("ends0") > 0) & (share(0) >= 0.5) & usual, F.lit(1.0))
+    closed = F.when(never, F.lit(0.0)).when((F.col("name") | (others >= TRUST)) & (F.col("ends0") > 0) & more & usual, F.lit(1.0))
     for n in range(1, CONTEXT):  # the longest trusted context; one word alone tells too little
         closed = closed.when(known(n), share(n))
     closed = closed.when(F.col(f"ends{CONTEXT - 1}") > 0, share(CONTEXT - 1))
+    # nothing tells against a short reply that no other begins with, unless its last word is known and never stood at an end
+    closed = closed.when((F.col("ends0") > 0) & more & usual & ((F.col(f"ends{CONTEXT}") > 0) | ~known(CONTEXT)), F.lit(1.0))
     cut_off = per.where(closed.otherwise(F.lit(0.0)) < 0.4).select("id", F.lit("truncated").alias("kind"))
     found = judged.where("kind <> '?'").select("id", "kind").union(cut_off)
     order = F.array_position(F.array(*map(F.lit, ("empty", "copied_question", "refusal", "other_language", "truncated"))), F.col("kind"))

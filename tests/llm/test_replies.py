@@ -61,3 +61,12 @@ def test_table(spark):
     got = {r["result_id"]: r["defect"] for r in defects(df).collect()}
     assert got == {i: k for i, _, k in bad} | {300: "empty"}
     assert defects(df.limit(0)).count() == 0
+
+
+def test_short_replies_do_not_vote_for_themselves(spark):
+    replies = [f"Alpha Foods reported royalty income of ${i}.5 million for Beta One in 20{i} [1]. It names royalty income of Gamma first [2]." for i in range(10, 60)]
+    cuts = ["Calzushaw Networks reported royalty income of", "Delta reported royalty income of"]
+    good = ["Xanzerix & Lumnemond LLP", "Yes", "$383.2 million", "USD 5 billion", "Zeta", "Bank of Omega"]
+    rows = [(i, Q, a) for i, a in enumerate(replies)] + [(100, Q, cuts[0])] + [(200 + i, Q, cuts[1]) for i in range(40)] + [(300 + i, Q, a) for i, a in enumerate(good)]
+    got = {r["result_id"]: r["defect"] for r in defects(spark.createDataFrame(rows, "result_id long, question string, answer string")).collect()}
+    assert got == {i: "truncated" for i in [100, *range(200, 240)]}
