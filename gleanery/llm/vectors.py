@@ -5,7 +5,7 @@ belongs to the list of its nearest centroid and asks in every list whose centroi
 (``margin`` in cosine, more for a vector that is far from all of them), however many those are. Lists are packed into slots, near centroids together, so a vector is
 shipped once to its own slot and once to each further slot in which it asks. Within a slot, asymmetric distance
 tables (query parts against codebook parts) rank the members of the asked lists by their codes: in the nearest list
-the best are ranked again by their true vectors, and in the others all whose estimate comes within the error of the
+the best are ranked again by their true vectors, then in all lists those whose estimate comes within the error of the
 codes of what is found so far. A list larger than a slot is cut into blocks, each asked by all; a slot with very many
 askers is repeated, and each asker goes to one of the copies.
 
@@ -168,7 +168,7 @@ class Slot:
         self.codes = index.encode(self.x, self.own)
         self.lists, self.starts = np.unique(self.own, return_index=True)
         self.ends = np.append(self.starts[1:], len(self.own))
-        self.repeated = len(np.unique(self.ids)) < len(self.ids)
+        self.most = int(np.unique(self.ids, return_counts=True)[1].max(initial=1))  # rows of one id
 
 
 def answer(index: Index, slot: Slot, q: np.ndarray, q_ids: np.ndarray, asks: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,6 +177,7 @@ def answer(index: Index, slot: Slot, q: np.ndarray, q_ids: np.ndarray, asks: np.
     coarse = np.where(asks[:, slot.lists], q @ index.centroids[slot.lists].T, -np.inf)
     first = coarse.argmax(1)
     floor = np.full(n, -np.inf, np.float32)
+    need = k * slot.most  # so many rows have k ids
     rows_of, members_of, sims_of = [], [], []
 
     def keep(r, m, s):
@@ -185,6 +186,14 @@ def answer(index: Index, slot: Slot, q: np.ndarray, q_ids: np.ndarray, asks: np.
         members_of.append(m[ok])
         sims_of.append(s[ok])
 
+    def best(r, m, s):
+        order = np.lexsort((slot.ids[m], -s, r))
+        r, m, s = r[order], m[order], s[order]
+        nth = np.arange(len(r)) - np.searchsorted(r, r, "left")
+        last = nth == need - 1
+        floor[r[last]] = s[last]
+        return r[nth < need], m[nth < need], s[nth < need]
+
     def parts(rows):
         for c in range(0, len(rows), 512):
             yield rows[c : c + 512]
@@ -203,12 +212,25 @@ def answer(index: Index, slot: Slot, q: np.ndarray, q_ids: np.ndarray, asks: np.
                     best_s, best_m = np.take_along_axis(best_s, t, 1), np.take_along_axis(best_m, t, 1)
             true = np.einsum("qrd,qd->qr", slot.x[best_m], q[rows])
             true[slot.ids[best_m] == q_ids[rows][:, None]] = -np.inf
-            width = true.shape[1]
-            if width >= k and not slot.repeated:
-                floor[rows] = np.partition(true, width - k, axis=1)[:, width - k]
-            r = np.repeat(rows, width)
-            good = (true >= floor[rows][:, None]).ravel() & np.isfinite(true).ravel()
-            keep(r[good], best_m.ravel()[good], true.ravel()[good])
+            r = np.repeat(rows, true.shape[1])
+            good = np.isfinite(true).ravel()
+            some = best(r[good], best_m.ravel()[good], true.ravel()[good])
+            for c in range(a, b if b - a > rerank else a, 8192):
+                d = min(b, c + 8192)
+                if b - a > 8192:
+                    score = index.estimate(slot.codes[c:d], l, q[rows]).T
+                row, col = np.nonzero((best_m >= c) & (best_m < d))
+                score[row, best_m[row, col] - c] = -np.inf  # compared already
+                row, m = np.nonzero((score >= floor[rows][:, None] - index.slack) & np.isfinite(score))
+                if len(m) * 16 > score.size:  # many: a matrix product leaves few to compare singly
+                    close = (q[rows] @ slot.x[c:d].T)[row, m] >= floor[rows[row]] - 1e-5
+                    row, m = row[close], m[close]
+                for e in range(0, len(m), 200_000):
+                    rr, mm = rows[row[e : e + 200_000]], m[e : e + 200_000] + c
+                    s = np.einsum("nd,nd->n", slot.x[mm], q[rr])
+                    good = (s >= floor[rr]) & (slot.ids[mm] != q_ids[rr])
+                    some = best(*(np.concatenate(v) for v in zip(some, (rr[good], mm[good], s[good]))))
+            keep(*some)
     for i, (l, a, b) in enumerate(zip(slot.lists.tolist(), slot.starts.tolist(), slot.ends.tolist())):
         for rows in parts(np.flatnonzero((first != i) & asked[:, i])):
             for c in range(a, b, 4096):
@@ -224,7 +246,7 @@ def answer(index: Index, slot: Slot, q: np.ndarray, q_ids: np.ndarray, asks: np.
     ids = slot.ids[m]
     order = np.lexsort((ids, -s, r))
     r, ids, s = r[order], ids[order], s[order]
-    if slot.repeated:  # an id answers once, by its best row
+    if slot.most > 1:  # an id answers once, by its best row
         by = np.lexsort((-s, ids, r))
         head = np.ones(len(by), bool)
         head[1:] = (r[by][1:] != r[by][:-1]) | (ids[by][1:] != ids[by][:-1])

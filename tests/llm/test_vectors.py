@@ -49,6 +49,26 @@ def test_hot_list_and_busy_slot_are_split(spark, monkeypatch):
     assert recall(similar_vectors(table(spark, x), 5, 24).collect(), exact(x, 5)) > 0.95
 
 
+@pytest.mark.parametrize("most", [1, 2])
+def test_nearest_list_is_compared_whole(most):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(4000, 24)), rng.normal(size=24) + 0.01 * rng.normal(size=(9000, 24))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    index = vectors.Index(x[:4200], len(x), 0.08)
+    ids = np.arange(len(x)) // most
+    slot = vectors.Slot(index, x, ids)
+    hot = np.arange(4000, len(x), 30)
+    own, _ = index.near(x[hot])
+    r, got, near = vectors.answer(index, slot, x[hot], ids[hot], np.eye(len(index.centroids), dtype=bool)[own], 5, 48)
+    home, _ = index.near(x)
+    sims = x[hot].astype(float) @ x.T.astype(float)
+    sims[(own[:, None] != home[None, :]) | (ids[hot][:, None] == ids[None, :])] = -2
+    for i in range(len(hot)):
+        order = np.argsort(-sims[i])[: 5 * most]
+        want = [order[ids[order] == v][0] for v in dict.fromkeys(ids[order].tolist())][:5]
+        assert len(set(got[r == i].tolist())) == 5 and np.abs(near[r == i] - sims[i][want]).max() < 1e-6
+
+
 def test_dirty_rows(spark):
     good = [1.0, 0.0, 0.0]
     rows = [(1, good), (2, [0.9, 0.1, 0.0]), (3, [0.0, 0.0, 0.0]), (4, [1.0, 2.0]), (5, None), (6, [float("nan"), 1.0, 1.0]), (7, [float("inf"), 1.0, 1.0]), (None, good), (8, [None, 1.0, 0.0]), (2, [0.9, 0.1, 0.0]), (9, [0.0, 1.0, 0.0])]
