@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleanery.llm import vectors
@@ -40,6 +41,20 @@ def test_recall_against_brute_force(spark):
     assert recall(brute_force(df, some, 5, 24).collect(), {p for p in exact(x, 5) if p[0] % 100 == 0}) == 1
 
 
+def test_recall_with_many_lists_and_a_small_sample(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SAMPLE", 2048)
+    x = clusters(np.random.default_rng(5), 6000, 10).astype(np.float32)
+    assert len(x) // 300 == 200  # lists
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    some = np.arange(0, len(x), 60)
+    s = u[some] @ u.T
+    s[np.arange(len(some)), some] = -2
+    want = {(int(i), int(j)) for i, row in zip(some, s) for j in np.argsort(-row)[:5]}
+    found = lambda **args: recall(similar_vectors(df, 5, 24, **args).where("id % 60 = 0").collect(), want)
+    assert found() >= 0.9 > found(margin=0.0)
+
+
 def test_hot_list_and_busy_slot_are_split(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SLOT", 64)
     monkeypatch.setattr(vectors, "LEAST", 16)
