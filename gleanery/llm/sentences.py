@@ -49,7 +49,8 @@ PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」",
 BRACKETS = "(（[【"
 CLOSERS = "\"”“’»›」』)）]】〉》"
 OPENERS = "\"“„«‹「『(（[【〈《‘‚"
-#: Longest quotation and longest bracket kept whole; a mark left open by mistake must not swallow a text.
+#: Longest quotation and longest bracket kept whole where it is not sure that they belong together; a mark left open by
+#: mistake must not swallow a text.
 LONGEST_QUOTE, LONGEST_BRACKET = 1200, 600
 
 THAI = "฀-๿"
@@ -66,6 +67,7 @@ DANGLING = re.compile(r"(?:^|[\s(])(?:a|an|and|are|as|at|by|for|from|in|is|of|on
 CELL = re.compile(r"\t+| {3,}| ?\|\s|\s\|")
 HEAD = re.compile(r"(?:Item|ITEM|Part|PART|Section|Chapter|Article|Artikel|Abschnitt|Kapitel|Note|Schedule|Exhibit|Appendix|Partie|Teil|Parte|Sección|Capítulo|Artículo|Anhang|Annexe)\s+(?:\d+[A-Za-z]?|[IVXLC]+|[A-Z])\b|#{1,6}\s")
 WORD = re.compile(r"\S+")
+LIST_MARK = re.compile(r"(?:^|[\s;,])(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})\Z")
 # What goes on after a Chinese quotation.
 RUNS_ON = re.compile("[的等说称道之]|表示|指出|写道|认为|字样|一语|一词|一文")
 LAST = re.compile(r"[^\s\"“”„«»()\[\]（）]*$")
@@ -119,6 +121,16 @@ def _tail(text: str, i: int, end: int, depth0: set[int]) -> int:
     return i
 
 
+def _sure(text: str, opening: int, closing: int) -> bool:
+    """Whether a mark far from its opening one closes it: it stands as a closing mark does, and is no list or inch mark."""
+    before, after = text[closing - 1], text[closing + 1 : closing + 2]
+    if before.isspace() and text[opening] not in "«‹" or after.isalnum() and after.isascii() or not text[opening + 1 : opening + 2].strip() and text[opening] not in "«‹":
+        return False
+    if text[opening] == '"':
+        return not before.isdigit()
+    return text[opening] not in BRACKETS or not LIST_MARK.search(text[max(opening + 1, closing - 8) : closing])
+
+
 def _matched(text: str, events: list[tuple[int, int]]) -> tuple[dict[int, int], set[int]]:
     """Opening marks with their closing ones, and all opening places. Marks without a partner in reach are left out."""
     stack: list[tuple[str, int]] = []
@@ -133,7 +145,7 @@ def _matched(text: str, events: list[tuple[int, int]]) -> tuple[dict[int, int],
             top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
             if top is not None and not (opens and after.isalnum() and i - stack[top][1] > LONGEST_QUOTE):
                 if not opens or not before.isspace() or after in ".,;:!?)":
-                    if i - stack[top][1] <= LONGEST_QUOTE:
+                    if i - stack[top][1] <= LONGEST_QUOTE or top == len(stack) - 1 and not opens and _sure(text, stack[top][1], i):
                         pairs[stack[top][1]] = i
                     del stack[top:]
                     continue
@@ -144,7 +156,7 @@ def _matched(text: str, events: list[tuple[int, int]]) -> tuple[dict[int, int],
         top = next((k for k in range(len(stack) - 1, -1, -1) if c in PAIRS.get(stack[k][0], "")), None)
         if top is not None and not (c == "’" and i + 1 < n and text[i + 1].isalpha() and text[i - 1].isalpha()):
             o = stack[top][1]
-            if i - o <= (LONGEST_BRACKET if text[o] in BRACKETS else LONGEST_QUOTE):
+            if i - o <= (LONGEST_BRACKET if text[o] in BRACKETS else LONGEST_QUOTE) or top == len(stack) - 1 and _sure(text, o, i):
                 pairs[o] = i
             del stack[top:]
         elif c in PAIRS and not (c in "‘‚" and i and text[i - 1].isalnum()):
@@ -369,7 +381,7 @@ def segment(text: str | None) -> list[tuple[int, int]]:
         return out
 
     n = len(rows)
-    seps = [len(CELL.findall(text, a, b)) if b - a < 400 else 0 for a, b, _ in rows]
+    seps = [len(CELL.findall(text, a, b)) for a, b, _ in rows]
     table = [False] * n
     for i in range(n):
         near = i and not rows[i][2] and seps[i - 1] or i + 1 < n and not rows[i + 1][2] and seps[i + 1]

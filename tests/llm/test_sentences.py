@@ -68,3 +68,19 @@ def test_table(spark):
     assert sentences(df.limit(0)).count() == 0
     long_ = spark.createDataFrame([("l", "A word here. " * 60_000, t)], "chunk_id string, text string, loaded_at timestamp")
     assert sentences(long_).count() == 60_000
+
+
+@pytest.mark.parametrize("a,b", ["“”", "„“", "«»", "()", "[]", '""', "「」"])
+def test_long_pairs_stay_whole_and_open_marks_do_not(a, b):
+    inner = "Sales rose in the year. " * 80
+    whole = f"He wrote {a}{inner.strip()}{b} to all holders."
+    text = f"{whole} Then he left."
+    assert [text[x:y] for x, y in segment(text)] == [whole, "Then he left."]
+    left = f"He wrote {a}{inner}Then 5{b} he left." if a in "([\"" else f"He wrote {a}{inner}Then he left."
+    assert len(segment(left)) > 70
+
+
+def test_long_table_rows():
+    rows = ["| " + " | ".join(f"Item {i}. Value {j}. It rose" for j in range(30)) + " |" for i in range(3)]
+    text = "\n".join(rows)
+    assert len(rows[0]) > 400 and [text[x:y] for x, y in segment(text)] == rows
