@@ -1,22 +1,22 @@
 """Exact nearest neighbours by cosine, for a batch of query vectors.
 
-Queries go out in blocks of bounded size; every task multiplies a block with its part of the corpus and keeps the best
-of each query, so that what is shuffled grows with the queries and the tasks, not with the corpus.
+Queries go out in a bounded number; every task multiplies them, block by block, with its part of the corpus and keeps the
+best of each query, so that what is shuffled grows with the queries and the tasks, not with the corpus.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gleanery.session import map_arrow
+from gleanery.session import cut, map_arrow
 
-#: Query vectors sent to the tasks at once.
-BLOCK = 8_192
+#: Query vectors of one product, and those sent to the tasks at once (768 bytes each at 96 numbers).
+BLOCK, SENT = 2_048, 65_536
 
 
 def predicate(where: dict, field: str | None = None) -> Column:
@@ -60,30 +60,53 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, dim: int = 96, id_col
         corpus = corpus.where(predicate(where) if isinstance(where, dict) else where)
     src = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    blocks = max(1, -(-asked.count() // block))
     kinds = corpus.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    parts = []
-    for b in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()  # about ``block`` rows
-        at, q = _unit(some.column("v"), dim)
-        q_ids = some.column("query_id").combine_chunks().take(pa.array(at))
-
-        def run(batches, q=q, q_ids=q_ids):
-            for batch in batches:
-                at, x = _unit(batch.column(1), dim)
-                if not len(x) or not len(q):
-                    continue
+    rows = asked.limit(SENT + 1).toArrow()
+    sent = [rows]
+    if rows.num_rows > SENT:  # each part of a larger set scans the corpus once
+        asked = cut(asked)
+        parts = -(-asked.count() // SENT)
+        sent = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).toArrow() for p in range(parts))
+    spark = corpus.sparkSession
+    found = None
+    for rows in sent:
+        at, q = _unit(rows.column("v"), dim)
+        ids = rows.column("query_id").combine_chunks().take(pa.array(at))
+        out = map_arrow(src, _nearest(spark.sparkContext.broadcast((ids, q)), k, dim, block), f"query_id {kinds[1]}, id {kinds[0]}, distance double")
+        found = out if found is None else found.union(out)
+    by = W.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k).select("query_id", "id", "rank", "distance")
+
+
+def _nearest(sent, k: int, dim: int, block: int):
+    """The nearest ``k`` of each query among the rows of a task."""
+
+    def run(batches):
+        q_ids, unit = sent.value
+        n = len(unit)
+        best: list = [None] * -(-n // block)
+        for batch in batches:
+            at, x = _unit(batch.column(1), dim)
+            if not len(x) or not n:
+                continue
+            names = batch.column(0).take(pa.array(at))
+            # ties by id: a stable order by id, then the least distances
+            order = np.array(pc.sort_indices(names))
+            names, x = names.take(pa.array(order)), x[order]
+            for b in range(len(best)):
+                q = unit[b * block : (b + 1) * block]
                 s = np.round(1 - q @ x.T, 6) + 0.0  # no negative zero
-                names = batch.column(0).take(pa.array(at))
-                # ties by id: a stable order by id, then the least distances
-                order = np.array(pa.compute.sort_indices(names))
-                s, names = s[:, order], names.take(pa.array(order))
                 t = np.argsort(s, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(np.repeat(np.arange(len(q)), t.shape[1]))), names.take(pa.array(t.ravel())), pa.array(np.take_along_axis(s, t, 1).ravel())], names=["query_id", "id", "distance"])
+                d, row = np.take_along_axis(s, t, 1).ravel(), np.repeat(np.arange(len(q)), t.shape[1])
+                ids = names.take(pa.array(t.ravel()))
+                if best[b] is not None:
+                    row, d, ids = np.concatenate([best[b][0], row]), np.concatenate([best[b][1], d]), pa.concat_arrays([best[b][2], ids])
+                    o = np.lexsort((pc.rank(ids, tiebreaker="first").to_numpy(), d, row))
+                    o = o[np.arange(len(o)) - np.searchsorted(row[o], row[o], "left") < k]
+                    row, d, ids = row[o], d[o], ids.take(pa.array(o))
+                best[b] = row, d, ids
+        for b, found in enumerate(best):
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(found[0] + b * block)), found[2], pa.array(found[1])], names=["query_id", "id", "distance"])
 
-        parts.append(map_arrow(src, run, f"query_id {kinds[1]}, id {kinds[0]}, distance double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    by = W.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k).select("query_id", "id", "rank", "distance")
+    return run

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gleanery.session import map_arrow
+from gleanery.session import cut, map_arrow
 
 from gleanery.operators import dense, fusion, lexical
 from gleanery.providers import Embedder, HashEmbedder, OverlapScorer, PairScorer, embed_column
 
 
+STRATEGIES = ("semantic", "bm25", "hybrid", "hybrid_rerank")
+
+
 def rerank(candidates: DataFrame, k: int = 5, make: Callable[[], PairScorer] = OverlapScorer) -> DataFrame:
     """The best ``k`` of candidates (``query_id``, ``query``, ``id``, ``text``) by the scorer: ``query_id``, ``id``, ``rank``, ``score``.
 
@@ -33,34 +36,43 @@ def rerank(candidates: DataFrame, k: int = 5, make: Callable[[], PairScorer] = O
     return map_arrow(src, run, schema).withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
 
 
-def retriever(corpus: DataFrame, strategy: str, k: int = 5, pool: int = 20, embedder: Callable[[], Embedder] = HashEmbedder, scorer: Callable[[], PairScorer] = OverlapScorer, dim: int = 96, where: dict | None = None) -> Callable[[DataFrame], DataFrame]:
+def retriever(corpus: DataFrame, strategy: str, k: int = 5, pool: int = 20, embedder: Callable[[], Embedder] = HashEmbedder, scorer: Callable[[], PairScorer] | None = OverlapScorer, dim: int = 96, where: dict | None = None, index: lexical.Index | None = None, missing_rank: int | None = None, rank_base: int = 1) -> Callable[[DataFrame], DataFrame]:
     """A function from queries (``query_id``, ``query``, optionally ``embedding``) to hits (``query_id``, ``id``, ``rank``, ``score``).
 
     ``corpus`` has ``id``, ``text`` and ``embedding``. Strategies: ``bm25``, ``semantic``, ``hybrid`` and ``hybrid_rerank``, which
-    fuses ``pool`` candidates and lets the scorer choose. Only the stages a strategy needs are planned.
+    fuses ``pool`` candidates and lets the scorer choose; without a scorer the best ``k`` of the fused pool come out as they are.
+    ``index`` is a BM25 index of the corpus, by default made once when words are first needed. ``missing_rank`` and ``rank_base``
+    are those of the fusion. Only the stages a strategy needs are planned. A query must have a word to be embedded.
     """
-    if strategy not in ("bm25", "semantic", "hybrid", "hybrid_rerank"):
+    if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
     if where:
         corpus = corpus.where(dense.predicate(where))
+    made: list[lexical.Index] = [index] if index is not None else []
 
     def run(queries: DataFrame) -> DataFrame:
         depth = pool if strategy == "hybrid_rerank" else k
 
         def words() -> DataFrame:
-            return lexical.search(lexical.build(corpus, "id", "text"), queries, depth)
+            if not made:
+                made.append(lexical.build(corpus, "id", "text"))
+            return lexical.search(made[0], queries, depth)
 
         def vectors() -> DataFrame:
-            q = queries if "embedding" in queries.columns else embed_column(queries, "query", embedder)
+            q = queries
+            if "embedding" not in q.columns:
+                blank = F.coalesce(F.trim("query"), F.lit("")) == ""
+                q = q.withColumn("query", F.when(blank, F.raise_error(F.lit("the question is blank"))).otherwise(F.col("query")))
+                q = cut(embed_column(q, "query", embedder))  # a model is asked once for all questions
             return dense.knn(corpus, q, depth, dim, "id", "embedding", "query_id", "embedding")
 
         if strategy == "bm25":
             return words()
         if strategy == "semantic":
             return vectors().select("query_id", "id", "rank", (1 - F.col("distance")).alias("score"))
-        fused = fusion.reciprocal_rank(vectors(), words(), depth)
-        if strategy == "hybrid":
-            return fused.select("query_id", "id", "rank", "score")
+        fused = fusion.reciprocal_rank(vectors(), words(), depth, missing_rank=missing_rank, rank_base=rank_base)
+        if strategy == "hybrid" or scorer is None:
+            return fused.where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
         texts = fused.select("query_id", "id").join(corpus.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
         return rerank(texts, k, scorer)
 

@@ -11,13 +11,17 @@ from gleanery.operators.sections import SHORT
 _LABEL = r"^Item\s+(\d{1,2})([A-Z]?)"
 
 
+def _number(label):
+    return F.coalesce(F.regexp_extract(label, _LABEL, 1).try_cast("int"), F.lit(999))
+
+
 def item_gaps(items: DataFrame, key: str = "source_file", item_col: str = "item") -> DataFrame:
     """Items missing between those present, of each key: whole numbers, and letters of one number. ``key``, ``gap``.
 
     Labels that name no item count as number 999 without a letter. Nulls are passed over.
     """
     label = F.col(item_col)
-    parsed = items.where(label.isNotNull() & F.col(key).isNotNull()).select(key, F.coalesce(F.regexp_extract(label, _LABEL, 1).try_cast("int"), F.lit(999)).alias("n"), F.regexp_extract(label, _LABEL, 2).alias("letter")).distinct()
+    parsed = items.where(label.isNotNull() & F.col(key).isNotNull()).select(key, _number(label).alias("n"), F.regexp_extract(label, _LABEL, 2).alias("letter")).distinct()
     numbers = parsed.select(key, "n").distinct().withColumn("next", F.lead("n").over(W.partitionBy(key).orderBy("n")))
     by_number = numbers.where("next > n + 1").select(key, F.explode(F.sequence(F.col("n") + 1, F.col("next") - 1)).alias("m")).select(key, F.concat(F.lit("Item "), "m").alias("gap"))
     letters = parsed.where("letter <> ''").withColumn("next", F.lead("letter").over(W.partitionBy(key, "n").orderBy("letter")))
@@ -29,11 +33,25 @@ def short_sections(sections: DataFrame, limit: int = SHORT) -> DataFrame:
     return sections.where(F.length("text") < limit)
 
 
+def _gap_count(labels):
+    """How many gaps ``item_gaps`` finds between labels (an array of ``n`` and ``letter``): numbers, and letters of a number."""
+
+    def missing(present):
+        return F.coalesce(F.array_max(present) - F.array_min(present) + 1 - F.size(F.array_distinct(present)), F.lit(0))
+
+    numbers = F.array_distinct(F.transform(labels, lambda x: x["n"]))
+    of_number = lambda n: F.transform(F.filter(labels, lambda x: (x["n"] == n) & (x["letter"] != "")), lambda x: F.ascii(x["letter"]))
+    return missing(numbers) + F.aggregate(F.transform(numbers, lambda n: missing(of_number(n))), F.lit(0), lambda a, x: a + x)
+
+
 def filing_summary(sections: DataFrame, key: str = "source_file") -> DataFrame:
-    """Of each filing: distinct parts and items, gaps, short sections, duplicates and whether no part is known."""
-    gaps = item_gaps(sections, key).groupBy(key).agg(F.count("*").alias("gaps"))
-    base = sections.groupBy(key).agg(F.countDistinct("part").alias("parts"), F.countDistinct("item").alias("items"), F.count(F.when(F.length("text") < SHORT, 1)).alias("short"), F.sum("duplicates").cast("long").alias("dup"))
-    return base.join(gaps, key, "left").select(key, "parts", "items", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"), "short", "dup", (F.col("parts") == 0).alias("no_part"))
+    """Of each filing: distinct parts and items, gaps, short sections, duplicates and whether no part is known.
+
+    One aggregation: labels of items are few (a number of two digits and a letter), so their set stays small.
+    """
+    label = F.when(F.col(key).isNotNull() & F.col("item").isNotNull(), F.struct(_number(F.col("item")).alias("n"), F.regexp_extract("item", _LABEL, 2).alias("letter")))
+    base = sections.groupBy(key).agg(F.collect_set("part").alias("parts"), F.collect_set("item").alias("items"), F.collect_set(label).alias("labels"), F.count(F.when(F.length("text") < SHORT, 1)).alias("short"), F.sum("duplicates").cast("long").alias("dup"))
+    return base.select(key, F.size("parts").cast("long").alias("parts"), F.size("items").cast("long").alias("items"), _gap_count(F.col("labels")).cast("long").alias("gaps"), "short", "dup", (F.size("parts") == 0).alias("no_part"))
 
 
 def sections_by_part(sections: DataFrame, key: str = "source_file", order: str = "seg") -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions import vector as V
 from gleanery.operators import analysis, chunking, dense, evaluation, fusion, html, lexical, prompt, rerank, sections, validation
-from gleanery.providers import HashEmbedder, OverlapScorer, embed_column
+from gleanery.providers import NOT_FOUND, HashEmbedder, OverlapJudgeOfFour, OverlapScorer, embed_column
 from gleanery.session import cut, spread
 
 QUERIES: dict = {}
@@ -86,9 +88,7 @@ def s_bm25(documents: str, queries: str, k: int, name: str = "bm25") -> str:
 {p}idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {p}raw) ELSE raw END AS idf FROM {p}raw),
 {p}q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({s_words("coalesce(query, '')")}) AS term FROM ({queries})) GROUP BY ALL),
 {p}sc AS (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM {p}q JOIN {p}tf USING (term) JOIN {p}idf USING (term), {p}st GROUP BY ALL),
-{p}all AS (SELECT * FROM {p}sc UNION ALL SELECT query_id, id, 0.0 FROM (SELECT DISTINCT query_id FROM ({queries})), (SELECT id FROM {p}doc ORDER BY id LIMIT {2 * k}) z
-  WHERE NOT EXISTS (SELECT 1 FROM {p}sc s WHERE s.id = z.id AND s.query_id = query_id AND false)),
-{p}one AS (SELECT query_id, id, max(score) AS score FROM {p}all GROUP BY ALL),
+{p}one AS (SELECT z.query_id, d.id, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM ({queries})) z CROSS JOIN {p}doc d LEFT JOIN {p}sc s ON s.query_id = z.query_id AND s.id = d.id),
 {name} AS MATERIALIZED (SELECT query_id, id, CAST(rank AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {p}one) WHERE rank <= {k})"""
 
 
@@ -150,18 +150,44 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"""WITH {s_bm25(S_CORPUS, S_QUESTIONS, 10)}, g AS ({S_GOLD}),
 f AS (SELECT g.query_id, w.what, (SELECT min(rank) FROM bm25 b WHERE b.query_id = g.query_id AND list_contains(w.ids, b.id)) AS r FROM g, LATERAL (SELECT 'any' AS what, g.gold AS ids UNION ALL SELECT 'primary', g.prime) w)
-SELECT what, count(*) AS n_questions, round(avg(coalesce(r <= 1, false)::INT), 4) AS recall_at_1, round(avg(coalesce(r <= 5, false)::INT), 4) AS recall_at_5, round(avg(coalesce(r <= 10, false)::INT), 4) AS recall_at_10, round(avg(coalesce(1.0 / r, 0)), 4) AS mrr FROM f GROUP BY what""")
+SELECT what, count(*) AS n_questions, round(avg(coalesce(r <= 1, false)::INT), 4) AS recall_at_1, round(avg(coalesce(r <= 5, false)::INT), 4) AS recall_at_5, round(avg(coalesce(r <= 10, false)::INT), 4) AS recall_at_10, round(round(avg(coalesce(1.0 / r, 0)), 8), 4) AS mrr FROM f GROUP BY what""")
 def eval_gold(spark, sf_dir):
     """Recall and reciprocal rank of BM25 on the gold questions, for any gold id and for primary ones."""
     gold = table(spark, sf_dir, "gold_questions")
     hits = bm25_hits(spark, sf_dir)
     lists = {"any": ("gold_chunk_ids", "primary_gold_chunk_ids", "supporting_gold_chunk_ids"), "primary": ("primary_gold_chunk_ids",)}
-    out = None
-    for what, columns in lists.items():
-        g = gold.select(F.col("question_id").alias("query_id"), evaluation.all_gold(*columns).alias("gold"))
-        one = evaluation.summarise(evaluation.per_question(hits, g, by=()).withColumn("what", F.lit(what)), by=("what",))
-        out = one if out is None else out.union(one)
-    return out
+    both = F.array(*[F.struct(F.lit(what).alias("what"), evaluation.all_gold(*columns).alias("gold")) for what, columns in lists.items()])
+    g = gold.select(F.col("question_id").alias("query_id"), F.explode(both).alias("g")).select("query_id", "g.what", "g.gold")
+    return evaluation.summarise(evaluation.per_question(hits, g, by=(), kinds=("what",)), by=("what",))
+
+
+# a corpus of so few words that most of them stand in most documents, and weigh less than nothing
+FREQUENT = "CASE WHEN doc_id % 7 = 0 THEN 'x y' WHEN doc_id % 5 = 0 THEN 'x y z z' WHEN doc_id % 11 = 0 THEN 'w' WHEN doc_id % 13 = 0 THEN '' ELSE 'x x y' END"
+ASKED = "CASE right(question_id, 1) WHEN '1' THEN 'x' WHEN '2' THEN 'x z' WHEN '3' THEN 'w' WHEN '4' THEN 'unknown' WHEN '5' THEN 'y y w' WHEN '6' THEN NULL ELSE 'z' END"
+S_FREQUENT = f"WITH {s_bm25(f'SELECT doc_id AS id, {FREQUENT} AS text FROM documents', f'SELECT question_id AS query_id, {ASKED} AS query FROM gold_questions', 20)} SELECT * FROM bm25"
+
+
+def frequent(spark, sf_dir, **options):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(FREQUENT).alias("text"))
+    asked = table(spark, sf_dir, "gold_questions").select(F.col("question_id").alias("query_id"), F.expr(ASKED).alias("query"))
+    return lexical.search(lexical.build(docs, "id", "text"), asked, 20, **options)
+
+
+@query(S_FREQUENT)
+def bm25_frequent_words(spark, sf_dir):
+    """Scores below 0, documents that fill up, queries without words: within the tasks."""
+    return frequent(spark, sf_dir)
+
+
+@query(S_FREQUENT)
+def bm25_frequent_words_by_join(spark, sf_dir):
+    """The same hits by the way of large query sets."""
+    return frequent(spark, sf_dir, sent_bytes=0)
+
+
+@query(f"WITH {s_bm25(S_CORPUS, S_QUESTIONS, 10)} SELECT * FROM bm25")
+def bm25_topk_by_join(spark, sf_dir):
+    return lexical.search(lexical.build(corpus(spark, sf_dir), "id", "text"), questions(spark, sf_dir), 10, sent_bytes=0)
 
 
 # -- dense retrieval ----------------------------------------------------------------------------------------------
@@ -196,7 +222,7 @@ def knn_label_share(spark, sf_dir):
 @query("""WITH h AS (SELECT question_id, sha256(question) AS a FROM gold_questions), h2 AS (SELECT *, sha256(unhex(a) || '0'::BLOB) AS b FROM h), h3 AS (SELECT *, sha256(unhex(b) || '1'::BLOB) AS c FROM h2),
 v AS (SELECT question_id, unnest(range(96)) AS dim, upper(a || b || c) AS hex FROM h3),
 x AS (SELECT question_id, dim, (instr('0123456789ABCDEF', substr(hex, 2 * dim + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex, 2 * dim + 2, 1)) - 1 AS byte FROM v)
-SELECT question_id, CAST(dim AS INTEGER) AS dim, round(byte / sqrt(sum(byte * byte) OVER (PARTITION BY question_id)), 5) AS value FROM x""")
+SELECT question_id, CAST(dim AS INTEGER) AS dim, round(CAST(CAST(byte / sqrt(sum(byte * byte) OVER (PARTITION BY question_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM x""")
 def hash_embedding(spark, sf_dir):
     """The offline embedding of each gold question, one row a dimension."""
     q = embed_column(table(spark, sf_dir, "gold_questions").select("question_id", "question"), "question", HashEmbedder)
@@ -212,18 +238,36 @@ S_LEGS = f"WITH {s_bm25(f'SELECT id, text FROM ({S_INDEXED})', S_SPANS, 20)}, {s
 
 
 def indexed(spark, sf_dir):
-    """Indexed chunks: ``id``, ``text``, ``embedding``."""
-    i = table(spark, sf_dir, "semantic_index").select(F.col("vec_id").alias("id"), "chunk_id", "embedding")
-    return i.join(corpus(spark, sf_dir).select(F.col("id").alias("chunk_id"), "text"), "chunk_id").select("id", "text", "embedding")
+    """Indexed chunks: ``id``, ``text``."""
+    i = table(spark, sf_dir, "semantic_index").select(F.col("vec_id").alias("id"), "chunk_id")
+    return i.join(corpus(spark, sf_dir).select(F.col("id").alias("chunk_id"), "text"), "chunk_id").select("id", "text")
+
+
+def span_table(spark, sf_dir):
+    """Texts of the index, spans cut from a hundredth of them, with the vector of their text, and the table of vectors."""
+    docs = cut(indexed(spark, sf_dir))  # read for the spans, for the index of words and for reranking
+    v = table(spark, sf_dir, "semantic_index").select(F.col("vec_id").alias("id"), "embedding")
+    spans = cut(evaluation.spans(docs.where("id % 100 = 0")).join(v.withColumnRenamed("id", "query_id"), "query_id", "left"))
+    return docs, spans, v
 
 
 def legs(spark, sf_dir, k=20):
-    """Span queries with their lexical and dense hits; the gold id of a span is the chunk it was cut from."""
-    docs = indexed(spark, sf_dir)
-    own = docs.where("id % 100 = 0")
-    spans = cut(evaluation.spans(own))  # a hundredth of the chunks, asked several times
-    vectors = own.join(spans.select(F.col("query_id").alias("id")), "id")
-    return spans, lexical.search(lexical.build(docs, "id", "text"), spans, k), dense.knn(docs, vectors, k, 96, "id", "embedding"), docs
+    """Span queries with their lexical and dense hits, each list made once; the gold id of a span is the chunk it was cut from."""
+    docs, spans, v = span_table(spark, sf_dir)
+    x = cut(lexical.search(lexical.build(docs, "id", "text"), spans, k))
+    d = cut(dense.knn(v, spans, k, 96, "id", "embedding", "query_id", "embedding"))
+    return spans.select("query_id", "query"), x, d, docs
+
+
+def s_tokenset(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({x}), '[{chr(92)}p{{L}}{chr(92)}p{{N}}_]+'))"
+
+
+def s_rerank(source: str, k: int, name: str = "rr") -> str:
+    """CTEs that end in ``name`` (query_id, id, rank, score): the best of ``source`` by the share of query words in the text."""
+    return f"""{name}_w AS (SELECT query_id, {s_tokenset("query")} AS q FROM ({S_SPANS})),
+{name}_s AS (SELECT r.query_id, r.id, CASE WHEN len(w.q) = 0 THEN 0.0 ELSE len(list_intersect(w.q, {s_tokenset("coalesce(t.text, '')")}))::DOUBLE / len(w.q) END AS score FROM ({source}) r JOIN {name}_w w USING (query_id) JOIN ({S_INDEXED}) t ON t.id = r.id),
+{name} AS MATERIALIZED (SELECT query_id, id, CAST(rank AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name}_s) WHERE rank <= {k})"""
 
 
 def s_rrf(k: int, pool: int, missing: str = "0.0", name: str = "rrf") -> str:
@@ -257,40 +301,83 @@ def rrf_two_indexes(spark, sf_dir):
     return fusion.fuse_indexes({"chunks": bm25_hits(spark, sf_dir, 8), "documents": lexical.search(lexical.build(docs, "id", "text"), questions(spark, sf_dir), 8)})
 
 
-S_SCORES = f"""{S_LEGS}, {s_rrf(10, 20)}, hits AS (SELECT 'bm25' AS strategy, query_id, id, rank FROM bm25 WHERE rank <= 10 UNION ALL SELECT 'semantic', query_id, id, rank FROM knn WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, id, rank FROM rrf),
-sc AS (SELECT q.query_id, s.strategy, (SELECT min(rank) FROM hits h WHERE h.strategy = s.strategy AND h.query_id = q.query_id AND h.id = q.query_id) AS r FROM (SELECT query_id FROM ({S_SPANS})) q, (SELECT DISTINCT strategy FROM hits) s)"""
-STRATEGIES = ["bm25", "hybrid", "semantic"]
+S_HITS = f"""{S_LEGS}, {s_rrf(10, 20)}, {s_rrf(20, 20, name="pool")}, {s_rerank("SELECT query_id, id FROM pool", 10)},
+hits AS (SELECT 'bm25' AS strategy, query_id, id, rank FROM bm25 WHERE rank <= 10 UNION ALL SELECT 'semantic', query_id, id, rank FROM knn WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, id, rank FROM rrf UNION ALL SELECT 'hybrid_rerank', query_id, id, rank FROM rr)"""
+STRATEGIES = ["bm25", "hybrid", "hybrid_rerank", "semantic"]
+S_STRATEGIES = "SELECT unnest([" + ", ".join(f"'{s}'" for s in STRATEGIES) + "]) AS strategy"
+S_SCORES = f"""{S_HITS}, sc AS (SELECT q.query_id, s.strategy, (SELECT min(rank) FROM hits h WHERE h.strategy = s.strategy AND h.query_id = q.query_id AND h.id = q.query_id) AS r FROM (SELECT query_id FROM ({S_SPANS})) q, ({S_STRATEGIES}) s)"""
+S_METRICS = "round(avg(coalesce(r <= 1, false)::INT), 4) AS recall_at_1, round(avg(coalesce(r <= 5, false)::INT), 4) AS recall_at_5, round(avg(coalesce(r <= 10, false)::INT), 4) AS recall_at_10, round(round(avg(coalesce(1.0 / r, 0)), 8), 4) AS mrr"
+
+
+def reranked(fused, docs, spans, k):
+    return rerank.rerank(fused.select("query_id", "id").join(docs.select("id", "text"), "id").join(spans, "query_id"), k, OverlapScorer)
 
 
 def strategy_hits(spark, sf_dir):
-    spans, x, d, _ = legs(spark, sf_dir)
+    """Ten hits of each strategy; every list is made once."""
+    spans, x, d, docs = legs(spark, sf_dir)
+    pool = cut(fusion.reciprocal_rank(d, x, 20))
     named = lambda df, n: df.where("rank <= 10").select(F.lit(n).alias("strategy"), "query_id", "id", "rank")
-    return spans, named(x, "bm25").union(named(d, "semantic")).union(named(fusion.reciprocal_rank(d, x, 10, pool=20), "hybrid"))
+    hits = named(x, "bm25").union(named(d, "semantic")).union(named(pool, "hybrid")).union(named(reranked(pool, docs, spans, 10), "hybrid_rerank"))
+    return spans, cut(hits)
 
 
 def strategy_scores(spark, sf_dir):
     spans, hits = strategy_hits(spark, sf_dir)
-    return evaluation.per_question(hits, spans.select("query_id", F.array("query_id").alias("gold")))
+    return evaluation.per_question(hits, spans.select("query_id", F.array("query_id").alias("gold")), strategies=STRATEGIES)
 
 
-@query(f"{S_SCORES} SELECT strategy, count(*) AS n_questions, round(avg(coalesce(r <= 1, false)::INT), 4) AS recall_at_1, round(avg(coalesce(r <= 5, false)::INT), 4) AS recall_at_5, round(avg(coalesce(r <= 10, false)::INT), 4) AS recall_at_10, round(avg(coalesce(1.0 / r, 0)), 4) AS mrr FROM sc GROUP BY strategy")
+@query(f"{S_SCORES} SELECT strategy, count(*) AS n_questions, {S_METRICS} FROM sc GROUP BY strategy")
 def eval_strategies(spark, sf_dir):
     return evaluation.summarise(strategy_scores(spark, sf_dir))
 
 
-@query(f"{S_SCORES} SELECT query_id, " + ", ".join(f"max(CASE WHEN strategy = '{s}' THEN coalesce(r <= 5, false)::INT END) AS {s}" for s in STRATEGIES) + " FROM sc GROUP BY query_id")
+@query(f"{S_SCORES} SELECT strategy, round(avg(coalesce(r <= 1, false)::INT), 4) AS \"R@1\", round(avg(coalesce(r <= 5, false)::INT), 4) AS \"R@5\", round(avg(coalesce(r <= 10, false)::INT), 4) AS \"R@10\", round(round(avg(coalesce(1.0 / r, 0)), 8), 4) AS \"MRR\" FROM sc GROUP BY strategy")
+def summary_table(spark, sf_dir):
+    return analysis.summary_table(evaluation.summarise(strategy_scores(spark, sf_dir)))
+
+
+# gold of which strategies differ: by the number of the query its own chunk, one that only the vectors rank fifth, one that
+# only the words rank fifth, the first reranked hit that no other list has among its five, or none at all
+S_SPLIT = f"""{S_HITS}, alone AS (SELECT query_id, arg_min(id, rank) AS id FROM hits h WHERE strategy = 'hybrid_rerank' AND rank <= 5 AND NOT EXISTS (SELECT 1 FROM hits o WHERE o.strategy <> 'hybrid_rerank' AND o.rank <= 5 AND o.query_id = h.query_id AND o.id = h.id) GROUP BY query_id),
+gold AS (SELECT q.query_id, CASE q.query_id // 100 % 5 WHEN 0 THEN q.query_id WHEN 1 THEN (SELECT id FROM knn WHERE rank = 5 AND knn.query_id = q.query_id) WHEN 2 THEN (SELECT id FROM bm25 WHERE rank = 5 AND bm25.query_id = q.query_id) WHEN 3 THEN (SELECT id FROM alone WHERE alone.query_id = q.query_id) END AS id FROM (SELECT query_id FROM ({S_SPANS})) q),
+sc AS (SELECT g.query_id, s.strategy, (SELECT min(rank) FROM hits h WHERE h.strategy = s.strategy AND h.query_id = g.query_id AND h.id = g.id) AS r FROM gold g, ({S_STRATEGIES}) s)"""
+
+
+def split_scores(spark, sf_dir):
+    spans, hits = strategy_hits(spark, sf_dir)
+    five = hits.where("rank <= 5")
+    at = lambda s: five.where((F.col("strategy") == s) & (F.col("rank") == 5)).select("query_id", F.col("id").alias(s))
+    seen = five.where("strategy <> 'hybrid_rerank'").select("query_id", "id")
+    only = five.where("strategy = 'hybrid_rerank'").join(seen, ["query_id", "id"], "left_anti").groupBy("query_id").agg(F.min_by("id", "rank").alias("only"))
+    q = spans.select("query_id").join(at("semantic"), "query_id", "left").join(at("bm25"), "query_id", "left").join(only, "query_id", "left")
+    kind = F.floor(F.col("query_id") / 100) % 5
+    gold = F.when(kind == 0, F.col("query_id")).when(kind == 1, F.col("semantic")).when(kind == 2, F.col("bm25")).when(kind == 3, F.col("only"))
+    return evaluation.per_question(hits, q.select("query_id", F.filter(F.array(gold), lambda x: x.isNotNull()).alias("gold")), strategies=STRATEGIES)
+
+
+@query(f"{S_SPLIT} SELECT query_id, " + ", ".join(f"max(CASE WHEN strategy = '{s}' THEN coalesce(r <= 5, false)::INT END) AS {s}" for s in STRATEGIES) + " FROM sc GROUP BY query_id")
 def hit_matrix(spark, sf_dir):
-    return analysis.hit_matrix(strategy_scores(spark, sf_dir), STRATEGIES)
+    return analysis.hit_matrix(split_scores(spark, sf_dir), STRATEGIES)
 
 
-@query(f"{S_SCORES} SELECT query_id FROM sc GROUP BY query_id HAVING max(coalesce(r <= 5, false)::INT) = 0")
+@query(f"{S_SPLIT} SELECT query_id FROM sc GROUP BY query_id HAVING max(coalesce(r <= 5, false)::INT) = 0")
 def missed_by_all(spark, sf_dir):
-    return analysis.missed_by_all(strategy_scores(spark, sf_dir))
+    return analysis.missed_by_all(split_scores(spark, sf_dir))
 
 
-@query(f"{S_SCORES} SELECT query_id FROM sc GROUP BY query_id HAVING max(CASE WHEN strategy = 'semantic' THEN coalesce(r <= 5, false)::INT END) = 1 AND max(CASE WHEN strategy <> 'semantic' THEN coalesce(r <= 5, false)::INT END) = 0")
+def s_won(strategy: str) -> str:
+    return f"{S_SPLIT} SELECT query_id FROM sc GROUP BY query_id HAVING max(CASE WHEN strategy = '{strategy}' THEN coalesce(r <= 5, false)::INT END) = 1 AND max(CASE WHEN strategy <> '{strategy}' THEN coalesce(r <= 5, false)::INT END) = 0"
+
+
+@query(s_won("semantic"))
 def won_only_by_semantic(spark, sf_dir):
-    return analysis.won_only_by(strategy_scores(spark, sf_dir), "semantic")
+    return analysis.won_only_by(split_scores(spark, sf_dir), "semantic")
+
+
+@query(s_won("hybrid_rerank"))
+def won_only_by_rerank(spark, sf_dir):
+    return analysis.won_only_by(split_scores(spark, sf_dir), "hybrid_rerank")
 
 
 @query(f"{S_SCORES} SELECT query_id, round({s_jaccard('a', 'b')}, 6) AS jaccard FROM (SELECT query_id, coalesce(list(id) FILTER (strategy = 'bm25'), []) AS a, coalesce(list(id) FILTER (strategy = 'semantic'), []) AS b FROM hits WHERE rank <= 5 GROUP BY query_id)")
@@ -298,12 +385,67 @@ def strategy_overlap(spark, sf_dir):
     return evaluation.overlap(strategy_hits(spark, sf_dir)[1], "bm25", "semantic").select("query_id", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query()
+@query(f"{S_LEGS}, {s_rrf(20, 20, name='pool')}, {s_rerank('SELECT query_id, id FROM pool', 5)} SELECT * FROM rr")
 def rerank_cascade(spark, sf_dir):
     """Twenty fused candidates a span, the best five by the scorer of pairs."""
     spans, x, d, docs = legs(spark, sf_dir)
-    fused = fusion.reciprocal_rank(d, x, 20)
-    return rerank.rerank(fused.select("query_id", "id").join(docs.select("id", "text"), "id").join(spans, "query_id"), 5, OverlapScorer)
+    return reranked(fusion.reciprocal_rank(d, x, 20), docs, spans, 5)
+
+
+# -- the registry of retrievers, over one index of words ------------------------------------------------------------
+
+
+def registry_hits(spark, sf_dir, strategies, k, **options):
+    docs, spans, v = span_table(spark, sf_dir)
+    corpus = docs.join(v, "id")
+    index = lexical.build(docs, "id", "text")
+    found = [rerank.retriever(corpus, s, k, index=index, **options)(spans).select(F.lit(s).alias("strategy"), "*") for s in strategies]
+    return functools.reduce(DataFrame.union, found)
+
+
+@query(f"""{S_LEGS}, {s_rrf(5, 5)}, {s_rrf(20, 20, name="pool")}, {s_rerank("SELECT query_id, id FROM pool", 5)}
+SELECT 'semantic' AS strategy, query_id, id, rank, 1 - distance AS score FROM knn WHERE rank <= 5 UNION ALL SELECT 'bm25', query_id, id, rank, score FROM bm25 WHERE rank <= 5 UNION ALL SELECT 'hybrid', query_id, id, rank, score FROM rrf UNION ALL SELECT 'hybrid_rerank', query_id, id, rank, score FROM rr""")
+def retrievers(spark, sf_dir):
+    return registry_hits(spark, sf_dir, rerank.STRATEGIES, 5)
+
+
+S_FROM_ZERO = s_rrf(5, 5).replace("(60 + d.rank)", "(59 + d.rank)").replace("(60 + dense_rank)", "(59 + dense_rank)").replace("(60 + lexical_rank)", "(59 + lexical_rank)")
+
+
+@query(f"{S_LEGS}, {S_FROM_ZERO} SELECT 'hybrid' AS strategy, query_id, id, rank, score FROM rrf")
+def retriever_ranks_from_zero(spark, sf_dir):
+    """The fusion of the second engine, whose ranks begin at 0."""
+    return registry_hits(spark, sf_dir, ["hybrid"], 5, rank_base=0)
+
+
+@query(f"{S_LEGS}, {s_rrf(20, 20, '1.0::DOUBLE / (60 + 9999)')} SELECT 'hybrid_rerank' AS strategy, query_id, id, rank, score FROM rrf WHERE rank <= 5")
+def retriever_pool(spark, sf_dir):
+    """The pool of the reranker without the reranker, as the interactive surface shows it."""
+    return registry_hits(spark, sf_dir, ["hybrid_rerank"], 5, scorer=None, missing_rank=9999)
+
+
+S_RUN = f"""{S_LEGS}, {s_rrf(10, 10)}, {s_rrf(20, 20, name="pool")}, {s_rerank("SELECT query_id, id FROM pool", 10)},
+hits AS (SELECT 'bm25' AS strategy, query_id, id, rank FROM bm25 WHERE rank <= 10 UNION ALL SELECT 'semantic', query_id, id, rank FROM knn WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, id, rank FROM rrf UNION ALL SELECT 'hybrid_rerank', query_id, id, rank FROM rr),
+sc AS (SELECT q.query_id, q.query, s.strategy, (SELECT min(rank) FROM hits h WHERE h.strategy = s.strategy AND h.query_id = q.query_id AND h.id = q.query_id) AS r FROM ({S_SPANS}) q, ({S_STRATEGIES}) s)"""
+
+
+def evaluated(spark, sf_dir):
+    docs, spans, v = span_table(spark, sf_dir)
+    corpus, index = docs.join(v, "id"), lexical.build(docs, "id", "text")
+    gold = spans.select("query_id", F.array("query_id").alias("gold"), F.when(F.col("query_id") % 200 == 0, F.array("query_id")).otherwise(F.array().cast("array<bigint>")).alias("prime"))
+    return evaluation.evaluate({s: rerank.retriever(corpus, s, 10, index=index) for s in STRATEGIES}, spans, gold)
+
+
+@query(f"""{S_RUN}, pr AS (SELECT strategy, CASE WHEN query_id % 200 = 0 THEN r END AS r FROM sc)
+SELECT a.*, p.* EXCLUDE (strategy) FROM (SELECT strategy, count(*) AS n_questions, {S_METRICS} FROM sc GROUP BY strategy) a JOIN (SELECT strategy, {S_METRICS.replace(" AS ", " AS primary_")} FROM pr GROUP BY strategy) p USING (strategy)""")
+def evaluate_retrievers(spark, sf_dir):
+    """Four strategies over all spans, for any gold id and for primary ones; the latency differs from run to run and is left out."""
+    return evaluated(spark, sf_dir)[1].drop("mean_latency_ms")
+
+
+@query(f"{S_RUN} SELECT strategy, query_id, query, (SELECT to_json(list(id ORDER BY rank))::VARCHAR FROM hits h WHERE h.strategy = sc.strategy AND h.query_id = sc.query_id) AS hit_ids, coalesce(1.0 / r, 0)::DOUBLE AS rr FROM sc")
+def evaluate_questions(spark, sf_dir):
+    return evaluated(spark, sf_dir)[0].select("strategy", "query_id", "query", F.to_json("hit_ids").alias("hit_ids"), "rr")
 
 
 @query(f"""WITH {s_bm25(S_CORPUS, S_QUESTIONS, 10)}, c AS ({S_CORPUS}), g AS (SELECT query_id, unnest(gold) AS id FROM ({S_GOLD})), m AS (SELECT DISTINCT query_id, left({s_trim("left(text, 200)")}, 100) AS mark FROM g JOIN c USING (id) WHERE text <> ''),
@@ -385,12 +527,22 @@ def chunk_stats(spark, sf_dir):
     return out
 
 
-@query()
+@query(f"SELECT doc_id, chunk_index, text FROM ({s_chunks(S_SEMANTIC)})")
 def chunk_semantic_arrow(spark, sf_dir):
     return chunking.arrow_semantic(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
-@query()
+def s_count(x: str) -> str:
+    return f"list_sum(list_transform({x}, lambda t: len({s_tokens('t')})))"
+
+
+S_REST = f"list_filter(range(1, len(a.cur) + 1), lambda j: {s_count('a.cur[j:]')} <= 50)"
+S_WINDOWS = f"""(SELECT CASE WHEN len(s) = 0 THEN [] ELSE list_append(z.done, array_to_string(z.cur, ' ')) END FROM (SELECT list_reduce(list_transform(s[2:], lambda x: {{'done': []::VARCHAR[], 'cur': [x]}}),
+lambda a, b: CASE WHEN {s_count("a.cur")} + len({s_tokens("b.cur[1]")}) <= 512 THEN {{'done': a.done, 'cur': list_concat(a.cur, b.cur)}}
+ELSE {{'done': list_append(a.done, array_to_string(a.cur, ' ')), 'cur': CASE WHEN len({S_REST}) > 0 THEN list_concat(a.cur[({S_REST})[1]:], b.cur) ELSE b.cur END}} END, {{'done': []::VARCHAR[], 'cur': [s[1]]}}) AS z))"""
+
+
+@query(f"SELECT doc_id, unnest(p) AS text, CAST(unnest(range(len(p))) AS INTEGER) AS chunk_index FROM (SELECT doc_id, {S_WINDOWS} AS p FROM (SELECT doc_id, {s_sentences('text')} AS s FROM documents))")
 def chunk_token_windows(spark, sf_dir):
     return chunking.token_windows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
@@ -398,24 +550,53 @@ def chunk_token_windows(spark, sf_dir):
 # -- HTML, sections and their checks ------------------------------------------------------------------------------
 
 
+# pages made of documents, in words that both engines read: lines as paragraphs with references, and all that must vanish
+ESCAPED = "replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '’', '&#8217;'), '—', '&mdash;'), chr(10), '</p>' || chr(10) || '<p>')"
+HEAD = "'<html><head><title></title><style>p {margin: 0}</style><script>if (a < b) { c(\"<p>no</p>\"); }</script></head><body><!-- <p>no</p> --><div><a href=\"#i\">link <b>text</b></a></div><p>Item&#160;' || CAST(doc_id % 16 + 1 AS STRING) || '. &#x201C;Caf&#233;&#x201D;</p><ix:x><p>'"
+PAGE = f"{HEAD} || {ESCAPED} || '</p></ix:x><p>end</p></body></html>'"
+# the same with links that nobody closes
+BROKEN = f"{HEAD} || {ESCAPED} || '</p></ix:x><p><a name=toc>lost</p><p>kept<div><a name=x>lost too</div><td><a>a<a>b</td>end</body></html>'"
+S_LINE = s_trim("replace(line, chr(160), ' ')")
+
+
 def s_nodes_html() -> str:
-    h = "text"
+    h = "page"
     for pattern in ("(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<a\b[^>]*>.*?</a\s*>"):
         h = f"regexp_replace({h}, '{pattern}', '<>', 'g')"
-    t = "part"
+    t = "replace(replace(replace(replace(replace(part, '&#160;', ' '), '&#8217;', '’'), '&#233;', 'é'), '&#x201C;', '“'), '&#x201D;', '”')"
     for name, char in html.ENTITIES.items():
         t = f"replace({t}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     t = s_trim(f"replace({t}, chr(160), ' ')")
-    return f"SELECT doc_id AS doc, CAST(node_idx AS INTEGER) AS node_idx, {t} AS text FROM (SELECT doc_id, unnest(range(len(p))) AS node_idx, unnest(p) AS part FROM (SELECT doc_id, string_split_regex({h}, '<[^>]*>') AS p FROM documents)) WHERE {t} <> ''"
+    return f"SELECT doc AS doc, CAST(node_idx AS INTEGER) AS node_idx, text FROM (SELECT doc_id AS doc, node_idx, {t} AS text FROM (SELECT doc_id, unnest(range(len(p))) AS node_idx, unnest(p) AS part FROM (SELECT doc_id, string_split_regex({h}, '<[^>]*>') AS p FROM (SELECT doc_id, {PAGE} AS page FROM documents)))) WHERE text <> ''"
+
+
+def pages(spark, sf_dir, form):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.expr(form).alias("page"))
 
 
 @query(s_nodes_html())
 def html_text_nodes(spark, sf_dir):
-    """The texts of documents, which bear stray tags, read as HTML."""
-    return html.text_nodes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+    """Pages made of documents, read by regular expressions."""
+    return html.text_nodes(pages(spark, sf_dir, PAGE), "doc_id", "page")
 
 
-S_NODES = f"SELECT doc_id AS doc, CAST(node_idx AS INTEGER) AS node_idx, {s_trim('replace(part, chr(160), ' + repr(' ') + ')')} AS text FROM (SELECT doc_id, unnest(range(len(p))) AS node_idx, unnest(p) AS part FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE {s_trim('replace(part, chr(160), ' + repr(' ') + ')')} <> ''"
+@query(f"""SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY place) - 1 AS INTEGER) AS node_idx, text FROM (
+SELECT doc_id AS doc, place, {S_LINE} AS text FROM (SELECT doc_id, unnest(range(len(l))) AS place, unnest(l) AS line FROM (SELECT doc_id, list_concat(['Item ' || CAST(doc_id % 16 + 1 AS VARCHAR) || '. “Café”'], string_split(text, chr(10)), ['kept', 'end']) AS l FROM documents WHERE text IS NOT NULL))) WHERE text <> ''""")
+def html_parsed_nodes(spark, sf_dir):
+    """Broken pages made of documents, read by the parser: what comes out are the lines that went in."""
+    return html.parsed_text_nodes(pages(spark, sf_dir, BROKEN), "doc_id", "page")
+
+
+# filings made of documents, in words that both engines read: every branch of the section reader
+N = "chr(10)"
+FILING = f"""CASE WHEN doc_id % 400 = 4 THEN 'Item 12. Own' || {N} || repeat(text || {N}, CAST(floor(200000 / (length(text) + 1)) AS INT) + 1) ELSE CASE doc_id % 8
+WHEN 1 THEN 'before' || {N} || 'PART I' || {N} || 'Item 1.' || {N} || 'Business' || {N} || text || {N} || 'part ii.' || {N} || 'ITEM 7 - View' || {N} || left(text, 300) || {N} || 'Item 7. View again' || {N} || text || {N} || 'Item 7. Last' || {N} || text || {N} || 'Signatures' || {N} || 'PART IV' || {N} || 'Item 15. Never' || {N} || 'lost'
+WHEN 2 THEN 'Item 15. Exhibits' || {N} || 'list' || {N} || 'Management’s Discussion and Analysis:' || {N} || text || {N} || 'Management''s discussion and analysis' || {N} || 'Report of Independent Registered Public Accounting Firm' || {N} || text
+WHEN 3 THEN 'Item 17. Odd' || {N} || 'odd' || {N} || 'PART III' || {N} || 'Item 10.' || {N} || 'PART IV' || {N} || text || {N} || 'Item 18: Odder' || {N} || text
+WHEN 4 THEN 'Item 9. Z' || {N} || 'Management''s Discussion and Analysis' || {N} || 'Item 11. Pay' || {N} || 'Incorporated herein by reference to the proxy.' || {N} || 'Item 13. None'
+WHEN 5 THEN 'Item 1A. Risk' || {N} || text || {N} || 'Item 1C. Cyber' || {N} || text || {N} || 'Item 4. Mine' || {N} || text
+ELSE text END END"""
+S_NODES = f"SELECT doc, CAST(node_idx AS INTEGER) AS node_idx, text FROM (SELECT doc_id AS doc, node_idx, {S_LINE} AS text FROM (SELECT doc_id, unnest(range(len(p))) AS node_idx, unnest(p) AS line FROM (SELECT doc_id, string_split({FILING}, chr(10)) AS p FROM documents))) WHERE text <> ''"
 
 
 def s_sections(nodes: str) -> str:
@@ -432,12 +613,17 @@ n6 AS (SELECT *, fired OR item IS NOT NULL AS opens, NOT (fired OR item IS NOT N
 n7 AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc ORDER BY node_idx ROWS UNBOUNDED PRECEDING) AS seg, plain AND coalesce(lag(tail) OVER w = '', false) AS is_title, CASE WHEN lead(plain) OVER w THEN lead(text) OVER w END AS next_title FROM n6 WINDOW w AS (PARTITION BY doc ORDER BY node_idx)),
 h AS (SELECT doc, seg, coalesce(split_part(mapped, '|', 1), CASE WHEN k BETWEEN 1 AND 4 THEN 'PART I' WHEN k BETWEEN 5 AND 9 THEN 'PART II' WHEN k BETWEEN 10 AND 14 THEN 'PART III' WHEN k BETWEEN 15 AND 16 THEN 'PART IV' ELSE last_part END) AS part, coalesce(item, split_part(mapped, '|', 2)) AS item, CASE WHEN fired THEN text WHEN tail <> '' THEN tail ELSE coalesce(next_title, '') END AS title FROM (SELECT *, try_cast(regexp_extract(item, '([0-9]+)', 1) AS INT) AS k FROM n7 WHERE opens)),
 b AS (SELECT doc, seg, {s_trim("string_agg(text, chr(10) ORDER BY node_idx)")} AS text FROM n7 WHERE plain AND NOT is_title AND seg > 0 GROUP BY doc, seg),
-s AS (SELECT b.doc, CAST(b.seg AS BIGINT) AS seg, b.text, h.part, h.item, h.title, CAST(count(*) OVER k - 1 AS INTEGER) AS duplicates, row_number() OVER (PARTITION BY b.doc, part, item ORDER BY length(b.text) DESC, b.seg) AS best FROM b JOIN h ON b.doc = h.doc AND b.seg = h.seg WHERE b.text <> '' WINDOW k AS (PARTITION BY b.doc, part, item)),
-sections AS (SELECT doc, seg, text, part, item, title, duplicates, length(text) < 500 AND regexp_matches(text, '{ref}') AS incorporated_by_reference, length(text) > 200000 AS oversized FROM s WHERE best = 1)"""
+s AS (SELECT b.doc, CAST(b.seg AS BIGINT) AS seg, b.text, h.part, h.item, h.title, CAST(count(*) OVER k - 1 AS INTEGER) AS duplicates, min(b.seg) OVER k AS first, row_number() OVER (PARTITION BY b.doc, part, item ORDER BY length(b.text) DESC, b.seg) AS best FROM b JOIN h ON b.doc = h.doc AND b.seg = h.seg WHERE b.text <> '' WINDOW k AS (PARTITION BY b.doc, part, item)),
+sections AS (SELECT doc, CAST(first AS BIGINT) AS seg, text, part, item, title, duplicates, length(text) < 500 AND regexp_matches(text, '{ref}') AS incorporated_by_reference, length(text) > 200000 AS oversized FROM s WHERE best = 1)"""
+
+
+def filing_nodes(spark, sf_dir):
+    filings = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.expr(FILING).alias("text"))
+    return html.line_nodes(filings, "doc_id")
 
 
 def document_sections(spark, sf_dir):
-    return sections.extract_sections(html.line_nodes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id"))
+    return sections.extract_sections(filing_nodes(spark, sf_dir))
 
 
 @query(f"WITH {s_sections(S_NODES)} SELECT * FROM sections")
@@ -481,13 +667,14 @@ def sections_by_part(spark, sf_dir):
     return validation.sections_by_part(document_sections(spark, sf_dir), "doc")
 
 
-@query(f"""WITH {s_sections(S_NODES)}, d AS (SELECT DISTINCT doc FROM sections)
-SELECT doc, '[]' AS parts, (SELECT count(*) FROM sections s WHERE s.doc = d.doc) AS sections, (SELECT sum(duplicates)::BIGINT FROM sections s WHERE s.doc = d.doc) AS duplicates_suppressed FROM d""")
+@query(f"""WITH {s_sections(S_NODES)}, np AS (SELECT doc, to_json(list(part ORDER BY place))::VARCHAR AS parts FROM (SELECT doc, part, min(node_idx) AS place FROM n2 WHERE part IS NOT NULL GROUP BY doc, part) GROUP BY doc),
+sy AS (SELECT doc, to_json(list(DISTINCT replace(mapped, '|', '/') ORDER BY replace(mapped, '|', '/')))::VARCHAR AS synthetic FROM n5 WHERE fired GROUP BY doc),
+ss AS (SELECT doc, count(*) AS sections, sum(duplicates)::BIGINT AS duplicates_suppressed FROM sections GROUP BY doc)
+SELECT doc, coalesce(parts, '[]') AS parts, coalesce(sections, 0) AS sections, coalesce(duplicates_suppressed, 0) AS duplicates_suppressed, coalesce(synthetic, '[]') AS synthetic FROM ss FULL JOIN np USING (doc) FULL JOIN sy USING (doc)""")
 def extraction_stats(spark, sf_dir):
-    """The documents here name no parts, so their list is empty."""
-    nodes = html.line_nodes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    nodes = filing_nodes(spark, sf_dir)
     stats = sections.extraction_stats(nodes, sections.extract_sections(nodes))
-    return stats.select("doc", F.to_json("parts_detected").alias("parts"), "sections", "duplicates_suppressed")
+    return stats.select("doc", F.to_json("parts_detected").alias("parts"), "sections", "duplicates_suppressed", F.to_json("synthetic_items").alias("synthetic"))
 
 
 # -- prompts, citations and judges --------------------------------------------------------------------------------
@@ -510,6 +697,92 @@ def build_prompt(spark, sf_dir):
     return prompt.build_prompts(questions(spark, sf_dir), hits.select("query_id", "rank", F.col("metadata.source_file").alias("source_file"), F.col("metadata.item").alias("item"), F.col("metadata.section_title").alias("title"), "text"))
 
 
+def question_hits(spark, sf_dir, k=5):
+    """Hits of the gold questions with what prompts show of them; one text in ten only as ``document``."""
+    c = corpus(spark, sf_dir).select("id", "text", F.col("metadata.source_file").alias("source_file"), F.col("metadata.item").alias("item"), F.col("metadata.section_title").alias("title"))
+    c = c.withColumn("document", F.when(F.col("id").endswith("7"), F.col("text"))).withColumn("text", F.when(F.col("document").isNull(), F.col("text")).otherwise(""))
+    # every tenth question finds nothing
+    return bm25_hits(spark, sf_dir, k).where("NOT query_id LIKE '%0'").join(c, "id")
+
+
+S_PROMPTED = f"""WITH {s_bm25(S_CORPUS, S_QUESTIONS, 5)}, c AS ({S_CORPUS}), k AS ({S_BLOCKS} WHERE g.query_id NOT LIKE '%0'),
+pr AS (SELECT g.query_id, any_value(g.query) AS query, '{prompt.INTRODUCTION}' || chr(10) || chr(10) || coalesce(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Question: ' || coalesce(any_value(g.query), '') || chr(10) || chr(10) || '{prompt.REQUEST}' AS prompt, count(block) AS passages FROM ({S_QUESTIONS}) g LEFT JOIN k USING (query_id) GROUP BY g.query_id),
+cx AS (SELECT b.query_id, list({s_trim("coalesce(c.text, '')")} ORDER BY b.rank) AS contexts, list(coalesce(c.text, '') ORDER BY b.rank) AS texts FROM bm25 b JOIN c ON c.id = b.id WHERE b.query_id NOT LIKE '%0' GROUP BY b.query_id)"""
+S_SYSTEM = prompt.SYSTEM.replace("'", "''")
+
+
+def s_first(x: str) -> str:
+    first = s_trim(f"string_split_regex(regexp_replace({s_trim(x)}, '([.!?])[{WS}]', '\\1' || chr(1), 'g'), '\\x01|\\n')[1]")
+    return f"CASE WHEN {first} <> '' THEN {first} || ' [1]' ELSE '{NOT_FOUND}' END"
+
+
+def s_cited(x: str) -> str:
+    return f"list_sort(list_distinct(list_transform(regexp_extract_all({x}, '\\[([0-9]+)\\]', 1), lambda n: CAST(n AS BIGINT))))"
+
+
+S_ANSWERS = f"""{S_PROMPTED}, an AS (SELECT query_id, query, prompt, passages, contexts, CASE WHEN passages = 0 THEN '{prompt.NOTHING}' ELSE {s_first("contexts[1]")} END AS answer FROM pr LEFT JOIN cx USING (query_id))"""
+
+
+@query(f"{S_PROMPTED} SELECT query_id, turn, role, text FROM (SELECT query_id, 0 AS turn, 'system' AS role, '{S_SYSTEM}' AS text FROM pr UNION ALL SELECT query_id, 1, 'user', prompt FROM pr)")
+def build_messages(spark, sf_dir):
+    """The two turns of each question; where a hit has no text its document counts."""
+    return prompt.build_messages(prompt.build_prompts(questions(spark, sf_dir), question_hits(spark, sf_dir)))
+
+
+@query(f"""{S_ANSWERS} SELECT query_id, query AS question, answer, to_json(CASE WHEN passages = 0 THEN []::BIGINT[] ELSE {s_cited("answer")} END)::VARCHAR AS cited_indices, CAST(coalesce(len(list_filter({s_cited("answer")}, lambda n: n BETWEEN 1 AND passages)), 0) AS INTEGER) AS cited, coalesce(to_json(contexts), '[]')::VARCHAR AS contexts, 'extractive' AS model,
+CAST(CASE WHEN passages = 0 THEN 0 ELSE len({s_words(f"'{S_SYSTEM}'")}) + len({s_words("prompt")}) END AS INTEGER) AS prompt_tokens, CAST(CASE WHEN passages = 0 THEN 0 ELSE len({s_words("answer")}) END AS INTEGER) AS completion_tokens FROM an""")
+def answer_questions(spark, sf_dir):
+    """Retrieve, then answer: each gold question over its five best chunks. A question without hits gets the fixed reply."""
+    a = prompt.answer_questions(questions(spark, sf_dir), cut(question_hits(spark, sf_dir)))
+    return a.select("query_id", "question", "answer", F.to_json("cited_indices").alias("cited_indices"), F.size("cited_chunks").alias("cited"), F.to_json(F.transform("contexts", T.trim_ws)).alias("contexts"), "model", "prompt_tokens", "completion_tokens")
+
+
+S_BARE = f"""{S_PROMPTED}, an AS (SELECT query_id, CASE WHEN passages = 0 THEN '{prompt.NOTHING}' ELSE {s_first("array_to_string(contexts, chr(10) || chr(10))")} END AS answer, passages, contexts FROM pr LEFT JOIN cx USING (query_id))"""
+
+
+@query(f"""{S_BARE} SELECT query_id, answer, to_json(CASE WHEN passages = 0 THEN []::BIGINT[] ELSE {s_cited("answer")} END)::VARCHAR AS cited_indices, CAST(passages AS INTEGER) AS source_nodes FROM an""")
+def query_engine(spark, sf_dir):
+    """The second engine: rules, bare passages and question in one prompt."""
+    ask = prompt.answering(lambda q: bm25_hits(spark, sf_dir, 5).where("NOT query_id LIKE '%0'"), corpus(spark, sf_dir).select("id", "text"), numbered=False)
+    return ask(questions(spark, sf_dir)).select("query_id", "answer", F.to_json("cited_indices").alias("cited_indices"), F.size("chunks").alias("source_nodes"))
+
+
+S_EXPECTED = "SELECT question_id AS query_id, coalesce(nullif(expected_answer, ''), answer) AS expected FROM gold_questions"
+
+
+def answer_records(spark, sf_dir):
+    a = prompt.answer_questions(questions(spark, sf_dir), cut(question_hits(spark, sf_dir)))
+    gold = table(spark, sf_dir, "gold_questions").select(F.col("question_id").alias("query_id"), F.coalesce(F.nullif("expected_answer", F.lit("")), "answer").alias("expected"))
+    return prompt.records(a, gold)
+
+
+@query(f"{S_ANSWERS} SELECT query_id, query AS question, answer, coalesce(to_json(contexts), '[]')::VARCHAR AS contexts, coalesce(expected, '') AS ground_truth FROM an LEFT JOIN ({S_EXPECTED}) USING (query_id)")
+def answer_record_rows(spark, sf_dir):
+    """Answers beside what was expected, without the columns that vary."""
+    return answer_records(spark, sf_dir).select("query_id", "question", "answer", F.to_json("contexts").alias("contexts"), "ground_truth")
+
+
+def s_part(a: str, b: str) -> str:
+    """The share of the words ``a`` among ``b``, to 4 places; null without words."""
+    return f"CASE WHEN len({a}) > 0 THEN round(len(list_intersect({a}, {b}))::DOUBLE / len({a}), 4) END"
+
+
+S_JUDGED = f"""{S_ANSWERS}, w AS (SELECT query_id, {s_tokenset("query")} AS q, {s_tokenset("answer")} AS a, {s_tokenset("array_to_string(coalesce(contexts, []), ' ')")} AS c, list_transform(coalesce(contexts, []), lambda t: {s_tokenset("t")}) AS cs, {s_tokenset("coalesce(expected, '')")} AS t FROM an LEFT JOIN ({S_EXPECTED}) USING (query_id)),
+ju AS (SELECT query_id, {s_part("a", "c")} AS faithfulness, CASE WHEN len(a) > 0 THEN {s_part("q", "a")} END AS answer_relevancy, {s_part("t", "c")} AS context_recall, CASE WHEN len(t) > 0 AND len(cs) > 0 THEN round(len(list_filter(cs, lambda s: 2 * len(list_intersect(t, s)) >= len(t)))::DOUBLE / len(cs), 4) END AS context_precision FROM w)"""
+
+
+@query(f"{S_JUDGED} SELECT * FROM ju")
+def judged_answers(spark, sf_dir):
+    """The four scores of every answer by the stand-in for a judge."""
+    return evaluation.judge_results(answer_records(spark, sf_dir), OverlapJudgeOfFour)
+
+
+@query(f"{S_JUDGED} SELECT count(*) AS n_questions, round(round(avg(faithfulness), 8), 4) AS faithfulness, round(round(avg(answer_relevancy), 8), 4) AS answer_relevancy, round(round(avg(context_recall), 8), 4) AS context_recall, round(round(avg(context_precision), 8), 4) AS context_precision FROM ju")
+def judged_means(spark, sf_dir):
+    scores = evaluation.judge_results(answer_records(spark, sf_dir), OverlapJudgeOfFour)
+    return evaluation.judge_means(scores, {m: F.col(m) for m in OverlapJudgeOfFour.metrics})
+
+
 @query(f"""{S_LEGS}, {s_rrf(10, 20)} SELECT x.query_id, x.id, x.rank, round(1.0::DOUBLE / (60 + x.rank), 9) AS score, list_contains(list_transform(regexp_extract_all(a.answer, '\\[([0-9]+)\\]', 1), lambda c: CAST(c AS BIGINT)), x.rank::BIGINT) AS is_cited
 FROM (SELECT query_id, id, rank FROM rrf WHERE rank <= 5) x JOIN v2_generation_results a ON a.result_id = x.query_id WHERE a.answer IS NOT NULL""")
 def source_panel(spark, sf_dir):
@@ -521,22 +794,36 @@ def source_panel(spark, sf_dir):
     return prompt.source_panel(known, answers).select("query_id", "id", "rank", "score", "is_cited")
 
 
-@query(f"""{S_SCORES}, m AS (SELECT strategy, round(avg(coalesce(1.0 / r, 0)), 4) AS mrr, round(avg(coalesce(r <= 5, false)::INT), 4) AS recall_at_5 FROM sc GROUP BY strategy)
+@query(f"""{S_SCORES}, m AS (SELECT strategy, round(round(avg(coalesce(1.0 / r, 0)), 8), 4) AS mrr, round(avg(coalesce(r <= 5, false)::INT), 4) AS recall_at_5 FROM sc GROUP BY strategy)
 SELECT strategy, mrr, recall_at_5, mrr = max(mrr) OVER () AS best_mrr, recall_at_5 = max(recall_at_5) OVER () AS best_recall_at_5 FROM m""")
 def best_strategies(spark, sf_dir):
     summary = evaluation.summarise(strategy_scores(spark, sf_dir)).select("strategy", "mrr", "recall_at_5")
     return analysis.best_by_column(summary, ["mrr", "recall_at_5"])
 
 
-@query(f"""{S_SCORES}, m AS (SELECT strategy, round(avg(coalesce(1.0 / r, 0)), 4) AS mrr FROM sc GROUP BY strategy)
-SELECT 'all' AS version, strategy, mrr, count_ AS n_questions FROM (SELECT *, (SELECT count(DISTINCT query_id) FROM sc) AS count_ FROM m) UNION ALL SELECT 'words', strategy, mrr, NULL FROM m WHERE strategy = 'bm25'""")
+S_TWO = f"{S_SCORES}, m AS (SELECT strategy, {S_METRICS} FROM sc GROUP BY strategy)"
+
+
+def two_summaries(spark, sf_dir):
+    """A summary of all strategies, and one of two that has only some of the columns, under other names."""
+    s = cut(evaluation.summarise(strategy_scores(spark, sf_dir)))
+    return s, s.where("strategy IN ('bm25', 'semantic')").select("strategy", F.col("recall_at_1").alias("primary_recall_at_1"), F.when(F.col("strategy") == "bm25", F.col("recall_at_5")).alias("recall_at_5"), F.col("recall_at_10").alias("primary_recall_at_5"), "mrr")
+
+
+@query(f"""{S_TWO} SELECT 'v1/' || strategy AS label, 'v1' AS version, strategy, recall_at_1 AS r_at_1, recall_at_5 AS r_at_5, recall_at_10 AS r_at_10, mrr, 0.0 AS ms FROM m
+UNION ALL SELECT 'v2/' || strategy, 'v2', strategy, recall_at_1, CASE WHEN strategy = 'bm25' THEN recall_at_5 ELSE recall_at_10 END, 0.0, mrr, 0.0 FROM m WHERE strategy IN ('bm25', 'semantic')""")
 def version_comparison(spark, sf_dir):
-    """Two summaries under each other; what only one has is null in the other."""
-    s = evaluation.summarise(strategy_scores(spark, sf_dir)).select("strategy", "mrr", "n_questions")
-    return analysis.compare_versions(s, s.where("strategy = 'bm25'").drop("n_questions"), ("all", "words")).select("version", "strategy", "mrr", "n_questions")
+    """Two summaries under each other; a metric comes from the first column that has it."""
+    return analysis.compare_versions(*two_summaries(spark, sf_dir))
+
+
+@query(f"{S_TWO} SELECT strategy, recall_at_5 AS first, CASE WHEN strategy = 'bm25' THEN recall_at_5 ELSE 0.0 END AS second FROM m WHERE strategy IN ('bm25', 'semantic', 'hybrid')")
+def common_strategies(spark, sf_dir):
+    """A metric of the same strategies in both versions; 0 where one does not have it."""
+    return analysis.common_strategies(*two_summaries(spark, sf_dir), "recall_at_5", ["semantic", "bm25", "hybrid"])
 
 
-@query("SELECT count(*) AS n_questions, round(avg(CASE WHEN NOT isnan(scores.faithfulness) THEN scores.faithfulness END), 4) AS faithfulness, round(avg(CASE WHEN NOT isnan(scores.relevancy) THEN scores.relevancy END), 4) AS relevancy, round(avg(latency_ms), 1) AS mean_latency_ms FROM v2_generation_results")
+@query("SELECT count(*) AS n_questions, round(round(avg(CASE WHEN NOT isnan(scores.faithfulness) THEN scores.faithfulness END), 8), 4) AS faithfulness, round(round(avg(CASE WHEN NOT isnan(scores.relevancy) THEN scores.relevancy END), 8), 4) AS relevancy, round(avg(latency_ms), 1) AS mean_latency_ms FROM v2_generation_results")
 def judge_means(spark, sf_dir):
     r = table(spark, sf_dir, "v2_generation_results")
     return evaluation.judge_means(r, {"faithfulness": F.col("scores.faithfulness"), "relevancy": F.col("scores.relevancy")}, F.col("latency_ms"))

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from gleanery.session import map_arrow
 
 
+# Fixed value: what an answer says where the passages do not hold it.
+NOT_FOUND = "The provided context does not contain sufficient information to answer this question."
+
+
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
@@ -29,11 +33,19 @@ class PairScorer(Protocol):
 
 
 class Generator(Protocol):
-    def answer(self, prompts: list[str]) -> list[str]: ...
+    model: str
+
+    def answer(self, system: str, prompts: list[str], max_tokens: int, temperature: float) -> list[tuple[str, int, int]]:
+        """Of each prompt the answer, and the tokens read and written."""
+        ...
 
 
 class Judge(Protocol):
-    def judge(self, rows: list[tuple[str, str, list[str]]]) -> list[dict[str, float | None]]: ...
+    metrics: tuple[str, ...]
+
+    def judge(self, rows: list[tuple[str, str, list[str], str | None]]) -> list[dict[str, float | None]]:
+        """Scores of rows of question, answer, contexts and expected answer."""
+        ...
 
 
 class HashEmbedder:
@@ -68,28 +80,57 @@ class OverlapScorer:
 
 
 class ExtractiveGenerator:
-    """Answers with the first sentence of the first passage, cited."""
+    """Answers with the first sentence of the first passage, cited. Its tokens are words between white space."""
 
-    def answer(self, prompts: list[str]) -> list[str]:
+    model = "extractive"
+
+    def answer(self, system: str, prompts: list[str], max_tokens: int = 1024, temperature: float = 0.0) -> list[tuple[str, int, int]]:
         out = []
         for p in prompts:
-            m = re.search(r"\[1\][^\n]*\n(.+?)(?:(?<=[.!?])\s|\n|$)", p, re.S)
-            out.append(f"{m.group(1).strip()} [1]" if m else "The provided context does not contain sufficient information to answer this question.")
+            context = p[: p.rfind("\n\n---\n\nQuestion: ")].split(":\n\n", 1)[-1]
+            if context.startswith("[1] "):  # a numbered passage has a line of its own above
+                context = context.split("\n\n---\n\n", 1)[0].split("\n", 1)[-1]
+            first = re.split(r"(?<=[.!?])\s|\n", context.strip(), maxsplit=1)[0].strip()
+            words = (f"{first} [1]" if first else NOT_FOUND).split(" ")
+            text = " ".join(words[:max_tokens])
+            out.append((text, len(system.split()) + len(p.split()), len(text.split())))
         return out
 
 
+def _words(text: str | None) -> set[str]:
+    return set(re.findall(r"\w+", (text or "").lower()))
+
+
 class OverlapJudge:
     """Shares of words: of the answer in the passages, and of the question in the answer; null for an empty answer."""
 
-    def judge(self, rows: list[tuple[str, str, list[str]]]) -> list[dict[str, float | None]]:
+    metrics: tuple[str, ...] = ("faithfulness", "relevancy")
+
+    def judge(self, rows: list[tuple[str, str, list[str], str | None]]) -> list[dict[str, float | None]]:
         out = []
-        for question, answer, contexts in rows:
-            a, q = set(re.findall(r"\w+", (answer or "").lower())), set(re.findall(r"\w+", (question or "").lower()))
-            c = set(re.findall(r"\w+", " ".join(contexts or []).lower()))
+        for question, answer, contexts, *_ in rows:
+            a, q, c = _words(answer), _words(question), _words(" ".join(x or "" for x in contexts or []))
             out.append({"faithfulness": len(a & c) / len(a) if a else None, "relevancy": len(a & q) / len(q) if a and q else None})
         return out
 
 
+class OverlapJudgeOfFour(OverlapJudge):
+    """The same shares under the names of the four metrics, with ``context_recall``, the share of the expected answer in the
+    passages, and ``context_precision``, the share of passages that hold at least half of it; null without one."""
+
+    metrics = ("faithfulness", "answer_relevancy", "context_recall", "context_precision")
+
+    def judge(self, rows: list[tuple[str, str, list[str], str | None]]) -> list[dict[str, float | None]]:
+        out = []
+        for row, two in zip(rows, super().judge(rows)):
+            t, sets = _words(row[3]), [_words(x) for x in row[2] or []]
+            every = set().union(*sets)
+            recall = len(t & every) / len(t) if t else None
+            precision = sum(2 * len(t & s) >= len(t) for s in sets) / len(sets) if t and sets else None
+            out.append({"faithfulness": two["faithfulness"], "answer_relevancy": two["relevancy"], "context_recall": recall, "context_precision": precision})
+        return out
+
+
 def embed_column(df: DataFrame, text_col: str, make: Callable[[], Embedder] = HashEmbedder, batch_size: int = 64, out: str = "embedding") -> DataFrame:
     """``df`` with the embedding of its text; blank and null texts are embedded as one space. One model a task."""
     schema = df.withColumn(out, F.lit(None).cast("array<float>")).schema

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+from py4j.protocol import Py4JError
 
 from gleanery.providers import Embedder, HashEmbedder, embed_column
+from gleanery.session import cut
 
 
-def normalise_metadata(metadata):
-    """A metadata struct with '' in place of null texts."""
-    names = ("source_file", "part", "item", "section_title", "chunk_strategy")
+def normalise_metadata(metadata: Column, schema: StructType) -> Column:
+    """A metadata struct with '' in place of null texts; arrays, maps and structs become JSON, other values stay."""
     out = metadata
-    for n in names:
-        out = out.withField(n, F.coalesce(metadata[n], F.lit("")))
+    for f in schema.fields:
+        c = metadata[f.name]
+        if isinstance(f.dataType, StringType):
+            out = out.withField(f.name, F.coalesce(c, F.lit("")))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            out = out.withField(f.name, F.coalesce(F.to_json(c), F.lit("")))
     return out
 
 
@@ -33,7 +39,7 @@ class IndexStore:
         """Whether the collection has a row; any failure to read it counts as no."""
         try:
             return self.spark.read.parquet(self.path(name)).limit(1).count() > 0
-        except AnalysisException:
+        except (PySparkException, Py4JError):
             return False
 
     def open(self, name: str, fallback: str | None = None) -> DataFrame:
@@ -49,10 +55,11 @@ class IndexStore:
         """
         if not force and self.populated(name):
             return False
+        chunks = cut(chunks.select("chunk_id", "text", "metadata"))  # read for the check and for the table
         twice = chunks.groupBy("chunk_id").count().where("count > 1").limit(1).collect()
         if twice:
             raise ValueError(f"chunk id {twice[0]['chunk_id']!r} comes more than once")
-        rows = chunks.select("chunk_id", F.col("text").alias("document"), normalise_metadata(F.col("metadata")).alias("metadata"))
+        rows = chunks.select("chunk_id", F.col("text").alias("document"), normalise_metadata(F.col("metadata"), chunks.schema["metadata"].dataType).alias("metadata"))
         embed_column(rows, "document", embedder, batch_size).write.mode("overwrite").parquet(self.path(name))
         return True
 

@@ -11,11 +11,17 @@ from gleanery import schemas
 
 
 def read_html(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``source_file`` and ``html`` of whole files; bytes that are not UTF-8 are left out."""
+    """``path``, ``source_file`` and ``html`` of whole files; bytes that are not UTF-8 are left out.
+
+    A page is known by its path. ``source_file`` is the base name; where several pages share it, the folder goes before it.
+    """
     paths = [paths] if isinstance(paths, str) else paths
     raw = spark.read.format("binaryFile").load(paths)
+    base, folder = F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)
+    shared = raw.select(base.alias("base")).groupBy("base").count().where("count > 1")  # reads no content
     text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), text.alias("html"))
+    name = F.when(F.col("count").isNull(), F.col("base")).otherwise(F.concat_ws("_", folder, "base"))
+    return raw.select("path", base.alias("base"), text.alias("html")).join(shared, "base", "left").select("path", name.alias("source_file"), "html")
 
 
 def html_paths(folder: str, names: list[str] | None = None) -> list[str]:

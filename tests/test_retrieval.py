@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.operators import analysis, dense, evaluation, fusion, lexical, rerank
-from gleanery.providers import HashEmbedder, OverlapScorer
+from gleanery.providers import HashEmbedder, OverlapJudge, OverlapJudgeOfFour, OverlapScorer
 
 
 def brute_bm25(docs, query, k):
@@ -22,22 +22,54 @@ def brute_bm25(docs, query, k):
     return sorted(docs, key=lambda i: (-score[i], i))[:k]
 
 
-@pytest.mark.parametrize("matrix", [True, False])
-def test_bm25_against_brute_force_both_ways(spark, monkeypatch, matrix):
-    if not matrix:
-        monkeypatch.setattr(lexical, "MATRIX_TERMS", -1)
-    rng = np.random.default_rng(3)
-    words = [f"w{i}" for i in range(30)]
+@pytest.mark.parametrize("sent_bytes", [lexical.SENT_BYTES, 0])
+@pytest.mark.parametrize("vocabulary", [30, 4, 2])  # positive, mixed and negative weights
+def test_bm25_against_brute_force_both_ways(spark, monkeypatch, sent_bytes, vocabulary):
+    monkeypatch.setattr(lexical, "CELLS", 100)  # several steps a batch
+    rng = np.random.default_rng(vocabulary)
+    words = [f"w{i}" for i in range(vocabulary)]
     docs = {i: " ".join(rng.choice(words, rng.integers(0, 40))) for i in range(60)}
     queries = {f"q{i}": " ".join(rng.choice([*words, "unknown"], 5)) for i in range(12)} | {"empty": "", "none": "zzz"}
-    index = lexical.build(spark.createDataFrame(list(docs.items()), "id int, text string"), "id", "text")
-    hits = lexical.search(index, spark.createDataFrame(list(queries.items()), "query_id string, query string"), 7).orderBy("query_id", "rank").collect()
-    for q, text in queries.items():
-        mine = [r["id"] for r in hits if r["query_id"] == q]
-        if not text:  # a query without a word has no row to score; it gets the first documents
-            assert mine == sorted(docs)[:7]
-        else:
-            assert mine == brute_bm25(docs, text, 7), q
+    index = lexical.build(spark.createDataFrame(list(docs.items()), "id int, text string").repartition(3), "id", "text")
+    rows = [*queries.items(), (None, "w0")]
+    hits = lexical.search(index, spark.createDataFrame(rows, "query_id string, query string"), 7, sent_bytes=sent_bytes).collect()
+    for q, text in rows:
+        mine = [r["id"] for r in sorted((r for r in hits if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert mine == brute_bm25(docs, text, 7), q
+
+
+def test_bm25_negative_scores_and_ties(spark):
+    docs = spark.createDataFrame([("d1", "a b"), ("d2", "a b"), ("d3", "a b c"), ("d4", None)], "id string, text string")
+    q = spark.createDataFrame([("q", "a")], "query_id string, query string")
+    index = lexical.build(docs.where("id <> 'd4'"), "id", "text")
+    both = [[(r["id"], r["score"]) for r in lexical.search(index, q, 5, sent_bytes=n).orderBy("rank").collect()] for n in (lexical.SENT_BYTES, 0)]
+    assert both[0] == both[1] and [i for i, _ in both[0]] == ["d3", "d1", "d2"] and all(s < 0 for _, s in both[0])
+    # a document without the word, at 0, comes before those with it
+    assert lexical.search(lexical.build(docs, "id", "text"), q, 1, sent_bytes=0).first()["id"] in ("d3", "d4")
+    empty = lexical.build(docs.limit(0), "id", "text")
+    assert lexical.search(empty, q, 5).count() == lexical.search(empty, q, 5, sent_bytes=0).count() == 0
+    assert lexical.search(index, q.limit(0), 5).count() == 0
+
+
+def test_bm25_index_is_written_and_read(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red apple"), (2, "green apple pie"), (3, "blue sky"), (4, "sky")], "id int, text string")
+    q = spark.createDataFrame([(1, "green apple"), (2, "sky")], "query_id int, query string")
+    index = lexical.build(docs, "id", "text")
+    index.save(str(tmp_path))
+    again = lexical.load(spark, str(tmp_path))
+    rows = [sorted(map(tuple, lexical.search(i, q, 2).collect())) for i in (index, again)]
+    assert rows[0] == rows[1] and len(rows[0]) == 4
+
+
+def test_knn_in_several_blocks_and_parts(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id int, embedding array<double>").repartition(5)
+    whole = sorted(map(tuple, dense.knn(df, df, 4, 4).collect()))
+    monkeypatch.setattr(dense, "SENT", 70)
+    assert sorted(map(tuple, dense.knn(df, df, 4, 4, block=16).collect())) == whole
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [r[1] for r in whole if r[0] == 7 and r[2] > 0] and {r[1] for r in whole if r[0] == 7} == set(np.argsort(-(u @ u[7]))[:4].tolist())
 
 
 def test_knn_exact_ties_and_unusable(spark):
@@ -111,8 +143,38 @@ def test_rerank_and_retrievers(spark):
     q = spark.createDataFrame([("q", "beta gamma delta")], "query_id string, query string")
     for s in ("bm25", "semantic", "hybrid", "hybrid_rerank"):
         assert rerank.retriever(docs, s, 2)(q).orderBy("rank").first()["id"] == "1", s
+    assert rerank.retriever(docs, "hybrid_rerank", 2, scorer=None, missing_rank=9999)(q).count() == 2
     with pytest.raises(ValueError):
         rerank.retriever(docs, "psychic")
+    with pytest.raises(Exception, match="blank"):
+        rerank.retriever(docs, "semantic", 2)(spark.createDataFrame([("q", " ")], "query_id string, query string")).collect()
+
+
+def test_evaluate_runs_all_strategies(spark):
+    texts = ["alpha beta gamma", "beta gamma delta", "delta epsilon zeta", "alpha zeta eta", "iota", "kappa", "lambda", "mu"]
+    docs = spark.createDataFrame([(str(i), t, v) for i, (t, v) in enumerate(zip(texts, HashEmbedder().embed(texts)))], "id string, text string, embedding array<double>")
+    asked = spark.createDataFrame([("q", "beta gamma delta"), ("r", "nothing like it")], "query_id string, query string")
+    gold = spark.createDataFrame([("q", ["1"], ["1"]), ("r", [], [])], "query_id string, gold array<string>, prime array<string>")
+    results, summary = evaluation.evaluate({s: rerank.retriever(docs, s, 3) for s in rerank.STRATEGIES}, asked, gold)
+    assert results.count() == 8 and all(r["latency_ms"] > 0 for r in results.collect())
+    for r in summary.collect():
+        assert (r["n_questions"], r["recall_at_1"], r["mrr"], r["primary_mrr"]) == (2, 0.5, 0.5, 0.5) and r["mean_latency_ms"] > 0, r["strategy"]
+    assert analysis.summary_table(summary).columns == ["strategy", "R@1", "R@5", "R@10", "MRR", "ms/q"]
+
+
+def test_judges(spark):
+    class Fussy(OverlapJudge):
+        def judge(self, rows):
+            if any(r[1] == "bad" for r in rows):
+                raise ValueError("no")
+            return [{"faithfulness": float("nan") if r[1] == "nan" else 1.0, "relevancy": 0.33333} for r in rows]
+
+    rows = spark.createDataFrame([("a", "q", "fine", ["x"]), ("b", "q", "bad", ["x"]), ("c", "q", "nan", None)], "query_id string, question string, answer string, contexts array<string>").coalesce(1)
+    got = {r["query_id"]: (r["faithfulness"], r["relevancy"]) for r in evaluation.judge_results(rows, Fussy).collect()}
+    assert got == {"a": (1.0, 0.3333), "b": (None, None), "c": (None, 0.3333)}
+    four = OverlapJudgeOfFour().judge([("what is red", "an apple is red", ["an apple", "red sky"], "red apple"), ("q", "", [], None)])
+    assert four[0] == {"faithfulness": 0.75, "answer_relevancy": 2 / 3, "context_recall": 1.0, "context_precision": 1.0} and set(four[1].values()) == {None}
+    assert evaluation.judge_results(rows.limit(0)).count() == 0
 
 
 def test_spans_beat_hash_vectors(spark):
