@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,6 +56,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes what ``cut`` wrote for ``df``, which nothing may read any more. For loops that cut a table in each round."""
+    spark = df.sparkSession
+    try:
+        rdd = df._jdf.queryExecution().logical().rdd()
+        file = rdd.getCheckpointFile()
+    except (AttributeError, Py4JError):  # not a table that was cut
+        return
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _shipped: set[str] = set()
 
 
