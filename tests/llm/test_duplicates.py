@@ -78,25 +78,94 @@ def test_hot_pattern_is_split_without_loss(spark, monkeypatch):
     assert {(r["class_a"], r["class_b"]) for r in links.collect()} == want and len(want) > 500
 
 
-def test_gray_order_and_search():
+@pytest.mark.parametrize("groups", [(64, 8), (4, 2), (1, 1)])
+def test_search_against_all_pairs(monkeypatch, groups):
+    monkeypatch.setattr(duplicates, "GROUPS", groups)
+    monkeypatch.setattr(duplicates, "PAIRS", 3_000)  # several lots
     rng = np.random.default_rng(2)
-    bits = rng.integers(0, 1 << 63, (200, 2), np.uint64)
-    bits[50:80] = bits[50] ^ (np.uint64(1) << rng.integers(0, 40, (30, 2)).astype(np.uint64))
-    i, j = search(bits, np.zeros(200, bool), 20)
-    want = {(a, b) for a in range(200) for b in range(a + 1, 200) if np.bitwise_count(bits[a] ^ bits[b]).sum() <= 20}
-    assert set(zip(i.tolist(), j.tolist())) == want
-    left = np.arange(200) % 2 == 0
-    i, j = search(bits, left, 20)
-    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a, b in want if left[a] != left[b]}
-
-
-def test_gray_rank_sorts_like_reflected_code(spark):
-    from pyspark.sql import functions as F
-
-    codes = [(0, k ^ (k >> 1)) for k in range(64)]
-    df = spark.createDataFrame(random.Random(1).sample(codes, 64), "high long, low long")
-    r1, r2 = duplicates.gray_rank(F.col("high"), F.col("low"))
-    assert [r["low"] for r in df.orderBy(r1, r2).collect()] == [c for _, c in codes]
+    bits = rng.integers(0, 1 << 63, (400, 2), np.uint64)
+    bits[50:180] = bits[50] ^ (np.uint64(1) << rng.integers(0, 40, (130, 2)).astype(np.uint64))
+    starts, ends = np.array([0, 2, 40, 200, 201]), np.array([2, 40, 200, 201, 390])
+    near = {(a, b) for s, e in zip(starts, ends) for a in range(s, e) for b in range(a + 1, e) if np.bitwise_count(bits[a] ^ bits[b]).sum() <= 20}
+    assert {(int(i), int(j)) for i, j in zip(*search(bits, starts, ends, 20))} == near and len(near) > 1000
+    left = np.arange(400) % 3 == 0
+    want = {(a, b) for a, b in near if left[a] != left[b]}
+    assert {(int(i), int(j)) for i, j in zip(*search(bits, starts, ends, 20, left))} == want
+    assert len(search(bits, starts[:0], ends[:0], 20)[0]) == 0
+
+
+def test_pruning_spares_pairs():
+    """Groups that lie far apart are never opened."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 62, (8, 2), np.uint64)
+    bits = np.repeat(centres, 64, axis=0) ^ (np.uint64(1) << rng.integers(0, 60, (512, 2)).astype(np.uint64))
+    opened = []
+    real = duplicates._crossed
+
+    def count(first, n, p, q):
+        opened.append(int((n[p] * n[q]).sum()))
+        return real(first, n, p, q)
+
+    duplicates._crossed = count
+    try:
+        i, _ = search(bits, np.array([0]), np.array([512]), 8)
+    finally:
+        duplicates._crossed = real
+    assert len(i) == 8 * 64 * 63 // 2 and opened[-1] < 512 * 512 / 6
+
+
+def test_ranks_sort_like_reflected_code():
+    k = np.arange(64, dtype=np.uint64)
+    assert (duplicates.ranks(k ^ (k >> np.uint64(1))) == k).all()
+    # two words of a string: the second is reversed where the first is odd
+    codes = [(a, b) for a in range(8) for b in range(8)]
+    whole = [int(duplicates.ranks(np.array([a << 3 | b], np.uint64))[0]) for a, b in codes]
+    a, b = np.array(codes, np.uint64).T
+    r1 = duplicates.ranks(a)
+    r2 = duplicates.ranks(b, r1 & np.uint64(1) > 0, 3)
+    assert [int(x) for x in r1 * np.uint64(8) + r2] == whole
+
+
+def test_nodes_are_masks_of_the_fingerprint():
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 1 << 16, (5, duplicates.HASHES), np.uint16)
+    v[1] = v[0]
+    v[2, 3:6] = v[0, 3:6]
+    n = duplicates.nodes_of(v)
+    assert (n[0] == n[1]).all() and n[2, 1] == n[0, 1] and n[2, 0] != n[0, 0] and len(np.unique(n[0])) == duplicates.MASKS
+    high, low = duplicates.sketches(v)
+    assert high[0] == sum(int(x & 1) << (62 - k) for k, x in enumerate(v[0])) and low[3] == sum(int(x >> 1 & 1) << (62 - k) for k, x in enumerate(v[3]))
+
+
+def test_a_full_filter_loses_nothing(spark, monkeypatch):
+    """A filter far too small lets texts through that are no candidates; the pairs are the same."""
+    df = spark.createDataFrame(corpus(), "chunk_id string, text string")
+    whole = sorted(map(tuple, near_duplicates(df, 0.6, 3)[1].collect()))
+    monkeypatch.setattr(duplicates, "FILTER_BITS", (64, 64))
+    assert sorted(map(tuple, near_duplicates(df, 0.6, 3)[1].collect())) == whole
+
+
+def test_hot_class_of_copies(spark, monkeypatch):
+    """More copies than a block holds, of two texts that are linked."""
+    monkeypatch.setattr(duplicates, "BLOCK", 4)
+    members = spark.createDataFrame([(f"a{i}", "a0") for i in range(10)] + [(f"b{i}", "b0") for i in range(9)] + [("c", "c")], "id string, class_id string")
+    links = spark.createDataFrame([("a0", "b0", 0.7)], "class_a string, class_b string, similarity double")
+    ids = [f"{x}{i}" for x, n in (("a", 10), ("b", 9)) for i in range(n)]
+    got = [(r["id_a"], r["id_b"]) for r in member_pairs(members, links).collect()]
+    assert sorted(got) == sorted(itertools.combinations(sorted(ids), 2))
+
+
+def test_release_deletes_what_a_round_wrote(spark):
+    import os
+
+    from gleanery.session import cut, release
+
+    df = cut(spark.range(10))
+    folder = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(folder)
+    release(df)
+    assert not os.path.exists(folder)
+    release(spark.range(3))
 
 
 def test_words_of_scripts():
