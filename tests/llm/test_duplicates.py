@@ -128,13 +128,33 @@ def test_ranks_sort_like_reflected_code():
 
 def test_nodes_are_masks_of_the_fingerprint():
     rng = np.random.default_rng(3)
-    v = rng.integers(0, 1 << 16, (5, duplicates.HASHES), np.uint16)
+    v = rng.integers(0, 1 << 12, (5, duplicates.HASHES), np.uint16)
     v[1] = v[0]
-    v[2, 3:6] = v[0, 3:6]
+    v[2, 4:8] = v[0, 4:8]
     n = duplicates.nodes_of(v)
     assert (n[0] == n[1]).all() and n[2, 1] == n[0, 1] and n[2, 0] != n[0, 0] and len(np.unique(n[0])) == duplicates.MASKS
-    high, low = duplicates.sketches(v)
-    assert high[0] == sum(int(x & 1) << (62 - k) for k, x in enumerate(v[0])) and low[3] == sum(int(x >> 1 & 1) << (62 - k) for k, x in enumerate(v[3]))
+    found = duplicates.sketches(v)
+    half = duplicates.HASHES // 2
+    assert found[0, 1] == sum(int(x & 1) << (half - 1 - k) for k, x in enumerate(v[0, half:])) and found[3, 2] == sum(int(x >> 1 & 1) << (half - 1 - k) for k, x in enumerate(v[3, :half]))
+    import pyarrow as pa
+
+    assert (duplicates.values_of(pa.array(duplicates.packed(v), pa.binary())) == v).all()
+
+
+def test_runs_and_fingerprints_of_a_batch_are_those_of_each_text(monkeypatch):
+    monkeypatch.setattr(duplicates, "RUNS", 50)
+    rng = random.Random(2)
+    texts = [[f"w{rng.randrange(500)}" for _ in range(n)] for n in (1, 2, 3, 900, 7, 40, 5, 260, 6)]
+    parsed = [(t, k % 3 == 0) for k, t in enumerate(texts)]
+    make = Shingles(3, 6)
+    runs, first = make.all(parsed)
+    prints = duplicates.fingerprints(runs, first)
+    for k, (t, single) in enumerate(parsed):
+        alone = Shingles(3, 6).of(t, single)
+        assert set(alone.tolist()) == set(runs[first[k] : first[k + 1]].tolist())
+        assert (duplicates.fingerprints(alone, np.array([0, len(alone)]))[0] == prints[k]).all()
+    same = np.mean(duplicates.fingerprints(*make.all([(texts[3], False), (texts[3][100:], False)]))[0] == duplicates.fingerprints(*make.all([(texts[3][100:], False)]))[0])
+    assert abs(same - 800 / 900) < 0.1
 
 
 def test_a_full_filter_loses_nothing(spark, monkeypatch):
