@@ -257,28 +257,27 @@ def _paired(rows: DataFrame, blocks: Column, own: Column) -> DataFrame:
 
 
 def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    """``a1``, ``a2``, ``b1``, ``b2``: keys of two classes (``h1``, ``h2``, ``print``) that share a node and whose sketches are near."""
+    """``a`` < ``b``: numbers of two classes (``no``, ``print``) that share a node and whose sketches are near."""
 
     def entries():
         def step(batch):
-            keys = nodes_of(values_of(batch.column(1)))
+            keys = nodes_of(values_of(batch.column(1)))  # one for each mask
             return [pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), MASKS))]
 
         return step
 
     def two():
         def step(batch):
-            found = sketches(values_of(batch.column(2)))
-            return [batch.column(0), batch.column(1), *(pa.array(found[:, k].copy()) for k in range(len(WORDS)))]
+            found = sketches(values_of(batch.column(1)))
+            return [batch.column(0), *(pa.array(found[:, k].copy()) for k in range(len(WORDS)))]
 
         return step
 
-    # half a key is enough to come back to a class; should two classes share it, the exact check parts them
-    members = map_batches(classes.select("h1", "print"), "node long, h1 long", entries)
+    members = map_batches(classes.select("no", "print"), "node long, no long", entries)
     shared = members.groupBy("node").count().where("count > 1")
-    drawn = map_batches(classes.select("h1", "h2", "print"), "h1 long, h2 long, " + ", ".join(f"{w} long" for w in WORDS), two)
-    live = members.join(shared, "node").join(drawn, "h1")
-    live = _paired(live.select("node", "count", "h1", "h2", *WORDS), *_blocks(F.col("count"), "h1", "h2")).drop("count")
+    drawn = map_batches(classes.select("no", "print"), "no long, " + ", ".join(f"{w} long" for w in WORDS), two)
+    live = members.join(shared, "node").join(drawn, "no")
+    live = _paired(live.select("node", "count", "no", *WORDS), *_blocks(F.col("count"), "no")).drop("count")
     # the rank goes on below the node, word by word of the sketch; it runs backwards after an odd number of bits
     odd, order = F.col("node") % 2 == 1, []
     for w in WORDS:
@@ -289,7 +288,7 @@ def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     limit = difference_limit(threshold)
 
     def pairs(batches):
-        schema = pa.schema([("a1", pa.int64()), ("a2", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         rest: pa.Table | None = None
 
         def work(table: pa.Table, final: bool):
@@ -303,16 +302,13 @@ def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
             left = table.column("left").to_numpy(zero_copy_only=False)
             across = key[starts, 1] != key[starts, 2]  # two blocks meet
             bits = np.column_stack([table.column(k).to_numpy() for k in WORDS]).view(np.uint64)
-            h = np.column_stack([table.column(k).to_numpy() for k in ("h1", "h2")])
+            no = table.column("no").to_numpy()
             whole = search(bits, starts[~across], ends[~across], limit)
             split = search(bits, starts[across], ends[across], limit, left)
-            x, y = h[np.concatenate([whole[0], split[0]])], h[np.concatenate([whole[1], split[1]])]
+            x, y = no[np.concatenate([whole[0], split[0]])], no[np.concatenate([whole[1], split[1]])]
             if len(x):
-                swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] > y[:, 1]))
-                x[swap], y[swap] = y[swap], x[swap].copy()
-                out = np.unique(np.column_stack([x, y]), axis=0)
-                out = out[(out[:, 0] != out[:, 2]) | (out[:, 1] != out[:, 3])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in range(4)], schema=schema)
+                out = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in range(2)], schema=schema)
             return kept
 
         for batch in batches:
@@ -326,7 +322,7 @@ def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
         if rest is not None and rest.num_rows > 1:
             yield from work(rest, True)
 
-    return map_arrow(ordered, pairs, "a1 long, a2 long, b1 long, b2 long").distinct()
+    return map_arrow(ordered, pairs, "a long, b long").distinct()
 
 
 def _rank(x: Column) -> Column:
@@ -383,15 +379,17 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, size_s
         return step
 
     seen = cut(map_batches(src, f"id {id_type}, h1 long, h2 long, print binary", features))
-    classes = cut(seen.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.first("print").alias("print")))
+    # a number is shorter than a key, and is drawn once as the table is cut
+    classes = cut(seen.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.first("print").alias("print")).withColumn("no", F.monotonically_increasing_id()))
     members = cut(seen.select("id", "h1", "h2").distinct().join(classes.select("h1", "h2", "class_id"), ["h1", "h2"]).select("id", "class_id"))
     release(seen)
     candidates = cut(candidate_pairs(classes, threshold))
 
     # the exact check, on the texts of candidates alone: a filter of bounded size tells most of them before they are read.
     # What else it lets through finds no partner below
-    keys = candidates.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(candidates.select("b1", "b2")).distinct()
-    needed = cut(keys.join(classes.select("h1", "h2", "class_id"), ["h1", "h2"]))
+    keys = candidates.select(F.col("a").alias("no")).union(candidates.select("b")).distinct()
+    needed = cut(classes.select("no", "h1", "h2", "class_id").join(keys, "no"))
+    release(classes)
     sent = df.sparkSession.sparkContext.broadcast(id_filter(needed, "class_id"))
     texts = src.select(F.xxhash64("id").alias("place"), "text")
 
@@ -412,17 +410,18 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, size_s
         return step
 
     runs = map_batches(texts, "h1 long, h2 long, runs array<long>", sets)
-    # one shuffle by key serves the copies of a text and both sides of the join
+    # one shuffle by key folds the copies of a text and serves both sides of the join; what the filter let through by
+    # chance finds no pair there
     runs = runs.groupBy("h1", "h2").agg(F.first("runs").alias("runs"))
-    a = runs.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("runs").alias("runs_a"))
-    b = runs.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("runs").alias("runs_b"))
-    checked = candidates.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    a, b = (runs.withColumnsRenamed({"h1": f"{x}1", "h2": f"{x}2", "runs": f"runs_{x}"}) for x in ("a", "b"))
+    one, two = (needed.withColumnsRenamed({"no": x, "h1": f"{x}1", "h2": f"{x}2", "class_id": f"class_{x}"}) for x in ("a", "b"))
     both = F.size(F.array_intersect("runs_a", "runs_b"))
     similarity = both / (F.size("runs_a") + F.size("runs_b") - both)
-    checked = cut(checked.select("a1", "a2", "b1", "b2", similarity.alias("similarity")).where(F.col("similarity") >= threshold))
-    one = lambda x: needed.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("class_id").alias(f"class_{x}"))
-    links = checked.join(one("a"), ["a1", "a2"]).join(one("b"), ["b1", "b2"])
-    return members, cut(links.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "similarity"))
+    links = candidates.join(one, "a").join(two, "b").join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("class_a", "class_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    links = cut(links.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "similarity"))
+    release(candidates)
+    release(needed)
+    return members, links
 
 
 def components(members: DataFrame, links: DataFrame) -> DataFrame:
