@@ -71,17 +71,66 @@ def test_nearest_list_is_compared_whole(most):
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     index = vectors.Index(x[:4200], len(x), 0.08)
     ids = np.arange(len(x)) // most
-    slot = vectors.Slot(index, x, ids)
+    slot = vectors.Slot(index, x, ids, 6)
     hot = np.arange(4000, len(x), 30)
-    own, _ = index.near(x[hot])
-    r, got, near = vectors.answer(index, slot, x[hot], ids[hot], np.eye(len(index.centroids), dtype=bool)[own], 5, 48)
-    home, _ = index.near(x)
+    own, near_own = vectors._nearest(x[hot], index.centroids, 0)
+    found = vectors.answer(index, slot, x[hot], near_own, 6, 48)
+    home, _ = vectors._nearest(x, index.centroids, 0)
     sims = x[hot].astype(float) @ x.T.astype(float)
-    sims[(own[:, None] != home[None, :]) | (ids[hot][:, None] == ids[None, :])] = -2
+    sims[own[:, None] != home[None, :]] = -2
     for i in range(len(hot)):
-        order = np.argsort(-sims[i])[: 5 * most]
-        want = [order[ids[order] == v][0] for v in dict.fromkeys(ids[order].tolist())][:5]
-        assert len(set(got[r == i].tolist())) == 5 and np.abs(near[r == i] - sims[i][want]).max() < 1e-6
+        order = np.argsort(-sims[i])[: 6 * most]
+        want = [order[ids[order] == v][0] for v in dict.fromkeys(ids[order].tolist())][:6]
+        assert len(set(found.ids[i].tolist())) == 6 and np.abs(found.sims[i] - sims[i][want]).max() < 1e-6
+
+
+def test_equal_vectors_and_repeated_ids_hold_few_rows(monkeypatch):
+    """What a slot holds while it answers does not grow with how many members are equally near."""
+    held = []
+    real = vectors.Best.add
+
+    def add(self, rows, ids, sims):
+        held.append(len(rows))
+        real(self, rows, ids, sims)
+
+    monkeypatch.setattr(vectors.Best, "add", add)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 24)), 100_000, 0), rng.normal(size=(1000, 24)), rng.normal(size=24) + 0.001 * rng.normal(size=(20_000, 24))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = np.arange(len(x))
+    ids[100_000:100_500] = 7  # one id with many vectors
+    index = vectors.Index(x[rng.choice(len(x), 3000, False)], 30_000, 0.08)
+    slot = vectors.Slot(index, x, ids, 6)
+    assert len(slot.ids) <= len(x) - 100_000 + 6
+    ask = np.array([0, 50_000, 100_700, 105_000, 110_000])
+    _, least, _, _ = index.near(x[ask])
+    found = vectors.answer(index, slot, x[ask], least, 6, 48)
+    assert found.ids[0].tolist() == found.ids[1].tolist() == list(range(6)) and max(held) <= 200_000
+    assert sum(held) < 2_000_000 and all(len(set(i.tolist())) == 6 for i in found.ids[3:])
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_copies_and_ids_with_several_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate(clusters(rng, 20, 5))] + [(1000 + i, np.ones(24) * (1 + i)) for i in range(40)] + [(5, -np.ones(24)), (5, np.ones(24)), (6, -np.ones(24) * 2)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<float>").repartition(6)
+    by = {}
+    for r in similar_vectors(df, 5, 24).collect():
+        by.setdefault(r["id"], []).append((r["rank"], r["neighbour"], r["similarity"]))
+    assert set(by) == {i for i, _ in rows} and all(sorted(a for a, _, _ in v) == [1, 2, 3, 4, 5] for v in by.values())
+    # of forty equal vectors and one of id 5, each has the least others
+    least = [5, 1000, 1001, 1002, 1003, 1004]
+    for i in (1000, 1003, 1039):
+        assert [n for _, n, _ in sorted(by[i])] == [x for x in least if x != i][:5]
+    # id 5 has three vectors: the best of all of them
+    assert {n for _, n, _ in by[5]} == {6, 1000, 1001, 1002, 1003} and all(s > 0.99999 for _, _, s in by[5])
+    assert sorted(by[6])[0][1] == 5
+
+
+def test_lists_grow_with_the_square_root():
+    assert vectors.lists_for(10) == 1 and vectors.lists_for(160_000) == 533 and vectors.lists_for(1_228_800) == 4096
+    assert vectors.lists_for(4 * 1_228_800) == 8192 and vectors.lists_for(10**12) == vectors.LISTS
 
 
 def test_dirty_rows(spark):
@@ -106,7 +155,7 @@ def test_estimates_stay_within_their_error():
     x = clusters(rng, 300, 6, 48)
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     index = vectors.Index(x, len(x), 0.1)
-    own, _ = index.near(x)
+    own, _ = vectors._nearest(x, index.centroids, 0)
     codes = index.encode(x, own)
     for l in np.unique(own)[:3]:
         m = np.flatnonzero(own == l)
