@@ -277,14 +277,15 @@ def answer(index: Index, slot: Slot, q: np.ndarray, least: np.ndarray, k: int, r
     """The up to ``k`` nearest ids of each query, its own among them. A query asks in the lists whose centroid is at ``least`` as
     near. What is held grows with the queries and ``k``, not with how many members are as near."""
     out = Best(len(q), k)
-    centroids = index.centroids[slot.lists]
+    coarse = q @ index.centroids[slot.lists].T
+    asked = coarse >= least[:, None] - 1e-6
+    # queries of one list together, so that they ask in the same lists
+    order = np.lexsort((-coarse.max(1), coarse.argmax(1)))
     for a in range(0, len(q), TOGETHER):
-        rows = np.arange(a, min(a + TOGETHER, len(q)))
-        coarse = q[rows] @ centroids.T
-        asked = coarse >= least[rows, None] - 1e-6
+        rows = order[a : a + TOGETHER]
         # in the order of nearness of the lists to these queries, so that the bar is high early
-        for i in np.argsort(-np.where(asked, coarse, -1).sum(0), kind="stable").tolist():
-            some = rows[asked[:, i]]
+        for i in np.argsort(-np.where(asked[rows], coarse[rows], -1).sum(0), kind="stable").tolist():
+            some = rows[asked[rows, i]]
             if len(some):
                 _ask(index, slot, out, i, q, some, rerank)
     return out
@@ -295,14 +296,15 @@ def _ask(index: Index, slot: Slot, out: Best, i: int, q: np.ndarray, rows: np.nd
     for c in range(a, b, 4096):
         d = min(b, c + 4096)
         score = index.estimate(slot.codes[c:d], l, q[rows]).T
-        # the best by code first: they raise the bar for all others
-        t = _top(score, rerank)
-        near = np.take_along_axis(score, t, 1) >= out.floor[rows][:, None] - index.slack
-        r, t = np.repeat(rows, t.shape[1])[near.ravel()], t[near]
-        out.add(r, slot.ids[t + c], np.einsum("nd,nd->n", slot.x[t + c], q[r]))
-        if d - c <= rerank:
-            continue
         row, m = np.nonzero(score >= out.floor[rows][:, None] - index.slack)
+        if len(m) > rerank * len(rows) // 4 and d - c > rerank:
+            # many: the best by code first, as they raise the bar for all others
+            t = _top(score, rerank)
+            true = np.einsum("qrd,qd->qr", slot.x[t + c], q[rows])
+            bar = np.maximum(out.floor[rows], np.partition(true, rerank - out.k, axis=1)[:, rerank - out.k])
+            near = true >= bar[:, None]
+            out.add(np.repeat(rows, rerank)[near.ravel()], slot.ids[t[near] + c], true[near])
+            row, m = np.nonzero(score >= out.floor[rows][:, None] - index.slack)
         if len(m) * 16 > score.size:  # many: a matrix product leaves few to compare singly
             close = (q[rows] @ slot.x[c:d].T)[row, m] >= out.floor[rows[row]] - 1e-5
             row, m = row[close], m[close]
