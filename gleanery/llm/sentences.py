@@ -1,9 +1,10 @@
 """Sentence boundaries across languages and scripts.
 
 A pushdown automaton runs over the few characters of a text that can matter: terminators,
-quotation marks, brackets and line breaks. Its stack holds the open quotations and brackets;
-list levels, headings and table rows are told apart by lines before. Abbreviations are looked
-up in a trie of reversed spellings, so that the text is walked back from a full stop.
+quotation marks, brackets and line breaks. One stack holds the open quotations and brackets of
+a run of text, one the open list levels of the lines; headings and table rows are told by their
+lines and those around them. Abbreviations are looked up in a trie of reversed spellings, so that
+the text is walked back from a full stop. Time is linear in the text, whatever is left open.
 
 The units of a text are in order, do not overlap, carry no outer white space and together cover
 everything that is not white space. Null, empty and blank texts have no units.
@@ -46,6 +47,7 @@ AMOUNT_OF = "Euro EUR USD US-Dollar Dollar CHF Franken GBP Pfund Yen Stück Tonn
 ENDS = ".!?…。！？｡।॥؟۔‼⁇⁈⁉"
 WIDE_ENDS = "。！？｡।॥"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "〈": "〉", "《": "》", "‘": "’", "‚": "‘’"}
+OPENED_BY = {c: "".join(o for o, ends in PAIRS.items() if c in ends) for ends in PAIRS.values() for c in ends}
 BRACKETS = "(（[【"
 CLOSERS = "\"”“’»›」』)）]】〉》"
 OPENERS = "\"“„«‹「『(（[【〈《‘‚"
@@ -70,7 +72,8 @@ WORD = re.compile(r"\S+")
 LIST_MARK = re.compile(r"(?:^|[\s;,])(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})\Z")
 # What goes on after a Chinese quotation.
 RUNS_ON = re.compile("[的等说称道之]|表示|指出|写道|认为|字样|一语|一词|一文")
-LAST = re.compile(r"[^\s\"“”„«»()\[\]（）]*$")
+# Besides white space, what a word does not reach across.
+AROUND = frozenset("\"“”„«»()[]（）")
 
 
 def _trie(words: list[str]) -> dict:
@@ -97,6 +100,33 @@ def _ends_with(text: str, end: int, start: int, trie: dict) -> bool:
         node, i = node[text[i]], i - 1
 
 
+def _last(text: str, start: int, stop: int, upto: str = "") -> str:
+    """The word that ends at ``stop``, or its last part from one of the characters of ``upto`` on."""
+    i = stop
+    while i > start and not text[i - 1].isspace() and text[i - 1] not in AROUND:
+        i -= 1
+        if text[i] in upto:
+            break
+    return text[i:stop]
+
+
+class _Levels:
+    """The stack of open list levels, each known by how far its mark is indented."""
+
+    def __init__(self) -> None:
+        self.open: list[int] = []
+
+    def item(self, indent: int) -> None:
+        """A list line closes all levels that are deeper, and opens its own unless it is open."""
+        while self.open and self.open[-1] > indent:
+            self.open.pop()
+        if not self.open or self.open[-1] < indent:
+            self.open.append(indent)
+
+    def close(self) -> None:
+        self.open.clear()
+
+
 def _skip_space(text: str, i: int, end: int) -> int:
     while i < end and text[i].isspace():
         i += 1
@@ -134,6 +164,19 @@ def _sure(text: str, opening: int, closing: int) -> bool:
 def _matched(text: str, events: list[tuple[int, int]]) -> tuple[dict[int, int], set[int]]:
     """Opening marks with their closing ones, and all opening places. Marks without a partner in reach are left out."""
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}  # where each mark stands on the stack
+
+    def push(c: str, i: int) -> None:
+        places.setdefault(c, []).append(len(stack))
+        stack.append((c, i))
+
+    def cut(top: int) -> None:
+        while len(stack) > top:
+            places[stack.pop()[0]].pop()
+
+    def last(marks: str) -> int | None:
+        return max((places[o][-1] for o in marks if places.get(o)), default=None)
+
     pairs: dict[int, int] = {}
     opened: set[int] = set()
     n = len(text)
@@ -142,25 +185,25 @@ def _matched(text: str, events: list[tuple[int, int]]) -> tuple[dict[int, int],
         if c == '"':
             before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
             opens = (before.isspace() or before in "([（「“„—–-" or not i) and not after.isspace()
-            top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
+            top = last('"')
             if top is not None and not (opens and after.isalnum() and i - stack[top][1] > LONGEST_QUOTE):
                 if not opens or not before.isspace() or after in ".,;:!?)":
                     if i - stack[top][1] <= LONGEST_QUOTE or top == len(stack) - 1 and not opens and _sure(text, stack[top][1], i):
                         pairs[stack[top][1]] = i
-                    del stack[top:]
+                    cut(top)
                     continue
-                del stack[top:]  # the earlier mark was never closed
+                cut(top)  # the earlier mark was never closed
             if opens:
-                stack.append((c, i))
+                push(c, i)
             continue
-        top = next((k for k in range(len(stack) - 1, -1, -1) if c in PAIRS.get(stack[k][0], "")), None)
+        top = last(OPENED_BY.get(c, ""))
         if top is not None and not (c == "’" and i + 1 < n and text[i + 1].isalpha() and text[i - 1].isalpha()):
             o = stack[top][1]
             if i - o <= (LONGEST_BRACKET if text[o] in BRACKETS else LONGEST_QUOTE) or top == len(stack) - 1 and _sure(text, o, i):
                 pairs[o] = i
-            del stack[top:]
+            cut(top)
         elif c in PAIRS and not (c in "‘‚" and i and text[i - 1].isalnum()):
-            stack.append((c, i))
+            push(c, i)
     opened.update(pairs)
     return pairs, opened
 
@@ -204,7 +247,7 @@ def _breaks(text: str, stop: int, after: int, end: int, start: int) -> bool:
         if c in "!?؟۔…":
             return kind in "Uo" and text[nxt] not in OPENERS or kind == "q" or text[nxt] in "¿¡"
         # a full stop without a space: between a word or number and a capitalised word
-        token = LAST.search(text, start, stop).group()
+        token = _last(text, start, stop, "@/.")
         if "@" in token or "/" in token or "." in token or text[after - 1] == "]" and after - stop > 1:
             return after - stop > 1 and kind in "Uo" and "@" not in token
         before = text[stop - 1] if stop > start else " "
@@ -225,7 +268,7 @@ def _breaks(text: str, stop: int, after: int, end: int, start: int) -> bool:
     # a full stop
     if after == stop + 1:
         if _ends_with(text, stop, start, _INNER):
-            word = LAST.search(text, start, stop).group()
+            word = _last(text, start, stop)
             if word in ("Mio", "Mrd", "Mill", "Tsd"):
                 m = WORD.match(text, nxt)
                 return kind != "d" and m.group().strip(".,;:)“”") not in _AMOUNT
@@ -254,7 +297,7 @@ def _breaks(text: str, stop: int, after: int, end: int, start: int) -> bool:
             if before.isupper() and kind == "U":
                 if i - 1 >= start and text[i - 1] in ".-":
                     return False
-                prev = LAST.search(text, start, max(start, i - 1)).group() if i - 1 >= start else ""
+                prev = _last(text, start, max(start, i - 1)) if i - 1 >= start else ""
                 return prev.isalpha() and prev.islower() and len(prev) > 3
             if before.islower() and kind == "U":
                 m = WORD.match(text, nxt)
@@ -289,7 +332,7 @@ def _block(text: str, start: int, end: int, head: int, out: list[tuple[int, int]
                     inner -= 1
                 if inner <= closing[a] or text[inner] not in ENDS:
                     continue
-                if text[closing[a]] in BRACKETS and text[begin:closing[a]].strip():
+                if text[closing[a]] in BRACKETS and _skip_space(text, begin, closing[a]) < closing[a]:
                     continue
                 after = _tail(text, a + 1, end, opened)
                 nxt = _skip_space(text, after, end)
@@ -316,7 +359,7 @@ def _block(text: str, start: int, end: int, head: int, out: list[tuple[int, int]
                 cut = a
             else:
                 continue
-            if text[begin:cut].strip():
+            if _skip_space(text, begin, cut) < cut:
                 _emit(text, begin, cut, out)
                 begin = cut
     _emit(text, begin, end, out)
@@ -356,16 +399,18 @@ def segment(text: str | None) -> list[tuple[int, int]]:
     else:
         lines = [m.span() for m in LINE.finditer(text)]
     rows: list[tuple[int, int, bool]] = []  # start, end, whether a blank line stands before
+    indents: list[int] = []
     at, gap = 0, True
     for a, b in lines:
         blank = gap or text.count("\n", at, a) > 1 or "\u2029" in text[at:a]
-        at = b
+        at, left = b, a
         while a < b and text[a].isspace():
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
         if a < b:
             rows.append((a, b, blank))
+            indents.append(a - left)
             gap = False
         else:
             gap = True
@@ -411,15 +456,18 @@ def segment(text: str | None) -> list[tuple[int, int]]:
         room = 1 if _starts(text, c, d) == "o" and unicodedata.east_asian_width(text[c]) in "WF" else first.end() - first.start() + 1
         return b - a + room > widest[i]
 
+    levels = _Levels()
     for i in range(n):
         a, b, blank = rows[i]
         prev = kind[i - 1] if i else ""
+        if prev in ("t", "h", "b"):
+            levels.close()
         if table[i]:
             kind[i] = "t"
             continue
         closed_before = blank or not i or prev in "th" or _closed(text, rows[i - 1][0], rows[i - 1][1])
         if marks[i]:
-            listed = prev == "l" or prev == "c" and any(kind[k] == "l" for k in range(max(0, i - 6), i))
+            listed = bool(levels.open)
             loose = not NUMBERED.match(text, a)
             colon = i and text[rows[i - 1][1] - 1] in ":："
             lettered = LETTERED.match(text, a)
@@ -427,6 +475,7 @@ def segment(text: str | None) -> list[tuple[int, int]]:
                 m = marks[i].group()
                 if not (NUMBERED.match(m) and not listed and not blank and i and not colon and wraps(i - 1) and not _closed(text, rows[i - 1][0], rows[i - 1][1])):
                     kind[i] = "l"
+                    levels.item(indents[i])
                     continue
         short = b - a <= 100 and not DANGLING.search(text, a, b)
         if short and widest[i] <= 110 and i + 1 < n and not rows[i + 1][2]:
@@ -448,7 +497,7 @@ def segment(text: str | None) -> list[tuple[int, int]]:
             if follows != "l" and not wraps(i) and text[b - 1] not in ",;:：，、" or marks[i + 1] and text[b - 1] in ":：":
                 kind[i] = "h"
                 continue
-        if prev == "l" or prev == "c":
+        if levels.open:
             if not blank and (_starts(text, a, b) == "l" or not _closed(text, rows[i - 1][0], rows[i - 1][1]) and wraps(i - 1)):
                 kind[i] = "c"
                 continue

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +86,25 @@ def test_long_table_rows():
     rows = ["| " + " | ".join(f"Item {i}. Value {j}. It rose" for j in range(30)) + " |" for i in range(3)]
     text = "\n".join(rows)
     assert len(rows[0]) > 400 and [text[x:y] for x, y in segment(text)] == rows
+
+
+@pytest.mark.parametrize("quotation", ["“%s”", '"%s"', "«%s»", "„%s“"])
+def test_a_quotation_of_five_thousand_characters_stays_whole(quotation):
+    body = ("All is well. " * 400).strip()
+    text = f"He said: {quotation % body} Then he left."
+    assert len(body) > 5_000 and [text[a:b] for a, b in segment(text)][-1] == "Then he left."
+    assert len(segment(text)) == 2
+
+
+@pytest.mark.parametrize("text", ["(" * 100_000, "(“[‘" * 25_000 + " x. Y", "a." * 100_000, "- x\n" * 50_000, "(a.) " * 40_000, "word" * 100_000 + ". Next one.", "Mr. " * 50_000, '"a ' * 50_000], ids=list("abcdefgh"))
+def test_long_texts_with_much_left_open_take_linear_time(text):
+    began = time.perf_counter()
+    units = segment(text)
+    assert time.perf_counter() - began < 5
+    assert "".join(text[a:b] for a, b in units).replace(" ", "") == "".join(text.split()) or "\n" in text
+
+
+def test_list_levels_close_with_what_ends_a_list():
+    text = "The plan:\n- first point\n  1. a step that\n  goes on and\n  on and\n  on and\n  on and\n  on and\n  on and\n  on\n  2. another step\n- second point\n\nAfter it comes prose. More of it."
+    units = [text[a:b] for a, b in segment(text)]
+    assert units[1] == "- first point" and units[2].startswith("1. a step") and units[2].endswith("on") and units[3:] == ["2. another step", "- second point", "After it comes prose.", "More of it."]
