@@ -1,12 +1,15 @@
 """Personal data in free text: found by kind and place, and replaced by placeholders or surrogates.
 
 Email addresses, phone numbers, official numbers and street addresses show by their form, checked against the words
-around them. Names show by what leads to them (a title, a greeting, a signature, a form field), by a given name, or by
-an identifier next to them; a surname alone counts where its bearer is named in the same text. Names of firms, brands
+around them. Names show by a given name, by what leads to them (a title, a greeting, a signature, a form field), by what
+persons are (a role) or do (verbs of saying, signing, living), by the endings of surnames in scripts that have them, or
+by an identifier next to them; a surname alone counts where its bearer is named in the same text. Names of firms, brands
 and places that look like names of persons are told by the words that go with them.
 
-Surrogates are keyed: the same entity always gets the same replacement, of its kind, script, case and format. Within a
-text, replacements are kept apart from each other and from what the text holds, and parts of a name stay together.
+Surrogates are keyed: the same entity gets the same replacement in every text, of its kind, gender, script, case and
+format. Words of a name are replaced one by one, so that parts of a name, its other orders and an e-mail address made of
+it stay together. Given names are permuted within their gender, so that no two share a replacement; of made-up words two
+that meet in one text are told apart by another draw for the second.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -43,6 +47,19 @@ GIVEN_ES = """Abelardo Begoña Crisanto Dorotea Eulalia Fermín Gumersindo Inés
 José Manuel Francisco Juan Javier Carlos Miguel Rafael Ángel Fernando Luis Jorge Alberto Álvaro Adrián Pablo Sergio Diego Raúl Enrique
 Ramón Vicente Andrés Joaquín Santiago Eduardo María Carmen Josefa Isabel Dolores Pilar Teresa Ana Francisca Laura Cristina Marta Lucía
 Elena Rosario Mercedes Concepción Encarnación Rocío Montserrat Beatriz Silvia Patricia Raquel Soledad Amparo Consuelo""".split()
+# Which of them women bear.
+FEMALE = frozenset("""Adela Bettina Delphie Drusilla Farrah Fenella Harriet Hester Isolde Jocasta Kendra Lavinia Mabel Marlene Nerissa Odette Philippa
+Rosalind Rowena Tamsin Theodora Ursula Verity Winifred Xanthe Zelda Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen
+Nancy Lisa Margaret Betty Sandra Ashley Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Helen Sharon Cynthia
+Kathleen Amy Shirley Anna Angela Ruth Brenda Pamela Nicole Katherine Samantha Christine Emma Catherine Virginia Rachel Janet Heather Diane
+Olivia Julie Victoria Kelly Joan Evelyn Judith Megan Cheryl Alice Hannah Jacqueline Martha Gloria Teresa Ann Sara Madison Frances Kathryn
+Janice""".split())
+FEMALE_OTHER = frozenset("""Anneliese Dietlinde Friederike Heidrun Käthe Mechthild Sieglinde Traudel Sabine Petra Monika Ursel Renate Karin Gisela Ingrid Brigitte
+Helga Angelika Birgit Heike Anke Silke Katja Jutta Ulrike Gudrun Ute Elke Bérengère Clotilde Éloïse Ghislaine Joséphine Léonie Maëlle
+Philiberte Nathalie Isabelle Sylvie Catherine Valérie Christine Sandrine Céline Aurélie Camille Chloé Léa Manon Margaux Élodie Émilie Hélène
+Françoise Geneviève Monique Jacqueline Marie Anne Solange Odile Begoña Dorotea Eulalia Inés Leocadia Nélida Remedios María Carmen Josefa
+Isabel Dolores Pilar Teresa Ana Francisca Laura Cristina Marta Lucía Elena Rosario Mercedes Concepción Encarnación Rocío Montserrat Beatriz
+Silvia Patricia Raquel Soledad Amparo Consuelo""".split())
 # Chinese surnames of two characters, then common ones of one.
 SURNAMES_ZH2 = "欧阳 太史 端木 上官 司马 东方 独孤 南宫 万俟 闻人 夏侯 诸葛 尉迟 公羊 赫连 澹台 皇甫 宗政 濮阳 公冶 太叔 申屠 公孙 慕容 仲孙 钟离 长孙 宇文 司徒 鲜于 司空 令狐 轩辕 呼延 百里 东郭 西门 南门".split()
 SURNAMES_ZH1 = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
@@ -105,6 +122,32 @@ LEADS = [
 ]
 # What follows a name.
 TRAILS = ["'s ssn", "’s ssn", "'s passport", "’s passport", "'s social", "’s social", "'s national", "’s national", "'s driver", "’s driver", ", whose ", " can be reached", " may be reached", " asked about", " asked whether", " asked how", " (tel", ", ssn", ", passport", ", social security", ", national insurance", ", driver", " (employee", " <", " / ssn", ", a pensioner", ", jointly", " ist unter ", " ist telefonisch", " est joignable", " puede ser", " está disponible", ", con dni", ", numéro de sécu", ", meine steuer", ", meine ausweis", ": hi ", ": thanks", ": hello", ": good ", ": thank you"]
+# What persons are, before their names, and what they do, after them or before "by".
+ROLES = """chief executive|chief financial officer|chief operating officer|ceo|cfo|coo|director|chairman|chairwoman|chairperson|chair|president|vice president|treasurer|secretary|auditor
+attorney|lawyer|notary|judge|engineer|nurse|physician|surgeon|analyst|clerk|manager|accountant|bookkeeper|supervisor|colleague|tenant|patient|witness|widow|resident|trustee|founder|professor
+geschäftsführer|geschäftsführerin|vorstandsvorsitzender|vorsitzende|vorsitzender|rechtsanwalt|rechtsanwältin|notar|mitarbeiter|mitarbeiterin|kollege|kollegin|buchhalter|leiterin
+directeur|directrice|président|présidente|avocat|avocate|notaire|salarié|salariée|collègue|gérant|gérante|director general|directora|presidenta|abogado|abogada|notario|empleado|empleada|gerente""".replace("\n", "|").split("|")
+DEEDS = """said|says|wrote|writes|told|asked us|emailed|phoned|signed|testified|resigned|retired|lives|lived|was born|passed away|joined the board|was appointed|was elected|was hired|took minutes
+sagte|schrieb|erklärte uns|unterschrieb|wohnt|wurde geboren|trat zurück|a déclaré|a écrit|a signé|habite|est né|est née|dijo|escribió|firmó|vive en|nació""".replace("\n", "|").split("|")
+DONE_BY = """taken|written|signed|drafted|chaired|witnessed|notarised|notarized|treated|interviewed|represented|nominated|countersigned|led|submitted|succeeded|unterzeichnet|unterschrieben|geleitet|protokolliert
+signé|signée|rédigé|rédigée|présidé|présidée|firmado|firmada|redactado|redactada|presidido|presidida""".replace("\n", "|").split("|")
+# What a place begins with.
+PLACES = frozenset("new north south east west northern southern eastern western upper lower great port fort mount lake san santa saint los las el la le bad".split())
+_TWO = rf"{_TOK}(?:[ \u00a0](?:{_INI}|(?:{_PART}[ \u00a0])?{_TOK})){{1,3}}"
+_ROLE = re.compile(rf",? ({_TWO})(?=[ ,.;:)\n]|$)")
+_BY = re.compile(rf" (?:by|von|par|por) ({_TWO})(?=[ ,.;:)\n]|$)")
+_DOER = re.compile(rf"(?:(?<=[.!?:;,(\n] )|(?<=[\n(])|(?<= and ))({_TWO}),?$")
+_DOER_FIRST = re.compile(_DOER.pattern.replace("(?:(?<=", "(?:^|(?<=", 1))
+# Names in scripts with telling endings or titles: Russian, Greek, Korean, Hindi, Arabic.
+_FAR_NAMES = [
+    re.compile(r"(?<![А-яЁё-])[А-ЯЁ][а-яё]+(?: [А-ЯЁ][а-яё]+(?:ович|евич|ич|овна|евна|ична|инична))? [А-ЯЁ][а-яё]*(?:ов|ова|ев|ева|ёв|ёва|ин|ина|ын|ына|ский|ская|цкий|цкая|енко|ук|юк|чук|ян|швили|дзе)(?:а|у|ым|ой|е)?(?![а-яё-])"),
+    re.compile(r"(?<![А-яЁё-])[А-ЯЁ][а-яё]+(?:ов|ова|ев|ева|ёв|ёва|ин|ина|ский|ская|енко|ук|юк|ян) (?:[А-ЯЁ]\. ?[А-ЯЁ]\.|[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+(?:ович|евич|овна|евна|ична))"),
+    re.compile(r"(?<![Α-ώ])[Α-ΩΆΈΉΊΌΎΏ][α-ώ]+ [Α-ΩΆΈΉΊΌΎΏ][α-ώ]*(?:όπουλος|οπούλου|ίδης|ίδου|άκης|άκη|ιάδης|ιάδου|ίου)(?![α-ώ])"),
+    re.compile(r"[김이박최정강조윤장임한오서신권황안송류홍전고문손양배백허남심노하곽성차주우구민진][가-힣]{2}(?= ?(?:씨|님|선생))"),
+    re.compile(r"(?<=श्री )[\u0900-\u097f]+ [\u0900-\u097f]+|(?<=श्रीमती )[\u0900-\u097f]+ [\u0900-\u097f]+|(?<=डॉ\. )[\u0900-\u097f]+ [\u0900-\u097f]+"),
+    re.compile(r"(?<=السيد )[\u0621-\u064a]+ [\u0621-\u064a]+|(?<=السيدة )[\u0621-\u064a]+ [\u0621-\u064a]+|(?<=الدكتور )[\u0621-\u064a]+ [\u0621-\u064a]+"),
+]
+_FAR = re.compile("[\u0370-\u06ff\u0900-\u097f가-힣]")
 # The same for Chinese and Japanese.
 ZH_LEAD = re.compile(r"(?:股东|寄给|联系人|本人|申请人|员工|投资者|提问者|经办人|签名|签署人|姓名|持有人|我叫|我是|转交|收件人)[：: ]?")
 ZH_NAME = re.compile(rf"(?:{'|'.join(SURNAMES_ZH2)})[一-鿿]{{1,2}}|[{SURNAMES_ZH1}][一-鿿]{{1,2}}(?=[，,。（(：:；;、\n]|先生|女士|$)|[一-鿿]{{2,4}}(?=[，,（(] ?(?:身份证|护照|电话|手机|邮箱|电邮|地址|住址|微信))")
@@ -136,6 +179,7 @@ _ID = re.compile(
     r"(?:\bSSN|\bsocial[ -]security(?: (?:number|no\.?|#))?|\btax(?:payer)? id(?:entification)?(?: (?:number|no\.?))?|\b(?-i:TIN)|\bITIN|\bpassport(?: (?:number|no\.?|#))?|\bnational insurance(?: (?:number|no\.?))?|\bNI (?:number|no\.?)|\bNINO|\bdriver['’]?s?['’]? licen[cs]e(?: (?:number|no\.?))?|\b(?:national )?(?:id|identity)(?: card)? (?:number|no\.?)|\bid card(?: (?:number|no\.?))?|\bID no\.?"
     r"|\bAusweisnummer|\bPersonalausweis(?:nummer| Nr\.?)?|\bReisepass(?:nummer| Nr\.?)?|\bSteuer-?ID(?:entifikationsnummer)?|\bSteueridentifikationsnummer|\bSozialversicherungsnummer|\bFührerschein(?:nummer)?"
     r"|\bnuméro de sécurité sociale|\bn° de sécurité sociale|\bsécurité sociale|\bn° de passeport|\bpasseport(?: n°)?|\bnuméro fiscal|\bcarte d['’]identité(?: n°)?"
+    r"|\bCPF|\bAadhaar(?: (?:number|no\.?))?|\bPESEL|\bBSN|\bcodice fiscale|\bNRIC|\bEmirates ID|\bNHS (?:number|no\.?)|\bsocial insurance (?:number|no\.?)|\bpassaporto(?: n\.?)?|\bcarta d['’]identità|\bпаспорт\w*|\bИНН|\bСНИЛС"
     r"|\bDNI|\bNIE|\bNIF|\bpasaporte(?: n\.?º)?|\bnúmero de (?:pasaporte|identidad|la seguridad social)|\bdocumento de identidad"
     r"|身份证(?:号码|号)?|护照(?:号码|号)?|社保号|マイナンバー|個人番号|旅券番号|パスポート番号|運転免許証番号|免許証番号)"
     r"(?:\s*[:：#]\s*|\s+(?:is|was|ist|lautet|est|es|no\.?|number|Nr\.?|n°)?:?\s*|は|为|是)?"
@@ -143,7 +187,7 @@ _ID = re.compile(
     re.I,
 )
 # How those labels begin, in small letters.
-LABELS = """ssn|social security|social-security|taxpayer id|tax id|tin|itin|passport|national insurance|nino|ni no|ni number|driver|id card|id no|id number|identity|ausweisnummer|personalausweis|reisepass|steuer-id|steuerid|steueridentifikationsnummer|sozialversicherungsnummer|führerschein|sécurité sociale|n° de|passeport|numéro fiscal|carte d'identité|carte d’identité|dni|nie|nif|pasaporte|número de|documento de identidad|身份证|护照|社保号|マイナンバー|個人番号|旅券番号|パスポート番号|運転免許証番号|免許証番号""".split("|")
+LABELS = """ssn|social security|social-security|taxpayer id|tax id|tin|itin|passport|national insurance|nino|ni no|ni number|driver|id card|id no|id number|identity|ausweisnummer|personalausweis|reisepass|steuer-id|steuerid|steueridentifikationsnummer|sozialversicherungsnummer|führerschein|sécurité sociale|n° de|passeport|numéro fiscal|carte d'identité|carte d’identité|cpf|aadhaar|pesel|bsn|codice fiscale|nric|emirates id|nhs n|social insurance n|passaporto|carta d'identità|carta d’identità|паспорт|инн|снилс|dni|nie|nif|pasaporte|número de|documento de identidad|身份证|护照|社保号|マイナンバー|個人番号|旅券番号|パスポート番号|運転免許証番号|免許証番号""".split("|")
 _TOWN = rf"[{_UP}][{_LO}]+(?:(?:-| )(?:on|upon|in|under|by|le|la|sur|am|an der|bei|de|del)(?:-| ))?(?:-?[{_UP}][{_LO}]+)?(?: (?!QQ|ZZ)[{_UP}][{_LO}]+)?"
 _POST = r"(?:[A-Z]{2} \d{5}(?:-\d{4})?|[A-Z]{1,2}\d[\dA-Z]? \d[A-Z]{2}|\d{5}|[A-Z]\d[A-Z] \d[A-Z]\d)"
 _STREET = r"(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Terrace|Boulevard|Blvd\.?|Way|Place|Pl\.?|Square|Sq\.?|Crescent|Close|Parkway|Pkwy\.?|Highway|Hwy\.?|Row|Walk|Mews|Gardens|Grove|Hill|Alley|Circle|Cir\.?|Trail)"
@@ -152,6 +196,10 @@ _ADDR = [
     re.compile(rf"[{_UP}][\w.-]*(?:straße|strasse|str\.|allee|weg|gasse|platz|ring|damm|ufer|chaussee|steig|stieg|Straße|Allee|Weg|Platz|Gasse) \d{{1,4}} ?[a-z]?(?:,\s*|\s*\n\s*)(?:D-|A-|CH-)?\d{{4,5}} {_TOWN.replace('a-zß-öø-ÿœ', 'a-zß-öø-ÿœ')}"),
     re.compile(rf"\d{{1,4}}(?: ?(?:bis|ter|quater|[a-dA-D]))?,? (?:rue|avenue|av\.|bd|boulevard|place|impasse|allée|chemin|quai|cours|route|square|passage)(?: (?:de la|de l['’]|des|du|de|d['’]))? ?[{_UP}][\w'’-]+(?: [{_UP}][\w'’-]+)*(?:,\s*|\s*\n\s*)(?:F-)?\d{{5}} {_TOWN}"),
     re.compile(rf"(?:Calle|C/|Avda\.?|Avenida|Plaza|Pza\.?|Paseo|Camino|Carretera|Ronda|Travesía|Glorieta) ?(?:de (?:la |los |las )?|del )?[{_UP}][\w'’-]+(?: [{_UP}][\w'’-]+)*,? (?:n\.?º ?)?\d{{1,4}}(?:, (?:\d{{1,2}}\.?[ºª°] ?[A-Z]?(?: (?:izda|dcha)\.?)?|bajo(?: [A-Z])?|ático|entresuelo|[A-Z]))?(?:,\s*|\s*\n\s*)\d{{5}} {_TOWN}"),
+    re.compile(rf"(?:Via|Viale|Piazza|Piazzale|Corso|Largo|Vicolo|Strada) (?:(?:del|della|dei|delle|degli|di|dell['’]|san|santa|sant['’]) ?)?[{_UP}][\w'’.-]+(?: [{_UP}][\w'’.-]+)*,? (?:n\.? ?)?\d{{1,4}}(?:/?[a-zA-Z])?(?:,\s*|\s*\n\s*)(?:I-)?\d{{5}} {_TOWN}(?: \(?[A-Z]{{2}}\)?)?"),
+    re.compile(rf"(?:Rua|Avenida|Av\.|Travessa|Praça|Alameda|Largo) (?:(?:da|do|das|dos|de) )?[{_UP}][\w'’.-]+(?: (?:(?:da|do|das|dos|de|e) )?[{_UP}][\w'’.-]+)*,? (?:n\.?º ?)?\d{{1,5}}(?:,? ?(?:-|–)? ?(?:apto\.?|ap\.|sala|\d{{1,2}}\.?º)[^,\n]{{0,12}})?(?:(?:,| -| –)\s*[{_UP}][\w '’.-]{{2,30}})??(?:,\s*|\s*[-–]\s*|\s*\n\s*)(?:\d{{4,5}}-\d{{3}} {_TOWN}|{_TOWN}(?:\s*[-–/]\s*[A-Z]{{2}})?,? \d{{5}}-?\d{{3}})"),
+    re.compile(rf"\d{{1,5}},? (?:rue|avenue|av\.|boul\.|boulevard|chemin|place) [{_UP}a-z][\w'’-]+(?: [{_UP}][\w'’-]+)*(?:,? (?:app\.|bureau|apt\.) ?\w{{1,5}})?(?:,\s*|\s*\n\s*){_TOWN},? \(?(?:QC|Québec|Quebec|ON|NB|MB|Ontario)\)?,? ?(?:[A-Z]\d[A-Z] ?\d[A-Z]\d)?"),
+    re.compile(rf"[{_UP}][\w.-]*(?:straat|laan|weg|plein|gracht|kade|singel|dijk) \d{{1,4}}(?:[ -]?[a-zA-Z]|-\d{{1,3}})?(?:,\s*|\s*\n\s*)\d{{4}} ?[A-Z]{{2}} {_TOWN}"),
     re.compile(r"(?:(?<=[：:，,。\n于至在到住址 ])|^|(?<=寄往)|(?<=地址))(?:[一-鿿]{2,4}省)?[一-鿿]{2,4}市(?:[一-鿿]{1,4}[区县])?[一-鿿]{1,8}(?:大道|街道|街|路|巷|道|弄|胡同)\d{1,5}号(?:院)?(?:\d{1,4}(?:号楼|单元|栋|幢|楼|座))*(?:\d{1,5}[室号房])?"),
     re.compile(r"(?:〒?\d{3}-\d{4}[ \u3000]?)?(?<![一-鿿])[一-鿿々ヶケノ]{1,5}(?:都|道|府|県|市|区|郡)[一-鿿々ぁ-んァ-ヶ]{1,12}?(?:\d{1,3}丁目\d{1,3}番(?:地)?(?:\d{1,3}号)?|\d{1,3}(?:[-－‐−]\d{1,4}){1,3}|\d{1,4}番地?(?:\d{1,3}号)?)(?:[ \u3000]?[一-鿿ァ-ヶー]{2,10}\d{1,4}号室)?"),
 ]
@@ -161,6 +209,10 @@ _ADDR_CUE = [
     (["straße", "strasse", "str.", "allee", "weg", "gasse", "platz", "ring", "damm", "ufer", "chaussee", "steig", "stieg"], re.compile(r" \d")),
     ([" rue", " avenue", " av.", " bd", " boulevard", " place", " impasse", " allée", " chemin", " quai", " cours", " route", " square", " passage"], re.compile(rf" (?:[{_UP}]|d)|d|[{_UP}]")),
     (["calle", "c/", "avda", "avenida", "plaza", "pza", "paseo", "camino", "carretera", "ronda", "travesía", "glorieta"], re.compile("")),
+    (["via ", "viale ", "piazza", "corso ", "largo ", "vicolo ", "strada "], re.compile("")),
+    (["rua ", "avenida ", "av. ", "travessa ", "praça ", "alameda ", "largo "], re.compile("")),
+    ([" rue", " avenue", " av.", " boul", " chemin", " place"], re.compile("")),
+    (["straat", "laan", "weg", "plein", "gracht", "kade", "singel", "dijk"], re.compile(r" \d")),
     (["市"], re.compile("")),
     (["都", "道", "府", "県", "市", "区", "郡"], re.compile("")),
 ]
@@ -205,6 +257,10 @@ class Finder:
         for i, (cues, _) in enumerate(_ADDR_CUE):
             for w in cues:
                 of.setdefault(w, []).append(("address", i))
+        # what persons are and do opens the patterns for it
+        for kind, words in (("role", ROLES), ("deed", DEEDS), ("by", DONE_BY)):
+            for w in words:
+                of.setdefault(f" {w}" if kind == "deed" else w, []).append((kind, w))
         for w, what in of.items():
             self.labels.add_word(w, what)
         self.labels.make_automaton()
@@ -246,11 +302,14 @@ class Finder:
         if not text:
             return []
         found: list[tuple[int, int, str]] = []
-        taken: list[tuple[int, int]] = []
+        starts: list[int] = []  # of what is taken, in order, with the ends
+        ends: list[int] = []
 
         def take(a: int, b: int, kind: str) -> None:
-            if a < b and not any(a < y and b > x for x, y in taken):
-                taken.append((a, b))
+            k = bisect_left(ends, a + 1)  # the first that ends behind a
+            if a < b and (k == len(starts) or starts[k] >= b):
+                starts.insert(k, a)
+                ends.insert(k, b)
                 found.append((a, b, kind))
 
         if "@" in text or any(p.search(text) for p in _EMAIL_CUES):
@@ -263,11 +322,13 @@ class Finder:
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        labels, kinds = [], set()
+        labels, kinds, persons = [], set(), []
         for end, what in self.labels.iter(low):
             for kind, x in what:
                 if kind == "label":
                     labels.append((end + 1 - len(x), x))
+                elif kind != "address":
+                    persons.append((kind, end + 1 - len(x) - (kind == "deed"), end + 1))
                 elif x not in kinds and _ADDR_CUE[x][1].match(text, end + 1):
                     kinds.add(x)
         for start, word in labels:
@@ -289,7 +350,7 @@ class Finder:
                 take(a, b, "id_number")
         cjk = bool(_CJK.search(text))
         for i, pattern in enumerate(_ADDR):
-            if i not in kinds or i >= 4 and not cjk:
+            if i not in kinds or i >= len(_ADDR) - 2 and not cjk:
                 continue
             for m in pattern.finditer(text):
                 if i == 0:
@@ -303,7 +364,10 @@ class Finder:
                 take(m.start(), b - (text[b - 1] in ",;"), "address")
         for m in _NUMBER.finditer(text):
             self._phone(text, m, take)
-        self._names(text, low, cjk, take)
+        for m in _CPF.finditer(text) if _CPF_CUE in text else ():
+            if _cpf(m.group()):
+                take(*m.span(), "id_number")
+        self._names(text, low, cjk, persons, take)
         found.sort()
         return found
 
@@ -318,9 +382,12 @@ class Finder:
         before = text[max(0, a - 40) : a]
         if _NOT_PHONE.search(before) and not re.search(r"(?:number is|her number|his number|my number|daytime number)\W*$", before, re.I) or before.endswith("$"):
             return
-        line = text[text.rfind("\n", 0, a) + 1 : a]
-        end = text.find("\n", b)
-        alone = not line.strip() and not text[b : end if end >= 0 else len(text)].strip(" .")
+        i, j = a, b
+        while i and text[i - 1].isspace() and text[i - 1] != "\n":
+            i -= 1
+        while j < len(text) and text[j] in " .":
+            j += 1
+        alone = (not i or text[i - 1] == "\n") and (j == len(text) or text[j] == "\n")
         if _PHONE_FORMS.fullmatch(core) or (_PHONE_CUE.search(before) or alone and digits >= 9) and re.fullmatch(r"[\d ()（）./+\u00a0-]+", core):
             if re.fullmatch(r"\d{4}-\d{2}-\d{2}", core):
                 return
@@ -328,7 +395,7 @@ class Finder:
                 return
             take(a, b, "phone")
 
-    def _names(self, text: str, low: str, cjk: bool, take) -> None:
+    def _names(self, text: str, low: str, cjk: bool, persons: list[tuple[str, int, int]], take) -> None:
         full: dict[str, None] = {}
 
         def add(a: int, b: int, alone: bool = False) -> bool:
@@ -424,6 +491,24 @@ class Finder:
                 a = seg_start + n.start(1)
                 if not a or text[a - 1] == "\n" or text[max(0, a - 2) : a] in (". ", "! ", "? ", "\n "):
                     add(a, m.start())
+        for kind, start, end in persons:
+            if end < len(text) and (text[end].isalnum() or text[end] in "-_") or kind != "deed" and start and (text[start - 1].isalnum() or text[start - 1] in "-_"):
+                continue
+            if kind == "deed":
+                at = max(0, start - 72)
+                m = (_DOER if at else _DOER_FIRST).search(text[at:start])
+            else:
+                at, m = 0, (_ROLE if kind == "role" else _BY).match(text, end)
+            if m:
+                words = re.findall(r"[^\W_]+", m.group(1).lower())
+                # a firm or a place may stand there as well
+                if not any(w in AFTER_NAME or w in BEFORE_NAME or w in NOT_NAMES for w in words) and words[0] not in PLACES:
+                    add(at + m.start(1), at + m.end(1))
+        if not text.isascii() and _FAR.search(text):
+            for pattern in _FAR_NAMES:
+                for m in pattern.finditer(text):
+                    take(*m.span(), "name")
+                    full[m.group()] = None
         if cjk:
             self._cjk(text, take, full)
         self._again(text, full, take)
@@ -467,38 +552,84 @@ class Finder:
             take(*m.span(1), "name")
 
     def _again(self, text: str, full: dict, take) -> None:
-        """Further places of the names found, and surnames alone."""
-        for name in list(full):
-            if len(name) >= 4 or _CJK.match(name):
-                at = text.find(name)
-                while at >= 0:
-                    b = at + len(name)
-                    if (_CJK.match(name) or not (at and text[at - 1].isalnum()) and not (b < len(text) and text[b].isalnum())) and not self._firm(text, at, b):
-                        take(at, b, "name")
-                    at = text.find(name, b)
+        """Further places of the names found, and surnames alone; one walk over the text finds them all."""
+        lasts: dict[str, str] = {}
+        for name in full:
             if _CJK.match(name) or "." == name[-1:]:
                 continue
             words = name.split(",")[0].split() if "," in name else name.split()
             last = words[-1]
-            if len(last) < 4 or len(words) < 2 and "," not in name or not last[0].isupper():
-                continue
-            for m in re.finditer(rf"(?<![\w@.+-]){re.escape(last)}(?![\w@-]|\.\w)", text):
-                if not self._firm(text, *m.span()) and not re.search(r"& $|& $", text[max(0, m.start() - 2) : m.start()]):
+            if len(last) >= 4 and (len(words) >= 2 or "," in name) and last[0].isupper():
+                lasts[name] = last
+        wanted = {name for name in full if len(name) >= 4 or _CJK.match(name)} | set(lasts.values())
+        if not wanted:
+            return
+        places: dict[str, list[int]] = {}
+        walk = ahocorasick.Automaton()
+        for w in wanted:
+            walk.add_word(w, w)
+        walk.make_automaton()
+        for end, w in walk.iter(text):
+            places.setdefault(w, []).append(end + 1 - len(w))
+        for name in full:
+            done = -1
+            for at in places.get(name, ()) if name in wanted and (len(name) >= 4 or _CJK.match(name)) else ():
+                b = at + len(name)
+                if at < done:
+                    continue
+                done = b
+                if (_CJK.match(name) or not (at and text[at - 1].isalnum()) and not (b < len(text) and text[b].isalnum())) and not self._firm(text, at, b):
+                    take(at, b, "name")
+            for at in places.get(lasts.get(name, ""), ()):
+                b = at + len(lasts[name])
+                before, after = text[at - 1] if at else " ", text[b : b + 2]
+                if before.isalnum() or before in "_@.+-" or after[:1].isalnum() or after[:1] in "_@-" and after or after[:1] == "." and (after[1:].isalnum() or after[1:] == "_"):
+                    continue
+                if not self._firm(text, at, b) and text[max(0, at - 2) : at] != "& ":
                     # part of another full name stays with that name
-                    if _PART_OF_NAME.search(text[max(0, m.start() - 24) : m.start()]) and not _ADDRESSED.search(text[max(0, m.start() - 12) : m.start()]):
+                    if _PART_OF_NAME.search(text[max(0, at - 24) : at]) and not _ADDRESSED.search(text[max(0, at - 12) : at]):
                         continue
-                    take(*m.span(), "name")
+                    take(at, b, "name")
+
+
+_CPF, _CPF_CUE = re.compile(r"(?<![\d.-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\d-])"), "-"
+
+
+def _cpf(number: str) -> bool:
+    """Whether the check digits of a Brazilian personal number are right."""
+    d = [int(c) for c in number if c.isdigit()]
+    for n in (9, 10):
+        if sum(x * w for x, w in zip(d, range(n + 1, 1, -1))) * 10 % 11 % 10 != d[n]:
+            return False
+    return len(set(d)) > 1
 
 
 _SYLLABLES = "ba be bi bo bu da de di do du fa fe fi fo ga ge go ha he hi ka ke ki ko la le li lo lu ma me mi mo mu na ne ni no pa pe pi po ra re ri ro ru sa se si so su ta te ti to tu va ve vi wa we zo".split()
 _HAN = "安柏晨丹方谷和嘉景可兰明宁平清然山世松田文西向新秀雪雅阳一永远云泽正志中子"
 
 
+# Letters of scripts, by which a made-up word keeps the script of the word it stands for; the vowels first.
+ALPHABETS = ["аеиоуыэюя бвгджзклмнпрстфхцчшщ", "αεηιουω βγδζθκλμνξπρστφχψ", "אוי בגדהזחטכלמנסעפצקרשת", "اوي بتثجحخدذرزسشصضطظعغفقكلمنه", "अआइईउऊएओ कखगघचछजझटठडढतथदधनपफबभमयरलवशसह", "แเโไใ กขคงจชซญดตถทธนบปผพฟภมยรลวสหอ"]
+_LETTER_OF = {c: (part, k) for k, line in enumerate(ALPHABETS) for part in line.split(" ") for c in part}
+_HIRAGANA, _KATAKANA = "".join(map(chr, range(0x3042, 0x3094))), "".join(map(chr, range(0x30A2, 0x30F4)))
+# Mail hosts of many people, which tell nothing about one, and labels that go with the last one of a host.
+PUBLIC_HOSTS = frozenset("gmail googlemail yahoo outlook hotmail live icloud gmx web proton protonmail aol qq 163 126 orange free laposte t-online libero".split())
+UPPER_LABELS = frozenset("co com org net ac gov edu".split())
+_HOST_WORDS = frozenset("at dot punkt point punto arroba ät".split())
+
+
 class Surrogates:
-    """Keyed replacements. The same entity and key give the same replacement; within a text none is given twice."""
+    """Keyed replacements. The same entity and key give the same replacement in any text; within a text none is given twice."""
 
     def __init__(self, key: bytes) -> None:
         self.key = key
+        # given names of one gender and language in an order drawn by the key: each is replaced by the next, so that no two share one
+        self.next: dict[str, str] = {}
+        for pool in (GIVEN_EN, GIVEN_DE, GIVEN_FR, GIVEN_ES):
+            for women in (True, False):
+                names = sorted({g for g in pool if (g in FEMALE or g in FEMALE_OTHER) == women and g.casefold() not in self.next}, key=lambda g: hmac.new(key, f"order\x1f{g}".encode(), hashlib.sha256).digest())
+                self.next.update((g.casefold(), names[(k + 1) % len(names)]) for k, g in enumerate(names))
+        self.known: dict[tuple[str, int], str] = {}
 
     def _stream(self, kind: str, entity: str, turn: int):
         seed = hmac.new(self.key, f"{kind}\x1f{entity}\x1f{turn}".encode("utf-8", "surrogatepass"), hashlib.sha256).digest()
@@ -507,79 +638,156 @@ class Surrogates:
             yield from hashlib.sha256(seed + block.to_bytes(4, "big")).digest()
             block += 1
 
-    def _word(self, word: str, turn: int) -> str:
-        """A made-up word for a part of a name: same script, case and, for given names, the same likely gender."""
-        stream = self._stream("word", word.casefold(), turn)
-        if _CJK.match(word):
-            return "".join(c if c in " \u3000" or not _CJK.match(c) else _HAN[next(stream) % len(_HAN)] for c in word)
-        if len(word.rstrip(".")) == 1:
-            return chr(ord("A") + next(stream) % 26) + word[1:]
+    def _made(self, word: str, turn: int) -> str:
+        """A made-up word in small letters, of the script of ``word``."""
         low = word.casefold()
-        if low in _GIVEN:
-            pool = next(p for p in (GIVEN_EN, GIVEN_DE, GIVEN_FR, GIVEN_ES) if any(g.casefold() == low for g in p))
-            female = low[-1] in "aeéy"
-            same = [g for g in pool if (g[-1] in "aeéy") == female and g.casefold() != low]
-            out = same[(next(stream) * 256 + next(stream)) % len(same)]
+        if (low, turn) in self.known:
+            return self.known[low, turn]
+        stream = self._stream("word", low, turn)
+        if all(c < "ɐ" or not c.isalpha() for c in low):
+            out = "".join(_SYLLABLES[next(stream) % len(_SYLLABLES)] for _ in range(3 + next(stream) % 2))
         else:
-            out = "".join(_SYLLABLES[next(stream) % len(_SYLLABLES)] for _ in range(2 + next(stream) % 2)).capitalize()
-        return out.upper() if word.isupper() and len(word) > 1 else out.lower() if word.islower() else out
+            out = "".join(self._letter(c, stream) for c in low)
+        if len(self.known) > 200_000:
+            self.known.clear()
+        self.known[low, turn] = out
+        return out
+
+    @staticmethod
+    def _letter(c: str, stream) -> str:
+        if _CJK.match(c) and not "぀" <= c <= "ヿ":
+            return _HAN[next(stream) % len(_HAN)]
+        if "぀" <= c <= "ゟ" or "゠" <= c <= "ヿ":
+            pool = _HIRAGANA if c <= "ゟ" else _KATAKANA
+            return pool[(next(stream) * 256 + next(stream)) % len(pool)]
+        if "가" <= c <= "힣":
+            return chr(0xAC00 + ((next(stream) * 256 + next(stream)) * 28) % 11172)
+        part = _LETTER_OF.get(c)
+        return part[0][next(stream) % len(part[0])] if part else c
+
+    def word(self, word: str, turn: int = 0) -> str:
+        """The replacement of a word of a name: same script and case, and for given names the same gender."""
+        bare = word.rstrip(".")
+        low = bare.casefold()
+        if len(bare) == 1 and bare.isascii():
+            return chr(ord("A" if bare.isupper() else "a") + (ord(low) - ord("a") + 1 + next(self._stream("letter", "", turn)) % 25) % 26) + word[1:]
+        out = self.next[low] if low in self.next and not turn else self._made(bare, turn)
+        if bare.isupper() and len(bare) > 1:
+            out = out.upper()
+        elif bare.islower():
+            out = out.lower()
+        elif bare[:1].isupper():
+            out = out[:1].upper() + out[1:]
+        return out + word[len(bare) :]
 
     def make(self, kind: str, mention: str, turn: int) -> str:
-        if kind == "name":
-            return re.sub(r"[^\W\d_]+\.?", lambda m: self._word(m.group(), turn), mention) if not _CJK.match(mention) else self._word(mention, turn)
-        stream = self._stream(kind, re.sub(r"\W", "", mention).casefold(), turn)
         if kind == "email":
-            local, _, rest = re.match(r"([\w.+'-]+)(\s*)(.*)", mention, re.S).groups() if re.match(r"[\w.+'-]+", mention) else (mention, "", "")
-            new = re.sub(r"[A-Za-z]", lambda m: chr((97 if m.group().islower() else 65) + next(stream) % 26), local)
-            return re.sub(r"\d", lambda m: str(next(stream) % 10), new) + mention[len(local) :]
-        if kind == "address":  # the number and the name of the street change, words of form stay
+            return self._email(mention, turn)
+        stream = self._stream(kind, re.sub(r"\W", "", mention).casefold(), turn)
+        if kind == "address":  # numbers and the name of the street change, words of form and the town stay
+            if _CJK.search(mention):
+                return re.sub(r"\d", lambda m: str(next(stream) % 9 + 1), re.sub(r"[一-鿿](?![一-鿿]{0,1}[市区県路街巷号])(?<![市区県路街巷号丁目番室单元])", lambda m: _HAN[next(stream) % len(_HAN)], mention))
+
             def swap(m):
                 w = m.group()
                 if w.isdigit():
                     return "".join(str(next(stream) % 9 + 1) for _ in w)
-                if re.fullmatch(_STREET, w) or w in ("Flat", "Apt", "Unit", "Suite", "Calle", "Avda", "Plaza", "Paseo", "D", "bis") or w.islower() and len(w) <= 9 or w.isupper():
+                if re.fullmatch(_STREET, w) or w in _FORM_WORDS or w.islower() and len(w) <= 9 or w.isupper():
                     return w
-                tail = re.search(r"(?:straße|strasse|allee|weg|gasse|platz|str)$", w)
-                return "".join(_SYLLABLES[next(stream) % len(_SYLLABLES)] for _ in range(3)).capitalize() + (tail.group() if tail else "")
-            if _CJK.search(mention):
-                return re.sub(r"\d", lambda m: str(next(stream) % 9 + 1), re.sub(r"[一-鿿](?![一-鿿]{0,1}[市区県路街巷号])(?<![市区県路街巷号丁目番室单元])", lambda m: _HAN[next(stream) % len(_HAN)], mention))
+                tail = re.search(r"(?:straße|strasse|allee|weg|gasse|platz|str|straat|laan|plein|gracht)$", w)
+                return self._made(w, turn).capitalize() + (tail.group() if tail else "")
+
             return re.sub(r"[^\W\d_]+|\d+", swap, mention)
         keep = re.match(r"[(（]?(?:\+|00)\d{1,2}", mention) if kind == "phone" else None
         head = keep.group() if keep else ""
         body = re.sub(r"\d", lambda m: str(next(stream) % 10), mention[len(head) :])
         return head + (re.sub(r"[A-Z]", lambda m: chr(65 + next(stream) % 26), body) if kind == "id_number" else body)
 
-    def replace(self, text: str, places: list[tuple[int, int, str]]) -> str:
+    def _email(self, mention: str, turn: int) -> str:
+        """Words of the local part as words of names, so that an address follows its name; the host too, but for its ending."""
+        local = re.match(r"[\w.+'-]*", mention).group()
+        stream = self._stream("digits", mention.casefold(), turn)
+        swap = lambda m: str(next(stream) % 10) if m.group().isdigit() else self.word(m.group(), turn)
+        out = re.sub(r"[^\W\d_]+|\d", swap, local)
+        labels = [m for m in re.finditer(r"[\w-]+", mention[len(local) :]) if m.group().lower() not in _HOST_WORDS]
+        kept = 2 if len(labels) > 2 and labels[-2].group().lower() in UPPER_LABELS else 1
+        host, at = mention[len(local) :], 0
+        for m in labels[: max(0, len(labels) - kept)]:
+            out += host[at : m.start()] + (m.group() if m.group().lower() in PUBLIC_HOSTS else self._made(m.group(), turn))
+            at = m.end()
+        return out + host[at:]
+
+    def assign(self, mentions: dict[tuple[str, str], None]) -> dict[tuple[str, str], str]:
+        """A replacement of each mention (kind, text) of one text.
+
+        The first draw counts unless another word or mention of the text has it already; so it depends on the text only where
+        two would fall together. An initial follows the name of the same surname that it can stand for.
+        """
+        words: dict[str, str] = {}
+        owner: dict[str, str] = {}
         given: dict[tuple[str, str], str] = {}
         used: set[str] = set()
-        words: dict[str, str] = {}
-        # names of more parts first, so that a surname alone follows its full name
-        for a, b, kind in sorted(places, key=lambda p: (p[0] - p[1], p[0])):
-            mention = text[a:b]
-            if (kind, mention) in given:
+        names = [m for k, m in mentions if k == "name"]
+        initials: dict[tuple[str, str], str] = {}  # of full names: surname and first letter, to the given name
+        for name in names:
+            parts = re.findall(r"[^\W\d_]+", name)
+            if "," in name and len(parts) > 1:
+                parts = [*parts[1:], parts[0]]
+            for w in parts:
+                low = w.casefold()
+                if len(low) < 2 or low in words or low in PARTICLES:
+                    continue
+                turn, new = 0, self.word(low)
+                while turn < 50 and (owner.get(new.casefold(), low) != low or new.casefold() == low):
+                    turn += 1  # a word of letters that no alphabet here has stays as it is
+                    new = self.word(low, turn)
+                words[low], owner[new.casefold()] = new, low
+            if len(parts) > 1 and len(parts[0]) > 1:
+                initials.setdefault((parts[-1].casefold(), parts[0][0].casefold()), parts[0].casefold())
+
+        def cased(w: str, new: str) -> str:
+            return new.upper() if w.isupper() and len(w) > 1 else new.lower() if w.islower() else new[:1].upper() + new[1:]
+
+        for kind, mention in mentions:
+            if kind == "name":
+                parts = re.findall(r"[^\W\d_]+", mention)
+                last = (parts[0] if "," in mention else parts[-1]).casefold() if parts else ""
+
+                def swap(m, last=last):
+                    w = m.group()
+                    low = w.casefold()
+                    if low in PARTICLES:
+                        return w
+                    if len(low) == 1:
+                        full = initials.get((last, low))
+                        return cased(w, words[full][0]) if full in words else self.word(w)
+                    return cased(w, words[low])
+
+                given[kind, mention] = re.sub(r"[^\W\d_]+", swap, mention)
                 continue
-            for turn in range(1000):
-                if kind == "name" and not _CJK.match(mention):
-                    new = re.sub(r"[^\W\d_]+\.?", lambda m: words.get(m.group().casefold(), self._word(m.group(), turn)), mention)
-                    new = re.sub(r"[^\W\d_]+", lambda m: m.group().upper() if mention.isupper() else m.group(), new)
-                else:
-                    new = self.make(kind, mention, turn)
-                if new != mention and new not in used and new not in text:
-                    break
-                if kind == "name" and all(w.casefold() in words for w in re.findall(r"[^\W\d_]+\.?", mention)):
-                    break  # parts of a name already replaced
-            if kind == "name" and not _CJK.match(mention):
-                for old, made in zip(re.findall(r"[^\W\d_]+\.?", mention), re.findall(r"[^\W\d_]+\.?", new)):
-                    words.setdefault(old.casefold(), made)
+            turn, new = 0, self.make(kind, mention, 0)
+            while turn < 50 and (new in used or new == mention and turn < 3):  # without a digit or letter to change it stays as it is
+                turn += 1
+                new = self.make(kind, mention, turn)
             given[kind, mention] = new
             used.add(new)
+        return given
+
+    def of(self, text: str, places: list[tuple[int, int, str]]) -> list[str]:
+        """The replacement of each place."""
+        given = self.assign(dict.fromkeys((kind, text[a:b]) for a, b, kind in places))
+        return [given[kind, text[a:b]] for a, b, kind in places]
+
+    def replace(self, text: str, places: list[tuple[int, int, str]]) -> str:
         out, at = [], 0
-        for a, b, kind in sorted(places):
-            out += [text[at:a], given[kind, text[a:b]]]
+        for (a, b, _), new in sorted(zip(places, self.of(text, places))):
+            out += [text[at:a], new]
             at = b
         return "".join(out) + text[at:]
 
 
+# Words of the form of an address.
+_FORM_WORDS = frozenset("Flat Apt Apartment Unit Suite Room Floor Calle Avda Avenida Plaza Paseo Camino Carretera Ronda D F I A CH bis Via Viale Piazza Corso Largo Vicolo Strada Rua Travessa Praça Alameda".split())
 PLACEHOLDER = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}
 
 
@@ -602,7 +810,8 @@ def _find(df: DataFrame, id_col: str, text_col: str, key: str | None, texts: boo
             places, masked, replaced = [], [], []
             for t in batch.column(1).to_pylist():
                 p = finder.find(t) if t else []
-                places.append([{"kind": k, "start_pos": a, "end_pos": b, "mention": t[a:b]} for a, b, k in p])
+                new = surrogates.of(t, p) if surrogates and p else [None] * len(p)
+                places.append([{"kind": k, "start_pos": a, "end_pos": b, "mention": t[a:b], "surrogate": n} for (a, b, k), n in zip(p, new)])
                 if texts:
                     masked.append(t if t is None else with_placeholders(t, p))
                     replaced.append(t if t is None else surrogates.replace(t, p) if surrogates else None)
@@ -610,17 +819,18 @@ def _find(df: DataFrame, id_col: str, text_col: str, key: str | None, texts: boo
 
         return step
 
-    ddl = f"id {id_type}, places array<struct<kind:string,start_pos:int,end_pos:int,mention:string>>"
+    ddl = f"id {id_type}, places array<struct<kind:string,start_pos:int,end_pos:int,mention:string,surrogate:string>>"
     return map_batches(src, ddl + (", masked_text string, surrogate_text string" if texts else ""), setup)
 
 
-def mentions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every mention of personal data: the id, ``kind``, ``start_pos``, ``end_pos`` (end exclusive) and ``mention``.
+def mentions(df: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every mention of personal data: the id, ``kind``, ``start_pos``, ``end_pos`` (end exclusive), ``mention``, and ``surrogate``, the
+    keyed replacement that stands for it in this text as in all others (null without a ``key``).
 
     Null and empty texts and empty tables give no rows; rows given twice give their mentions twice, and a null id is
     kept. Places count code points. Only the id and the text are read, so other columns cannot clash.
     """
-    found = _find(df, id_col, text_col, None, False)
+    found = _find(df, id_col, text_col, key, False)
     return found.select(F.col("id").alias(id_col), F.inline("places"))
 
 

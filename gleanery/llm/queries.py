@@ -106,14 +106,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "source_weights"))[1]
 
 
-def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gleanery.llm.personal import mentions
+#: Stands in for a secret of the operator of the pipeline.
+DEMONSTRATION_KEY = "demonstration"
 
-    return mentions(_table(spark, sf_dir, "documents")).select("doc_id", "kind", "mention").distinct()
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mentions that got a surrogate, which is every one found."""
+    from gleanery.llm.personal import mentions
 
-#: Stands in for a secret of the operator of the pipeline.
-DEMONSTRATION_KEY = "demonstration"
+    found = mentions(_table(spark, sf_dir, "documents"), key=DEMONSTRATION_KEY)
+    return found.where("surrogate IS NOT NULL").select("doc_id", "kind", "mention").distinct()
 
 
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,4 +124,42 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(_table(spark, sf_dir, "documents"), key=DEMONSTRATION_KEY)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_recall, p3_found, p3_kinds, p4_found, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_redacted)}
+def p8_redacted_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every text: its masked form is as long as the text less its mentions and their placeholders more, the rest
+    stands in it in order, and of both forms none has an e-mail address that the text has."""
+    from gleanery.llm.personal import PLACEHOLDER, mentions, redact
+
+    docs = _table(spark, sf_dir, "documents")
+    sizes = F.create_map(*[x for k, v in PLACEHOLDER.items() for x in (F.lit(k), F.lit(len(v)))])
+    found = mentions(docs).groupBy("doc_id").agg(F.sum(F.length("mention") - F.try_element_at(sizes, F.col("kind"))).alias("less"), F.collect_set(F.when(F.col("kind") == "email", F.col("mention"))).alias("mails"))
+    rows = redact(docs, key=DEMONSTRATION_KEY).join(found, "doc_id", "left").join(docs.select("doc_id", "text"), "doc_id")
+    same = F.coalesce(F.length("masked_text") == F.length("text") - F.coalesce("less", F.lit(0)), F.col("text").isNull())
+    untouched = (F.col("mention_count") > 0) | F.coalesce((F.col("masked_text") == F.col("text")) & (F.col("surrogate_text") == F.col("text")), F.col("text").isNull())
+    gone = ~F.coalesce(F.exists("mails", lambda m: F.col("masked_text").contains(m) | F.col("surrogate_text").contains(m)), F.lit(False))
+    return rows.agg(F.count("*").alias("texts"), F.count_if(same).alias("right_length"), F.count_if(untouched).alias("rest_untouched"), F.count_if(gone).alias("mails_gone"))
+
+
+def p1_pieces_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each oversized chunk: its characters, whether the pieces are in order and within the limit, overlap by no more than allowed,
+    and give the text when put together."""
+    pieces = p1_pieces(spark, sf_dir)
+    texts = _table(spark, sf_dir, "semantic_chunks").select("chunk_id", "text").distinct()
+    ordered = pieces.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "text"))).alias("p")).join(texts, "chunk_id")
+    fits = F.forall("p", lambda x: (F.length(x["text"]) <= 1300) & (x["text"] == F.substring(F.col("text"), x["start_pos"] + 1, x["end_pos"] - x["start_pos"])))
+    steps = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: (b["start_pos"] > a["start_pos"]) & (b["start_pos"] <= a["end_pos"]) & (a["end_pos"] - b["start_pos"] <= 300) & (b["end_pos"] > a["end_pos"]))
+    whole = (F.col("p")[0]["start_pos"] == 0) & (F.try_element_at("p", F.lit(-1))["end_pos"] == F.length("text"))
+    return ordered.select("chunk_id", F.length("text").alias("chars"), fits.alias("fits"), F.forall(steps, lambda x: x).alias("overlaps"), whole.alias("whole"))
+
+
+def p7_shares_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source of the weights: its share and cap, and whether the mix keeps the cap and takes no more than there is."""
+    from gleanery.llm.mixing import mix
+
+    mixed, report = mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "source_weights"))
+    caps = mixed.groupBy("source").agg(F.max("copies").alias("copies"), F.count("*").alias("texts"), F.countDistinct("doc_id").alias("ids"))
+    rows = report.where("target_share > 0 OR max_repeats IS NOT NULL").join(caps, "source", "left")
+    kept = F.coalesce(F.col("copies") <= F.col("max_repeats"), F.lit(True))
+    return rows.select("source", F.round("target_share", 6).alias("target_share"), "max_repeats", kept.alias("cap_kept"), (F.coalesce("texts", F.lit(0)) == F.coalesce("ids", F.lit(0))).alias("once_each"), F.coalesce(F.col("mix_tokens") <= F.col("available_tokens") * F.coalesce("max_repeats", F.lit(1 << 30)), F.lit(True)).alias("enough"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_recall, p3_found, p3_kinds, p4_found, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_redacted, p1_pieces_kept, p7_shares_kept, p8_redacted_kept)}
