@@ -21,8 +21,11 @@ from gleanery.llm.arrow import map_batches
 PASSAGE, K = 12, 6
 #: Kept hashes of the evaluation items that may be sent to every task; beyond it they are joined by a shuffle.
 BROADCAST_PRINTS = 1_000_000
+#: Documents that meet the items of one kept hash in one place.
+BLOCK = 4_096
 
-_TAG = re.compile(r"<[^<>]{0,400}>")
+# short ones with anything in them, and those of any length that open like a tag
+_TAG = re.compile(r"<[^<>]{0,400}>|<[A-Za-z/!?][^<>]*>")
 _REF = re.compile(r"\[\s*\d{1,4}(?:\s*[,;–-]\s*\d{1,4})*\s*\]")
 _HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _MARKS = re.compile("[̀-゙゚ͯ]")
@@ -156,7 +159,12 @@ def leaks(documents: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("qu
 
         left = prints_of(docs, 1, f"doc {doc_type}").select("doc", F.explode("prints").alias("print"))
         right = prints_of(stacked, 2, f"item {item_type}, field string").select("item", "field", F.explode("prints").alias("print"))
-        pairs = left.join(right, "print").select("doc", "item", "field").distinct()
+        # only hashes that both sides keep go on; documents of a hash that very many have meet its items in blocks
+        left = left.join(right.select("print").distinct(), "print", "left_semi")
+        sizes = left.groupBy("print").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        left = left.join(sizes, "print").select("doc", "print", F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"))
+        right = right.join(sizes, "print").select("item", "field", "print", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        pairs = left.join(right, ["print", "block"]).select("doc", "item", "field").distinct()
         texts = pairs.join(docs, "doc").join(stacked.withColumnRenamed("text", "gold"), ["item", "field"]).select("doc", "item", "field", "text", "gold")
 
         def verify():
@@ -167,7 +175,12 @@ def leaks(documents: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("qu
                 for d, i, f, t, g in zip(*(batch.column(c).to_pylist() for c in range(5))):
                     a, b = h.of(passage_words(t)), h.of(passage_words(g))
                     (p, at), (q, where) = winnow(a, passage, k), winnow(b, passage, k)
-                    n = max((longest_run(a, int(x), b, int(y))[0] for u, x in zip(p, at) for v, y in zip(q, where) if u == v), default=0)
+                    n, seen = 0, {}
+                    for v, y in zip(q.tolist(), where.tolist()):
+                        seen.setdefault(v, []).append(y)
+                    for u, x in zip(p.tolist(), at.tolist()):
+                        for y in seen.get(u, ()):
+                            n = max(n, longest_run(a, x, b, y)[0])
                     if n >= passage:
                         rows.append((d, i, f, n))
                 return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(4)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 # Words of a passage: without invisible characters, tags and bracketed reference numbers.
 _HIDDEN = r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]"
-_PLAIN = rf"regexp_replace(regexp_replace(regexp_replace(%s, '{_HIDDEN}', '', 'g'), '<[^<>]{{0,400}}>', ' ', 'g'), '\[\s*[0-9]{{1,4}}(\s*[,;–-]\s*[0-9]{{1,4}})*\s*\]', ' ', 'g')"
+_PLAIN = rf"regexp_replace(regexp_replace(regexp_replace(%s, '{_HIDDEN}', '', 'g'), '<[^<>]{{0,400}}>|<[A-Za-z/!?][^<>]*>', ' ', 'g'), '\[\s*[0-9]{{1,4}}(\s*[,;–-]\s*[0-9]{{1,4}})*\s*\]', ' ', 'g')"
 _WORDS = rf"regexp_extract_all(lower({_PLAIN}), '[\p{{L}}\p{{N}}]+')"
 
 

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from gleanery.llm import leaks as leaks_module
 from gleanery.llm.leaks import leaks, passage_words, winnow
 
 RNG = random.Random(3)
@@ -78,3 +79,20 @@ def test_empty_tables(spark):
     assert leaks(some, g.limit(0)).count() == 0 and leaks(some, g.limit(0), broadcast_prints=-1).count() == 0
     with pytest.raises(ValueError):
         leaks(some, g, passage=1)
+
+
+def test_long_tags_do_not_break_a_passage():
+    tag = f"<span style='{'x: y; ' * 200}'>"
+    assert len(tag) > 400 and passage_words(f"one {tag}two</span> three") == ["one", "two", "three"]
+    assert passage_words("less < " + "than " * 100 + "> more")[0:2] == ["less", "than"]  # prose between signs far apart stays
+
+
+def test_a_hash_that_most_documents_have_is_met_in_blocks(spark, monkeypatch):
+    """Boilerplate of an item in most documents, by the way of large item sets."""
+    monkeypatch.setattr(leaks_module, "BLOCK", 5)
+    passage = "the company makes no promise that any of this will come to pass as said here"
+    rows = [(i, f"{passage} doc {i}") for i in range(60)] + [(100, "nothing of it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([("a", passage, None, None), ("b", None, passage.upper(), "x")], "question_id string, question string, expected_answer string, answer string")
+    found = {(r["doc_id"], r["question_id"]) for r in leaks(df, items, broadcast_prints=-1).collect()}
+    assert found == {(i, q) for i in range(60) for q in "ab"}
