@@ -15,6 +15,13 @@ def _grams(key: str, source: str, size: int) -> str:
 
 _FIELDS = " UNION ALL ".join(f"SELECT question_id, {f} AS text FROM gold_questions" for f in ("question", "expected_answer", "answer"))
 
+def _places(key: str, source: str, size: int) -> str:
+    """The same with the place of each run."""
+    return f"SELECT DISTINCT {key}, i, array_to_string(w[i : i + {size - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {size - 2})) AS i FROM ({source}))"
+
+
+_TEXTS = " UNION ALL ".join(f"SELECT question_id, '{f}' AS field, {f} AS text FROM gold_questions" for f in ("question", "expected_answer", "answer"))
+
 # Characters that are words of their own; letters and digits of other scripts with their marks.
 _SINGLE = r"\x{3005}-\x{3007}\x{3041}-\x{30ff}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ff66}-\x{ff9f}\x{e00}-\x{e7f}\x{20000}-\x{323af}"
 _RUNS = rf"[{_SINGLE}]|(?:[^\P{{L}}{_SINGLE}]|[^\P{{N}}{_SINGLE}]|[^\P{{M}}{_SINGLE}])+"
@@ -44,4 +51,9 @@ SELECT chunk_id, class_id, group_id FROM k JOIN (SELECT id, min(g) AS group_id F
     "p6_found": f"""WITH d AS ({_grams("doc_id", "SELECT doc_id, " + _WORDS % "text" + " AS w FROM documents", 12)}),
 q AS ({_grams("question_id", "SELECT question_id, " + _WORDS % "text" + f" AS w FROM ({_FIELDS}) WHERE text IS NOT NULL", 12)})
 SELECT DISTINCT doc_id, question_id FROM d JOIN q USING (g)""",
+    "p6_items": f"""WITH d AS ({_places("doc_id", "SELECT doc_id, " + _WORDS % "text" + " AS w FROM documents", 12)}),
+q AS ({_places("question_id, field", "SELECT question_id, field, " + _WORDS % "text" + f" AS w FROM ({_TEXTS}) WHERE text IS NOT NULL", 12)}),
+h AS (SELECT DISTINCT d.doc_id, q.question_id, q.field, d.i - q.i AS shift, d.i FROM d JOIN q USING (g)),
+r AS (SELECT doc_id, question_id, count(*) + 11 AS words FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, question_id, field, shift ORDER BY i) AS island FROM h) GROUP BY doc_id, question_id, field, shift, island)
+SELECT question_id, count(DISTINCT doc_id) AS documents, CAST(max(words) AS INTEGER) AS longest_words FROM r GROUP BY question_id""",
 }

@@ -18,7 +18,7 @@ def test_recall_of_the_index(spark):
     assert QUERIES["p2_recall"](spark, DATA).first()["recall"] >= 0.9
 
 
-@pytest.mark.parametrize("name", ["p1_pieces", "p3_found", "p3_kinds", "p4_found", "p6_items", "p7_mix", "p7_shares", "p8_found", "p8_redacted"])
+@pytest.mark.parametrize("name", ["p1_pieces", "p3_found", "p3_kinds", "p4_found", "p7_mix", "p7_shares", "p8_found", "p8_redacted"])
 def test_queries_without_sql_give_rows(spark, name):
     if name.startswith("p7") and not os.path.exists("/opt/tokenizers/byte_bpe_50k.tiktoken"):
         pytest.skip("no vocabulary file here")
