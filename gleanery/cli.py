@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators import analysis, chunking, dense, evaluation, fusion, lexical, prompt, rerank, validation
+from gleanery.operators import analysis, chunking, dense, evaluation, fusion, prompt, rerank, validation
 from gleanery.providers import HashEmbedder, OverlapJudgeOfFour, embed_column
 from gleanery.session import cut, local_session
 from gleanery.sources import readers
@@ -84,7 +84,7 @@ def run_eval(store: IndexStore, args) -> int:
         gold = gold.orderBy("question_id").limit(args.limit)
     gold = cut(gold)
     corpus = collection_corpus(store, args.collection)
-    index = lexical.build(corpus, "id", "text")
+    index = store.words(args.collection)
     asked = gold.select(F.col("question_id").alias("query_id"), F.col("question").alias("query"))
     lists = gold.select(F.col("question_id").alias("query_id"), evaluation.all_gold("gold_chunk_ids", "primary_gold_chunk_ids", "supporting_gold_chunk_ids").alias("gold"), evaluation.all_gold("primary_gold_chunk_ids").alias("prime"))
     asked = cut(embed_column(asked, "query", HashEmbedder))
@@ -153,7 +153,7 @@ def main(argv: list[str] | None = None) -> int:
             raise ValueError("the question is blank")
         corpus = collection_corpus(store, args.collection)
         asked = spark.createDataFrame([("q", args.text)], "query_id string, query string")
-        row = prompt.answering(rerank.retriever(corpus, args.strategy, args.k), corpus, numbered=not args.bare)(asked).first()
+        row = prompt.answering(rerank.retriever(corpus, args.strategy, args.k, index=store.words(args.collection)), corpus, numbered=not args.bare)(asked).first()
         print(row["answer"])
         for c in row["chunks"]:
             print(f"{'*' if c['rank'] in row['cited_indices'] else ' '} [{c['rank']}] {c['id']}")

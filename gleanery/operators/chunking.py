@@ -34,16 +34,24 @@ def fixed_size(text: Column | str, size: int = FIXED_SIZE, overlap: int = FIXED_
     """Sentences packed up to ``size``; each chunk begins with the last sentences of the one before, up to ``overlap``."""
     start = F.struct(_none().alias("done"), _none().alias("cur"), F.lit(0).alias("n"))
 
+    def tail(cur: Column) -> Column:
+        """How many of the last sentences fit into the overlap, and their characters when joined: one walk from the end."""
+        none = F.struct(F.lit(0).alias("k"), F.lit(-1).alias("n"), F.lit(True).alias("open"))
+
+        def back(acc: Column, s: Column) -> Column:
+            n = acc["n"] + 1 + F.length(s)
+            fits = acc["open"] & (n <= overlap)
+            return F.struct(F.when(fits, acc["k"] + 1).otherwise(acc["k"]).alias("k"), F.when(fits, n).otherwise(acc["n"]).alias("n"), fits.alias("open"))
+
+        return F.aggregate(F.reverse(cur), none, back)
+
     def step(state: Column, s: Column) -> Column:
         cur, n = state["cur"], state["n"]
         room = n + F.length(s) + F.when(F.size(cur) > 0, 1).otherwise(0) <= size
-        first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(cur), F.lit(1))), lambda j: (F.size(cur) > 0) & (F.length(_joined(F.slice(cur, j, F.size(cur)))) <= overlap))
-        tail = F.when(F.size(first) > 0, F.slice(cur, F.coalesce(F.try_element_at(first, F.lit(1)), F.lit(1)), F.greatest(F.size(cur), F.lit(1)))).otherwise(_none())
-        begun = F.concat(tail, F.array(s))
-        packed = F.concat(cur, F.array(s))
-        return F.when(room, F.struct(state["done"].alias("done"), packed.alias("cur"), F.length(_joined(packed)).alias("n"))).otherwise(
-            F.struct(F.when(F.size(cur) > 0, F.concat(state["done"], F.array(_joined(cur)))).otherwise(state["done"]).alias("done"), begun.alias("cur"), F.length(_joined(begun)).alias("n"))
-        )
+        packed = F.struct(state["done"].alias("done"), F.concat(cur, F.array(s)).alias("cur"), (n + F.length(s) + F.when(F.size(cur) > 0, 1).otherwise(0)).alias("n"))
+        done = F.when(F.size(cur) > 0, F.concat(state["done"], F.array(_joined(cur)))).otherwise(state["done"])
+        begun = F.transform(F.array(tail(cur)), lambda t: F.struct(done.alias("done"), F.concat(F.slice(cur, F.size(cur) - t["k"] + 1, t["k"]), F.array(s)).alias("cur"), (t["n"] + 1 + F.length(s)).alias("n")))
+        return F.when(room, packed).otherwise(begun[0])
 
     return F.aggregate(T.sentences(text), start, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(_joined(s["cur"])))).otherwise(s["done"]))
 

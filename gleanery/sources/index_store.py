@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 from py4j.protocol import Py4JError
 
+from gleanery.operators import lexical
 from gleanery.providers import Embedder, HashEmbedder, embed_column
 from gleanery.session import cut
 
+#: What the folder of the BM25 index has behind the name of its collection.
+WORDS = ".words"
+
 
 def normalise_metadata(metadata: Column, schema: StructType) -> Column:
     """A metadata struct with '' in place of null texts; arrays, maps and structs become JSON, other values stay."""
@@ -61,8 +65,16 @@ class IndexStore:
             raise ValueError(f"chunk id {twice[0]['chunk_id']!r} comes more than once")
         rows = chunks.select("chunk_id", F.col("text").alias("document"), normalise_metadata(F.col("metadata"), chunks.schema["metadata"].dataType).alias("metadata"))
         embed_column(rows, "document", embedder, batch_size).write.mode("overwrite").parquet(self.path(name))
+        lexical.build(self.open(name), "chunk_id", "document").save(self.path(name) + WORDS)
         return True
 
+    def words(self, name: str) -> lexical.Index:
+        """The BM25 index of a collection, which was written with it; one that is missing is made and written."""
+        folder = self.path(name) + WORDS
+        if not self.populated(f"{name}{WORDS}/stats"):
+            lexical.build(self.open(name), "chunk_id", "document").save(folder)
+        return lexical.load(self.spark, folder)
+
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Chunks as JSON lines, one folder a strategy."""

@@ -86,6 +86,10 @@ def test_store_embeds_once(spark, tmp_path):
     assert store.build("x", rows("a")) and not store.build("x", rows("b")) and store.build("x", rows("b"), force=True)
     row = store.open("y", fallback="x").first()
     assert (row["chunk_id"], row["metadata"]["part"], len(row["embedding"])) == ("b", "", 96)
+    from gleanery.operators import lexical
+
+    asked = spark.createDataFrame([("q", "text b")], "query_id string, query string")
+    assert [r["id"] for r in lexical.search(store.words("x"), asked, 2).collect()] == ["b"]
     with pytest.raises(ValueError):
         store.build("z", rows("a", "a"))
     assert not store.populated("z")
