@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import schemas
+from gleanery.operators import html
+from gleanery.operators import sections as sections_
 
 
 def read_html(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -24,6 +26,15 @@ def read_html(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select("path", base.alias("base"), text.alias("html")).join(shared, "base", "left").select("path", name.alias("source_file"), "html")
 
 
+def read_section_dumps(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Sections kept as plain text, "Item N - Title" above each and a blank line between: ``path``, ``filer`` (the folder), ``source_file``
+    and the columns of ``extract_sections``. Headings within a section are read as in a page."""
+    raw = spark.read.format("text").option("wholetext", True).load(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    found = sections_.extract_sections(html.line_nodes(raw, "path")).withColumnRenamed("doc", "path")
+    parts = F.split("path", "/")
+    return found.select("path", F.element_at(parts, -2).alias("filer"), F.element_at(parts, -1).alias("source_file"), *[c for c in found.columns if c != "path"])
+
+
 def html_paths(folder: str, names: list[str] | None = None) -> list[str]:
     """The files named, or all pages of a folder in order. A name may leave out the folder and the ending."""
     if not names:

@@ -67,6 +67,21 @@ def test_readers(spark, tmp_path):
     assert [(r["doc_id"], r["metadata"]["company"]) for r in d] == [("A.html::::Item 1", "Z")]
 
 
+def test_section_dumps(spark, tmp_path):
+    folder = tmp_path / "Quill"
+    folder.mkdir()
+    (folder / "part_iii.txt").write_text("Item 10 - Directors, Executive Officers and Governance\nThe facts required here are in our proxy statement, incorporated herein by reference.\n\nItem 11 - Executive Pay\nSee\nthe proxy.\n")
+    (folder / "part_iv.txt").write_text("Item 15 - Exhibits\n(a)\nlist\n\nItem 16 - Form Summary\nNone.\n27\nReport of Independent Registered Public Accounting Firm\nWe have audited the mill.\n")
+    got = readers.read_section_dumps(spark, [str(folder / "part_iii.txt"), str(folder / "part_iv.txt")]).orderBy("source_file", "seg").collect()
+    assert [(r["filer"], r["source_file"], r["part"], r["item"], r["title"], r["text"], r["incorporated_by_reference"]) for r in got] == [
+        ("Quill", "part_iii.txt", "PART III", "Item 10", "Directors, Executive Officers and Governance", "The facts required here are in our proxy statement, incorporated herein by reference.", True),
+        ("Quill", "part_iii.txt", "PART III", "Item 11", "Executive Pay", "See\nthe proxy.", False),
+        ("Quill", "part_iv.txt", "PART IV", "Item 15", "Exhibits", "(a)\nlist", False),
+        ("Quill", "part_iv.txt", "PART IV", "Item 16", "Form Summary", "None.\n27", False),
+        ("Quill", "part_iv.txt", "PART II", "Item 8", "Report of Independent Registered Public Accounting Firm", "We have audited the mill.", False),
+    ]
+
+
 def test_pages_of_one_name_stay_apart(spark, tmp_path):
     for folder, word in (("one", "alpha"), ("two", "beta")):
         (tmp_path / folder).mkdir()
