@@ -68,8 +68,9 @@ def _nearest(x: np.ndarray, c: np.ndarray, less: np.ndarray | float) -> tuple[np
     step = max(1, CELLS // len(c))
     for a in range(0, len(x), step):
         s = x[a : a + step] @ c.T - less
-        at[a : a + step] = s.argmax(1)
-        best[a : a + step] = s.max(1)
+        near = s.argmax(1)
+        at[a : a + step] = near
+        best[a : a + step] = s[np.arange(len(near)), near]
     return at, best
 
 
@@ -474,7 +475,6 @@ def _for_ids(src: DataFrame, answers: DataFrame, k: int, dim: int) -> DataFrame:
 
     def met(ids: DataFrame) -> DataFrame:
         hot = ids.groupBy("h1", "h2").count().where(F.col("count") > BLOCK).select("h1", "h2", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-        hot = cut(hot)  # at most one for each BLOCK of ids
         salted = ids.join(hot, ["h1", "h2"], "left").select("id", "h1", "h2", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), "blocks")).cast("int").alias("block"))
         spread_ = answers.join(hot, ["h1", "h2"], "left").select("h1", "h2", "near", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
         return salted.join(spread_, ["h1", "h2", "block"]).select("id", F.filter("near", lambda x: x["neighbour"] != F.col("id")).alias("near"))
