@@ -51,6 +51,16 @@ def test_bm25_negative_scores_and_ties(spark):
     assert lexical.search(index, q.limit(0), 5).count() == 0
 
 
+def test_bm25_of_many_queries_goes_by_the_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common") for i in range(40)], "id int, text string")
+    q = spark.createDataFrame([(i, f"w{i} common") for i in range(7)], "query_id int, query string")
+    index = lexical.build(docs, "id", "text")
+    few = sorted(map(tuple, lexical.search(index, q, 4).collect()))
+    monkeypatch.setattr(lexical, "SENT_QUERIES", 3)
+    many = lexical.search(index, q, 4)
+    assert "Join" in many._jdf.queryExecution().optimizedPlan().toString() and sorted(map(tuple, many.collect())) == few
+
+
 def test_bm25_index_is_written_and_read(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red apple"), (2, "green apple pie"), (3, "blue sky"), (4, "sky")], "id int, text string")
     q = spark.createDataFrame([(1, "green apple"), (2, "sky")], "query_id int, query string")
