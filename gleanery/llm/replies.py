@@ -89,7 +89,8 @@ _JA = r"(?:資料|文書|抜粋|文脈|本文|コンテキスト|テキスト|
 # Refusals, by language.
 REFUSALS = [
     # the speaker cannot or will not
-    r"\bi(?:['’]m| am)? (?:(?:really|simply|just|also|truly|afraid i) )?(?:cannot|can['’]?t|can not|won['’]t|will not|wouldn['’]t|couldn['’]t|could not|unable|not able|not allowed|not permitted|not in a position|in no position|not authori[sz]ed|must decline|have to decline|decline|refuse|would rather not|prefer not|don['’]t know|do not know|don['’]t have|do not have|have no|haven['’]t|lack|am not sure|was(?:n['’]t| not) able|was unable|found (?:no|nothing)|could find (?:no|nothing)|find (?:no|nothing)|see (?:no|nothing)|would need|need (?:more|further|additional))\b",
+    r"\bi(?:['’]m| am)? (?:(?:really|simply|just|also|truly|afraid i) )?(?:cannot|can['’]?t|can not|won['’]t|will not|wouldn['’]t|couldn['’]t|could not|unable|not able|not allowed|not permitted|not in a position|in no position|not authori[sz]ed|must decline|have to decline|decline|refuse|would rather not|prefer not|don['’]t know|do not know|don['’]t have|do not have|have no|haven['’]t|lack|am not sure|was(?:n['’]t| not) able|was unable|found (?:no|nothing)|could find (?:no|nothing)|find (?:no|nothing)|see (?:no|nothing)|would need|need (?:more|further|additional)|(?:don['’]t|do not|cannot|can['’]t) see)\b",
+    r"\bi (?:\w+ ){0,9}?(?:found|find|saw|see) (?:no|nothing|none)\b",
     r"\b(?:not possible|impossible|no way|beyond my|outside my) (?:for me )?(?:to|reach|scope|remit|knowledge|ability)?",
     r"\b(?:lies|is|falls|goes) (?:outside|beyond) (?:of )?(?:what i|my)\b",
     r"\bmy (?:instructions|guidelines|sources|training|knowledge|rules|policy|policies) (?:\w+ ){0,3}?(?:rule|forbid|stop|end|prevent|prohibit|do not|don['’]t|exclude)",
@@ -115,9 +116,11 @@ REFUSALS = [
     r"\b(?:lässt|lassen) sich (?:\w+ ){0,6}?nicht\b", r"\b(?:enthalten|enthält|liefern|bieten|geben|finde[nt]?|liegen) (?:\w+ ){0,4}?(?:keine?|nicht)\b[^.]{0,40}(?:angaben|information|hinweis|auskunft|zu |über|antwort|vor)", r"\bkeine (?:auskunft|antwort|angaben|informationen)\b", r"\btut mir leid\b", r"\bschweigen (?:dazu|sich|hierzu)\b", r"\bich (?:\w+ ){0,2}?lieber nicht\b", r"\bbin (?:ich )?(?:leider )?nicht in der lage\b", r"\bnicht (?:beantworten|beantwortet)\b", r"\bkeine[rs]? der (?:auszüge|textstellen|passagen)\b",
     r"\b" + _QUELLE + r"\b[^.;]{0,50}\b(?:nicht|nichts|nirgends|kein(?:e[nrsm]?)?)\b[^.;]{0,30}?\b(?:hervor\w*|ersichtlich|erwähn\w*|genannt|enthalten|angegeben|aufgeführt|beantwort\w*|festst\w*|ermitteln|bestimmen|entnehmen|finden|bekannt|angabe\w*|hinweis\w*|aussage\w*|antwort|information\w*|dazu|hierzu|darüber)",
     r"\b(?:nicht|nichts|nirgends|keine?)\b[^.;]{0,30}\b(?:in|aus|anhand|laut) (?:den|dem|der|diesen) (?:\w+ ){0,2}?" + _QUELLE + r"\b[^.;]{0,20}(?:$|[.])", r"\b(?:dazu|hierzu|darüber) (?:\w+ ){0,4}?(?:nichts|keine)\b", r"\b" + _QUELLE + r"\b (?:\w+ ){0,2}?schweig\w+",
+    r"\b(?:nennen|nennt|enthalten|enthält|liefern|liefert|bieten|bietet|geben|gibt|machen|macht) (?:\w+ ){0,2}?" + _QUELLE + r"\b[^.;]{0,25}\b(?:kein(?:e[nrsm]?)?|nichts|nicht)\b", r"\b" + _QUELLE + r"\b[^.;]{0,40}\bkein(?:e[nrsm]?)? (?:\w+ )?(?:aufschluss|betrag|zahl|zahlen|wert|werte|datum|daten|name|namen)\b", r"\b" + _QUELLE + r"\b[^.;]{0,25}\b(?:offen|unklar|unbeantwortet)\b",
     # French
     r"\bje (?:ne |n['’])(?:\w+ )?(?:peux|puis|suis|saurais|sais|dispose|ai|trouve|souhaite|pourrai|vois)\b", r"\b(?:je suis )?désolée?\b", r"\baucune? (?:passage|extrait|information|réponse|document|source|élément|donnée|indication|mention)", r"\bne (?:permet|permettent|contient|contiennent|mentionne|mentionnent|fournit|fournissent|précise|précisent|traite|traitent|comporte|comportent|suffit|suffisent) (?:pas|aucun)", r"\bimpossible (?:de|pour moi)\b", r"\bpas en mesure\b", r"\bje préfère (?:ne pas|m['’]abstenir)\b", r"\b(?:muets?|silencieux|muettes?) (?:sur|à ce sujet)\b",
     r"\b" + _EXTRAIT + r"\b[^.;]{0,40}\bn(?:e |['’])\w+ (?:\w+ ){0,2}?(?:pas|rien|aucune?|nulle part)\b", r"\bn(?:e |['’])(?:\w+ ){1,3}?(?:pas|rien|nulle part)\b[^.;]{0,30}\b(?:dans|par|parmi) (?:les|le|ces|ce|l['’])\s?(?:\w+ )?" + _EXTRAIT,
+    r"\brien (?:\w+ ){0,2}?(?:dans|parmi) (?:les|ces|le|l['’])\s?(?:\w+ )?" + _EXTRAIT,
     # Spanish
     r"\bno (?:me )?(?:puedo|podría|sé|dispongo|tengo|estoy en|soy capaz|es posible|cuento|encuentro|deseo|veo)\b", r"\blo siento\b", r"\blamento\b", r"\bprefier[oe] no\b", r"\b(?:me )?(?:resulta|es) imposible\b", r"\bning(?:ún|una|uno)\b[^.]{0,40}(?:fragmento|pasaje|extracto|documento|texto|información|fuente|dato)", r"\b" + _PASAJE + r"\b[^.;]{0,40}\bno (?:\w+ )?(?:contienen?|permiten?|mencionan?|incluyen?|ofrecen?|dicen?|tratan?|bastan?|aportan?|hablan?|indican?|especifican?|recogen?|figuran?|aparecen?|consta)", r"\bno (?:hay|se (?:puede|encontró|encuentra|dispone)) (?:\w+ ){0,3}?(?:información|respuesta|datos|responder)", r"\bno (?:\w+ ){0,2}?(?:figura|aparece|consta|menciona|indica|especifica|encuentra)\b[^.;]{0,30}\b(?:en|por) (?:los|las|el|la|estos) (?:\w+ )?" + _PASAJE, r"\bnada (?:\w+ ){0,3}?(?:en|sobre) (?:los|las|el|la|estos|ello|eso)\b",
 ]
@@ -133,7 +136,7 @@ _REFUSAL_WIDE = re.compile("|".join(f"(?:{x})" for x in REFUSALS_WIDE))
 # Words of which every refusal in Latin script has one ("t" and "n" are what an apostrophe leaves of them).
 HINTS = frozenset("""not cannot cant t no nothing none neither nowhere never unable impossible unclear hard sorry decline refuse omit omits lack lacks
 leave leaves silent mute quiet fail fails beyond outside my ai language please could can insufficient little other another different unrelated need needed
-required necessary unavailable unknown nicht nichts nirgends kein keine keinen keiner keines keinem leid schweigen schweigt ne n désolé désolée aucun aucune
+required necessary unavailable unknown nicht nichts nirgends kein keine keinen keiner keines keinem leid schweigen schweigt offen unklar unbeantwortet rien ne n désolé désolée aucun aucune
 impossible pas préfère muet muets muette muettes silencieux siento lamento prefiero prefiere imposible ningún ninguna ninguno nada""".split())
 
 # Words that go with repeating a question.
@@ -295,6 +298,8 @@ def is_other_language(question: str | None, answer: str, left: str | None = None
 # What may stand before a refusal that a filing or a firm tells of itself.
 _TELLER = re.compile(r"\b(?:states?|stated|says?|said|reports?|reported|warns?|adds?|notes?|noted|believes?|expects?|it|they|management|company|he|she|who)\s+(?:that\s+)?(?:it\s+|they\s+|he\s+|she\s+)?(?:is\s+|are\s+|was\s+|were\s+)?$", re.I)
 _ME = re.compile(r"\b(?:i|me|my)\b", re.I)
+# what a reply says of its sources it says for itself
+_SOURCE = re.compile(r"\b" + _SRC + r"\b", re.I)
 
 
 def is_refusal(answer: str, left: str | None = None) -> bool:
@@ -311,7 +316,7 @@ def is_refusal(answer: str, left: str | None = None) -> bool:
         # what a filing or a firm says of itself is a reply; sentences that open so are passed over
         for m in pattern.finditer(text):
             start = max(text.rfind(s, 0, m.start()) for s in (". ", "! ", "? ", "。", "\n"))
-            if _ME.search(m.group()) or not _TELLER.search(text[start + 1 : m.start()]):
+            if _ME.search(m.group()) or _SOURCE.search(m.group()) or not _TELLER.search(text[start + 1 : m.start()]):
                 return True
     return False
 
