@@ -1,6 +1,8 @@
-"""Refusals and replies written apart from the tables and from the dictionaries; what they give is stated in the README.
+"""Refusals and replies that are in no table; what they give is stated in the README.
 
-The dictionaries were extended for the refusals of the first list that they had missed; the second list came after that."""
+They were written by the hand that wrote the dictionaries, after them and before either was run on the other; three of the
+first refusals and the first of the replies were known examples. The dictionaries were extended for the refusals of the first
+list that they had missed; the second list came after that."""
 
 from gleanery.llm.replies import is_copy, is_other_language, is_refusal
 
