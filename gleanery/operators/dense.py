@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gleanery.operators.best import Best
 from gleanery.session import cut, map_arrow
 
 #: Query vectors of one product, and those sent to the tasks at once (768 bytes each at 96 numbers).
 BLOCK, SENT = 2_048, 65_536
+#: Rows of the corpus in one product, what a cosine may be off by before it is rounded, and tasks for each core.
+ROWS, SLACK, TASKS = 1_024, 2e-6, 3
 
 
 def predicate(where: dict, field: str | None = None) -> Column:
@@ -68,6 +71,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, dim: int = 96, id_col
         parts = -(-asked.count() // SENT)
         sent = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).toArrow() for p in range(parts))
     spark = corpus.sparkSession
+    src = src.coalesce(TASKS * spark.sparkContext.defaultParallelism)  # what comes out grows with the tasks
     found = None
     for rows in sent:
         at, q = _unit(rows.column("v"), dim)
@@ -84,7 +88,7 @@ def _nearest(sent, k: int, dim: int, block: int):
     def run(batches):
         q_ids, unit = sent.value
         n = len(unit)
-        best: list = [None] * -(-n // block)
+        best = [Best(len(unit[b : b + block]), k) for b in range(0, n, block)]
         for batch in batches:
             at, x = _unit(batch.column(1), dim)
             if not len(x) or not n:
@@ -93,20 +97,22 @@ def _nearest(sent, k: int, dim: int, block: int):
             # ties by id: a stable order by id, then the least distances
             order = np.array(pc.sort_indices(names))
             names, x = names.take(pa.array(order)), x[order]
-            for b in range(len(best)):
-                q = unit[b * block : (b + 1) * block]
-                s = np.round(1 - q @ x.T, 6) + 0.0  # no negative zero
-                t = np.argsort(s, axis=1, kind="stable")[:, :k]
-                d, row = np.take_along_axis(s, t, 1).ravel(), np.repeat(np.arange(len(q)), t.shape[1])
-                ids = names.take(pa.array(t.ravel()))
-                if best[b] is not None:
-                    row, d, ids = np.concatenate([best[b][0], row]), np.concatenate([best[b][1], d]), pa.concat_arrays([best[b][2], ids])
-                    o = np.lexsort((pc.rank(ids, tiebreaker="first").to_numpy(), d, row))
-                    o = o[np.arange(len(o)) - np.searchsorted(row[o], row[o], "left") < k]
-                    row, d, ids = row[o], d[o], ids.take(pa.array(o))
-                best[b] = row, d, ids
+            for a in range(0, len(x), ROWS):
+                ids = names.slice(a, ROWS)
+                for b, found in enumerate(best):
+                    near = unit[b * block : (b + 1) * block] @ x[a : a + ROWS].T
+                    # a query that has k is only concerned by those that are as near as its last
+                    row, t = np.nonzero(near >= 1 - SLACK - found.bar[:, None])
+                    if len(t) > 4 * k * len(near):
+                        s = np.round(1 - near, 6)
+                        t = np.argsort(s, axis=1, kind="stable")[:, :k]
+                        row, t = np.repeat(np.arange(len(t)), t.shape[1]), t.ravel()
+                    d = np.round(1 - near[row, t], 6) + 0.0  # no negative zero
+                    good = d <= found.bar[row]
+                    found.add(row[good], d[good], ids.take(pa.array(t[good])))
         for b, found in enumerate(best):
-            if found is not None:
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(found[0] + b * block)), found[2], pa.array(found[1])], names=["query_id", "id", "distance"])
+            found.merge()
+            for row, d, ids in found.held:
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row + b * block)), ids, pa.array(d)], names=["query_id", "id", "distance"])
 
     return run

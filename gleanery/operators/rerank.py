@@ -15,6 +15,9 @@ from gleanery.operators import dense, fusion, lexical
 from gleanery.providers import Embedder, HashEmbedder, OverlapScorer, PairScorer, embed_column
 
 
+#: Ids of candidates that go out to the texts at most.
+SENT = 262_144
+
 STRATEGIES = ("semantic", "bm25", "hybrid", "hybrid_rerank")
 
 
@@ -36,6 +39,14 @@ def rerank(candidates: DataFrame, k: int = 5, make: Callable[[], PairScorer] = O
     return map_arrow(src, run, schema).withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
 
 
+def with_texts(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Candidates with the ``text`` of their ``id``. A bounded number of ids goes out to the corpus, so that only their texts are shuffled."""
+    ids, texts = candidates.select("id").distinct(), corpus.select("id", "text")
+    if ids.limit(SENT + 1).count() <= SENT:
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
+    return candidates.join(texts, "id")
+
+
 def retriever(corpus: DataFrame, strategy: str, k: int = 5, pool: int = 20, embedder: Callable[[], Embedder] = HashEmbedder, scorer: Callable[[], PairScorer] | None = OverlapScorer, dim: int = 96, where: dict | None = None, index: lexical.Index | None = None, missing_rank: int | None = None, rank_base: int = 1) -> Callable[[DataFrame], DataFrame]:
     """A function from queries (``query_id``, ``query``, optionally ``embedding``) to hits (``query_id``, ``id``, ``rank``, ``score``).
 
@@ -73,7 +84,7 @@ def retriever(corpus: DataFrame, strategy: str, k: int = 5, pool: int = 20, embe
         fused = fusion.reciprocal_rank(vectors(), words(), depth, missing_rank=missing_rank, rank_base=rank_base)
         if strategy == "hybrid" or scorer is None:
             return fused.where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
-        texts = fused.select("query_id", "id").join(corpus.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
-        return rerank(texts, k, scorer)
+        fused = cut(fused.select("query_id", "id"))  # read for its ids and for its rows
+        return rerank(with_texts(fused.join(queries.select("query_id", "query"), "query_id"), corpus), k, scorer)
 
     return run

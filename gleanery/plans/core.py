@@ -11,7 +11,7 @@ from gleanery.functions import text as T
 from gleanery.functions import vector as V
 from gleanery.operators import analysis, chunking, dense, evaluation, fusion, html, lexical, prompt, rerank, sections, validation
 from gleanery.providers import NOT_FOUND, HashEmbedder, OverlapJudgeOfFour, OverlapScorer, embed_column
-from gleanery.session import cut, spread
+from gleanery.session import cut, cut_packed, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -237,23 +237,26 @@ FROM (SELECT id AS query_id, {s_words("substr(text, 41)")} AS w FROM ({S_INDEXED
 S_LEGS = f"WITH {s_bm25(f'SELECT id, text FROM ({S_INDEXED})', S_SPANS, 20)}, {s_knn(f'SELECT id, embedding FROM ({S_INDEXED})', f'id IN (SELECT query_id FROM ({S_SPANS}))', 20, 96)}"
 
 
-def indexed(spark, sf_dir):
-    """Indexed chunks: ``id``, ``text``."""
-    i = table(spark, sf_dir, "semantic_index").select(F.col("vec_id").alias("id"), "chunk_id")
-    return i.join(corpus(spark, sf_dir).select(F.col("id").alias("chunk_id"), "text"), "chunk_id").select("id", "text")
+def indexed(spark, sf_dir, *more):
+    """Indexed chunks: ``id``, ``text`` and columns of the index."""
+    i = table(spark, sf_dir, "semantic_index").select(F.col("vec_id").alias("id"), "chunk_id", *more)
+    # the text alone, as all that is taken along is shuffled
+    texts = table(spark, sf_dir, "semantic_chunks").groupBy("chunk_id").agg(F.max_by("text", "loaded_at").alias("text"))
+    return i.join(texts, "chunk_id").select("id", "text", *more)
 
 
-def span_table(spark, sf_dir):
-    """Texts of the index, spans cut from a hundredth of them, with the vector of their text, and the table of vectors."""
-    docs = cut(indexed(spark, sf_dir))  # read for the spans, for the index of words and for reranking
-    v = table(spark, sf_dir, "semantic_index").select(F.col("vec_id").alias("id"), "embedding")
-    spans = cut(evaluation.spans(docs.where("id % 100 = 0")).join(v.withColumnRenamed("id", "query_id"), "query_id", "left"))
-    return docs, spans, v
+def span_table(spark, sf_dir, *more):
+    """Texts of the index, and spans cut from a hundredth of them, with the vector of their text."""
+    docs = cut_packed(indexed(spark, sf_dir, *more))  # read for the spans, for the index of words and for reranking
+    v = table(spark, sf_dir, "semantic_index").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    spans = cut(evaluation.spans(docs.where("id % 100 = 0")).join(v, "query_id", "left"))
+    return docs, spans
 
 
 def legs(spark, sf_dir, k=20):
     """Span queries with their lexical and dense hits, each list made once; the gold id of a span is the chunk it was cut from."""
-    docs, spans, v = span_table(spark, sf_dir)
+    docs, spans = span_table(spark, sf_dir)
+    v = table(spark, sf_dir, "semantic_index").select(F.col("vec_id").alias("id"), "embedding")
     x = cut(lexical.search(lexical.build(docs, "id", "text"), spans, k))
     d = cut(dense.knn(v, spans, k, 96, "id", "embedding", "query_id", "embedding"))
     return spans.select("query_id", "query"), x, d, docs
@@ -310,7 +313,7 @@ S_METRICS = "round(avg(coalesce(r <= 1, false)::INT), 4) AS recall_at_1, round(a
 
 
 def reranked(fused, docs, spans, k):
-    return rerank.rerank(fused.select("query_id", "id").join(docs.select("id", "text"), "id").join(spans, "query_id"), k, OverlapScorer)
+    return rerank.rerank(rerank.with_texts(fused.select("query_id", "id").join(spans, "query_id"), docs), k, OverlapScorer)
 
 
 def strategy_hits(spark, sf_dir):
@@ -396,9 +399,8 @@ def rerank_cascade(spark, sf_dir):
 
 
 def registry_hits(spark, sf_dir, strategies, k, **options):
-    docs, spans, v = span_table(spark, sf_dir)
-    corpus = docs.join(v, "id")
-    index = lexical.build(docs, "id", "text")
+    corpus, spans = span_table(spark, sf_dir, "embedding")
+    index = lexical.build(corpus, "id", "text")
     found = [rerank.retriever(corpus, s, k, index=index, **options)(spans).select(F.lit(s).alias("strategy"), "*") for s in strategies]
     return functools.reduce(DataFrame.union, found)
 
@@ -430,8 +432,8 @@ sc AS (SELECT q.query_id, q.query, s.strategy, (SELECT min(rank) FROM hits h WHE
 
 
 def evaluated(spark, sf_dir):
-    docs, spans, v = span_table(spark, sf_dir)
-    corpus, index = docs.join(v, "id"), lexical.build(docs, "id", "text")
+    corpus, spans = span_table(spark, sf_dir, "embedding")
+    index = lexical.build(corpus, "id", "text")
     gold = spans.select("query_id", F.array("query_id").alias("gold"), F.when(F.col("query_id") % 200 == 0, F.array("query_id")).otherwise(F.array().cast("array<bigint>")).alias("prime"))
     return evaluation.evaluate({s: rerank.retriever(corpus, s, 10, index=index) for s in STRATEGIES}, spans, gold)
 

@@ -61,6 +61,55 @@ def test_bm25_of_many_queries_goes_by_the_join(spark, monkeypatch):
     assert "Join" in many._jdf.queryExecution().optimizedPlan().toString() and sorted(map(tuple, many.collect())) == few
 
 
+def test_bm25_of_many_queries_with_frequent_words_goes_out_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} v{i % 3} common") for i in range(40)], "id int, text string").repartition(3)
+    q = spark.createDataFrame([(i, f"w{i} v{i % 4} common" if i else "none") for i in range(9)] + [(None, "w1"), (99, " ".join(f"w{i}" for i in range(50)))], "query_id int, query string")
+    index = lexical.build(docs, "id", "text")
+    few = sorted(map(str, lexical.search(index, q, 4).collect()))
+    monkeypatch.setattr(lexical, "SENT_QUERIES", 3)
+    monkeypatch.setattr(lexical, "JOINED", 20)
+    many = lexical.search(index, q, 4)
+    assert "Join" not in many._jdf.queryExecution().optimizedPlan().toString() and sorted(map(str, many.collect())) == few
+    # a single query over the bound in bytes is joined, the others are not
+    assert sorted(map(str, lexical.search(index, q, 4, sent_bytes=700).collect())) == few
+
+
+def test_bm25_leaves_out_words_that_tell_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "CELLS", 200)
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(400)])
+    share = 1 / np.arange(1, 401)
+    docs = {i: " ".join(rng.choice(words, 30, p=share / share.sum())) for i in range(500)}
+    asked = [(i, " ".join(docs[i].split()[:12])) for i in range(0, 500, 25)]
+    index = lexical.build(spark.createDataFrame(list(docs.items()), "id int, text string").repartition(2), "id", "text")
+    hits = lexical.search(index, spark.createDataFrame(asked, "query_id int, query string"), 5).collect()
+    for q, text in asked:
+        assert [r["id"] for r in sorted((r for r in hits if r["query_id"] == q), key=lambda r: r["rank"])] == brute_bm25(docs, text, 5), q
+
+
+def test_what_is_cut_packed_takes_little_disk(spark):
+    from pathlib import Path
+
+    from gleanery.session import checkpoint_dir, cut_packed
+
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("part-*"))
+    before = size()
+    rows = [(i, f"{i} " + "the same words again " * 200, [0.5, None]) for i in range(2000)]
+    kept = cut_packed(spark.createDataFrame(rows, "id int, text string, v array<float>"), rows=300)
+    assert sorted((r["id"], r["text"], r["v"]) for r in kept.collect()) == rows
+    assert size() - before < 1_000_000  # of 8 MB
+    assert cut_packed(kept.limit(0)).count() == 0
+
+
+def test_texts_of_candidates_with_and_without_sending_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "id int, text string")
+    candidates = spark.createDataFrame([(1, 3), (1, 7), (2, 3), (2, 99)], "query_id int, id int")
+    few = sorted(map(tuple, rerank.with_texts(candidates, docs).select("query_id", "id", "text").collect()))
+    monkeypatch.setattr(rerank, "SENT", 2)
+    assert sorted(map(tuple, rerank.with_texts(candidates, docs).select("query_id", "id", "text").collect())) == few == [(1, 3, "t3"), (1, 7, "t7"), (2, 3, "t3")]
+
+
 def test_bm25_index_is_written_and_read(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red apple"), (2, "green apple pie"), (3, "blue sky"), (4, "sky")], "id int, text string")
     q = spark.createDataFrame([(1, "green apple"), (2, "sky")], "query_id int, query string")
@@ -82,6 +131,20 @@ def test_knn_in_several_blocks_and_parts(spark, monkeypatch):
     assert [r[1] for r in whole if r[0] == 7 and r[2] > 0] and {r[1] for r in whole if r[0] == 7} == set(np.argsort(-(u @ u[7]))[:4].tolist())
 
 
+
+def test_knn_of_more_rows_than_one_product_and_of_many_as_near(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(2500, 4)), np.tile([1.0, 0, 0, 0], (1500, 1))])
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(rng.permutation(len(x)), x)], "vec_id int, embedding array<double>").coalesce(1)
+    rows = {r["vec_id"]: np.array(r["embedding"]) for r in df.collect()}
+    ids = np.array(sorted(rows))
+    unit = np.array([rows[i] / np.linalg.norm(rows[i]) for i in ids])
+    hits = dense.knn(df, df.where("vec_id % 40 = 0"), 6, 4).collect()
+    for q in range(0, 4000, 40):
+        d = np.round(1 - unit @ unit[q], 6)
+        assert [r["id"] for r in sorted((r for r in hits if r["query_id"] == q), key=lambda r: r["rank"])] == ids[np.lexsort((ids, d))[:6]].tolist(), q
+
+
 def test_knn_exact_ties_and_unusable(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, None), (8, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
