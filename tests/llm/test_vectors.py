@@ -167,3 +167,19 @@ def test_estimates_stay_within_their_error():
 def test_few_rows(spark, rows):
     x = np.eye(5)[:rows] + 0.1
     assert similar_vectors(table(spark, x), 5, 5).count() == rows * (rows - 1)
+
+
+def test_decoded_members_give_the_sums_over_the_tables():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3_000, 96)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vectors.Index(x[:2_000], len(x), 0.08)
+    slot = vectors.Slot(index, x, np.arange(len(x)), 6)
+    codes = index.encode(slot.x, slot.own)
+    q = x[:50]
+    summed = index.centroids[slot.own] @ q.T
+    for p in range(index.parts):
+        summed += (index.books[p] @ q[:, p * index.width : (p + 1) * index.width].T)[codes[:, p]]
+    assert np.abs(slot.decoded @ q.T - summed).max() < 1e-5
+    mask = rng.random((40, 7)) < 0.3
+    assert np.array_equal(vectors._where(mask), np.nonzero(mask))
