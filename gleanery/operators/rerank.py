@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,13 +49,37 @@ def with_texts(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     return candidates.join(texts, "id")
 
 
-def retriever(corpus: DataFrame, strategy: str, k: int = 5, pool: int = 20, embedder: Callable[[], Embedder] = HashEmbedder, scorer: Callable[[], PairScorer] | None = OverlapScorer, dim: int = 96, where: dict | None = None, index: lexical.Index | None = None, missing_rank: int | None = None, rank_base: int = 1) -> Callable[[DataFrame], DataFrame]:
+@dataclass
+class Lists:
+    """Ranked lists that retrievers of one corpus, filter, index and embedder share: each is made once for a set of queries, ``depth`` deep or deeper.
+
+    ``again`` sums up the seconds it took to make the lists that were not made again.
+    """
+
+    depth: int
+    again: float = 0
+    kept: dict[str, tuple[DataFrame, int, DataFrame, float]] = field(default_factory=dict)
+
+    def take(self, kind: str, queries: DataFrame, depth: int, make: Callable[[int], DataFrame]) -> DataFrame:
+        """The best ``depth`` of the list that ``make`` gives for a depth."""
+        asked, deep, hits, seconds = self.kept.get(kind, (None, 0, None, 0.0))
+        if asked is queries and deep >= depth:
+            self.again += seconds
+        else:
+            began, deep = time.perf_counter(), max(depth, self.depth)
+            hits = cut(make(deep))
+            self.kept[kind] = queries, deep, hits, time.perf_counter() - began
+        return hits.where(F.col("rank") <= depth)
+
+
+def retriever(corpus: DataFrame, strategy: str, k: int = 5, pool: int = 20, embedder: Callable[[], Embedder] = HashEmbedder, scorer: Callable[[], PairScorer] | None = OverlapScorer, dim: int = 96, where: dict | None = None, index: lexical.Index | None = None, missing_rank: int | None = None, rank_base: int = 1, lists: Lists | None = None) -> Callable[[DataFrame], DataFrame]:
     """A function from queries (``query_id``, ``query``, optionally ``embedding``) to hits (``query_id``, ``id``, ``rank``, ``score``).
 
     ``corpus`` has ``id``, ``text`` and ``embedding``. Strategies: ``bm25``, ``semantic``, ``hybrid`` and ``hybrid_rerank``, which
     fuses ``pool`` candidates and lets the scorer choose; without a scorer the best ``k`` of the fused pool come out as they are.
     ``index`` is a BM25 index of the corpus, by default made once when words are first needed. ``missing_rank`` and ``rank_base``
-    are those of the fusion. Only the stages a strategy needs are planned. A query must have a word to be embedded.
+    are those of the fusion. Only the stages a strategy needs are planned. A query must have a word to be embedded. Retrievers
+    that are given the same ``lists`` search once for the same queries.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -65,11 +91,17 @@ def retriever(corpus: DataFrame, strategy: str, k: int = 5, pool: int = 20, embe
         depth = pool if strategy == "hybrid_rerank" else k
 
         def words() -> DataFrame:
+            return lists.take("words", queries, depth, search) if lists else search(depth)
+
+        def vectors() -> DataFrame:
+            return lists.take("vectors", queries, depth, nearest) if lists else nearest(depth)
+
+        def search(depth: int) -> DataFrame:
             if not made:
                 made.append(lexical.build(corpus, "id", "text"))
             return lexical.search(made[0], queries, depth)
 
-        def vectors() -> DataFrame:
+        def nearest(depth: int) -> DataFrame:
             q = queries
             if "embedding" not in q.columns:
                 blank = F.coalesce(F.trim("query"), F.lit("")) == ""

@@ -400,8 +400,8 @@ def rerank_cascade(spark, sf_dir):
 
 def registry_hits(spark, sf_dir, strategies, k, **options):
     corpus, spans = span_table(spark, sf_dir, "embedding")
-    index = lexical.build(corpus, "id", "text")
-    found = [rerank.retriever(corpus, s, k, index=index, **options)(spans).select(F.lit(s).alias("strategy"), "*") for s in strategies]
+    index, lists = lexical.build(corpus, "id", "text"), rerank.Lists(20 if "hybrid_rerank" in strategies else k)
+    found = [rerank.retriever(corpus, s, k, index=index, lists=lists, **options)(spans).select(F.lit(s).alias("strategy"), "*") for s in strategies]
     return functools.reduce(DataFrame.union, found)
 
 
@@ -433,9 +433,9 @@ sc AS (SELECT q.query_id, q.query, s.strategy, (SELECT min(rank) FROM hits h WHE
 
 def evaluated(spark, sf_dir):
     corpus, spans = span_table(spark, sf_dir, "embedding")
-    index = lexical.build(corpus, "id", "text")
+    index, lists = lexical.build(corpus, "id", "text"), rerank.Lists(20)  # the pool of the reranker
     gold = spans.select("query_id", F.array("query_id").alias("gold"), F.when(F.col("query_id") % 200 == 0, F.array("query_id")).otherwise(F.array().cast("array<bigint>")).alias("prime"))
-    return evaluation.evaluate({s: rerank.retriever(corpus, s, 10, index=index) for s in STRATEGIES}, spans, gold)
+    return evaluation.evaluate({s: rerank.retriever(corpus, s, 10, index=index, lists=lists) for s in STRATEGIES}, spans, gold, lists=lists)
 
 
 @query(f"""{S_RUN}, pr AS (SELECT strategy, CASE WHEN query_id % 200 = 0 THEN r END AS r FROM sc)

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from gleanery.operators import dense, lexical
 from gleanery.plans import registry
 from tests.oracle import DATA
 
@@ -20,6 +21,15 @@ def test_lists_are_made_once(spark):
     assert operators(registry.QUERIES["filing_summary"](spark, DATA), "Relation") == 2
 
 
+@pytest.mark.parametrize("name", ["retrievers", "evaluate_retrievers", "evaluate_questions"])
+def test_retrievers_of_a_query_search_once(spark, monkeypatch, name):
+    searched = []
+    for module, f in ((lexical, lexical.search), (dense, dense.knn)):
+        monkeypatch.setattr(module, f.__name__, lambda *a, f=f: searched.append(f.__name__) or f(*a))
+    registry.QUERIES[name](spark, DATA)
+    assert sorted(searched) == ["knn", "search"]
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = registry.QUERIES["low_faithfulness"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "scores.faithfulness" in plan.split("PushedFilters")[1] and "answer" not in plan.split("ReadSchema")[1]
