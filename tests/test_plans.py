@@ -32,7 +32,7 @@ def test_retrievers_of_a_query_search_once(spark, monkeypatch, name):
     assert sorted(searched) == ["knn", "search"]
 
 
-@pytest.mark.parametrize("name", ["summary_table", "won_only_by_semantic"])
+@pytest.mark.parametrize("name", ["summary_table", "won_only_by_semantic", "eval_strategies"])
 def test_more_spans_than_are_sent_at_once_are_not_joined_with_the_postings(spark, monkeypatch, name):
     rows = lambda: sorted(map(tuple, registry.QUERIES[name](spark, SPANS).collect()))
     whole, joined, sent = rows(), [], []
