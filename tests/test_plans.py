@@ -8,7 +8,7 @@ from gleanery.plans import registry
 from tests.oracle import DATA
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-#: Sixteen spans, where the smallest tables have one or two.
+#: Sixteen spans, where the smallest tables have one at most.
 SPANS = os.path.join(os.path.dirname(DATA), "sf0.01")
 
 
